@@ -165,8 +165,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, out: str = "overlaps",
         name = fresh(result, "_found")
         result = result.withColumn(name, _lookup(docs.sparkSession.sparkContext.broadcast(block))(non_null_text(text)))
         columns.append(name)
-    value = F.array_sort(F.concat(*columns)) if columns else F.array().cast(FOUND)
-    return result.withColumn(out, value).drop(*columns)
+    if not columns:
+        return result.withColumn(out, F.array().cast(FOUND))
+    result = result.withColumn(out, F.array_sort(F.array_distinct(F.concat(*columns)))).drop(*columns)
+    if len(columns) > 1:  # an id may have items in several blocks: the best stays
+        result = result.withColumn(out, F.filter(out, lambda x: ~F.exists(out, lambda y: y["item_id"].eqNullSafe(x["item_id"]) & (y["n_matched"] > x["n_matched"]))))
+    return result
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
