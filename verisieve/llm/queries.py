@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, quality, secrets, url_filter
+from . import decontaminate, pieces, pii, quality, secrets, url_filter
 from .common import table
 
 
@@ -22,6 +23,19 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file() -> str:
+    """The model file of the queries: ``VERISIEVE_PIECES``, else the one that is installed with the public tokenizers."""
+    if own := os.environ.get("VERISIEVE_PIECES"):
+        return own
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -31,7 +45,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_url_filter, op4_secrets, op7_pii, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_quality, op3_url_filter, op4_secrets, op6_pieces, op7_pii, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
