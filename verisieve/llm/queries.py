@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, pii, quality, secrets, url_filter
+from . import decontaminate, pieces, pii, quality, secrets, simhash, url_filter
 from .common import table
 
 
@@ -44,8 +44,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_url_filter, op4_secrets, op6_pieces, op7_pii, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_quality, op3_url_filter, op4_secrets, op6_pieces, op7_pii, op9_decontaminate, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
