@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,3 +65,53 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def process_wide(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once in a Python worker and kept for its later tasks.
+
+    Functions are pickled by value here, so a module's own variables would start
+    anew with each task.  ``key`` names all that the value depends on.
+    """
+    store = sys.modules.setdefault("_verisieve_process_wide", types.ModuleType("_verisieve_process_wide")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+#: Texts are handed to a function in slices of about so many bytes.
+SLICE_BYTES = 4_000_000
+
+
+def with_arrow_columns(docs: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list[pa.Array]]], keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) and further columns that a function makes of slices of ``text``.
+
+    ``make`` runs once a task.  A column of a new field's name is replaced.
+    """
+    new = {f.name for f in fields}
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    source = fresh(docs, "_source")
+    given = docs.select(*kept, F.col(text).alias(source))
+    schema = T.StructType([*[given.schema[c] for c in kept], *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.column(source).nbytes))
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                made = function(part.column(source).to_pylist())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *made], names=[*kept, *[f.name for f in fields]])
+
+    return given.mapInArrow(run, schema)
+
+
+def lists_of_ints(rows: list) -> pa.Array:
+    """An Arrow column of lists of 32-bit integers from arrays and nulls."""
+    import numpy as np
+
+    lengths = np.array([0 if r is None else len(r) for r in rows], np.int64)
+    values = np.concatenate([r for r in rows if r is not None]) if lengths.any() else np.empty(0, np.int32)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    missing = pa.array([r is None for r in rows], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32), pa.int32()), mask=missing if missing.true_count else None)

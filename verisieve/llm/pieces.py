@@ -25,19 +25,20 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lists_of_ints, process_wide, with_arrow_columns
+
 SPACE = "▁"
-#: Bounds of the memory of words, in words and in characters of a word.
-WORDS, WORD_CHARS = 300_000, 48
+#: Bounds of the memory: of words, of a word's characters, and of pairs of pieces.
+WORDS, WORD_CHARS, PAIRS = 300_000, 48, 500_000
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,7 @@ class Codec(dict):
     def may_follow(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -232,38 +233,36 @@ class Codec(dict):
         return text[1:] if self.v.dummy_prefix and text[:1] == " " else text
 
 
-def _codecs(docs: DataFrame, model_file: str):
-    shared = docs.sparkSession.sparkContext.broadcast(load(model_file))
-    return lambda: Codec(shared.value)
+def _codecs(docs: DataFrame, model_file: str) -> Callable[[], Codec]:
+    vocabulary = load(model_file)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    key = hashlib.sha256(repr((vocabulary.pieces, vocabulary.scores, vocabulary.byte_ids, vocabulary.dummy_prefix)).encode("utf-8", "replace")).hexdigest()
+    return lambda: process_wide(f"pieces {key}", lambda: Codec(shared.value))
 
 
 def encode(docs: DataFrame, model_file: str, out: str = "ids", text: str = "text") -> DataFrame:
     """Adds ``out``: the ids of each whole text."""
     codec = _codecs(docs, model_file)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make() -> Callable[[list], list[pa.Array]]:
         c = codec()
-        for t in texts:
-            yield pd.Series([None if x is None else c.encode(x) for x in t], dtype=object)
+        return lambda texts: [lists_of_ints([None if x is None else c.encode(x) for x in texts])]
 
-    return docs.withColumn(out, encoded(text))
+    return with_arrow_columns(docs, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], make)
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """Adds ``out``: the text of each row's ids."""
     codec = _codecs(docs, model_file)
 
-    @F.pandas_udf(T.StringType())
-    def decoded(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make() -> Callable[[list], list[pa.Array]]:
         c = codec()
-        for r in rows:
-            yield pd.Series([None if x is None else c.decode(x) for x in r], dtype=object)
+        return lambda rows: [pa.array([None if x is None else c.decode(x) for x in rows], pa.string())]
 
-    return docs.withColumn(out, decoded(ids))
+    return with_arrow_columns(docs, ids, [T.StructField(out, T.StringType())], make)
 
 
-ENCODED = T.StructType([T.StructField("n_ids", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+ENCODED = [T.StructField("n_ids", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 
 
 def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
@@ -273,16 +272,18 @@ def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
     """
     codec = _codecs(docs, model_file)
 
-    @F.pandas_udf(ENCODED)
-    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list], list[pa.Array]]:
         c = codec()
-        for t in texts:
-            ids = [None if x is None else c.encode(x) for x in t]
-            yield pd.DataFrame({
-                "n_ids": pd.array([None if i is None else len(i) for i in ids], dtype="Int64"),
-                "ids_sha256": [None if i is None else hashlib.sha256(i.astype("<i4").tobytes()).hexdigest() for i in ids],
-                "round_trip": pd.array([None if i is None else c.decode(i.tolist()) == x for i, x in zip(ids, t)], dtype="boolean"),
-                "ids": pd.Series(ids, dtype=object),
-            })
-
-    return docs.select("doc_id", both("text").alias("r")).select("doc_id", "r.*")
+
+        def both(texts: list) -> list[pa.Array]:
+            ids = [None if x is None else c.encode(x) for x in texts]
+            return [
+                pa.array([None if i is None else len(i) for i in ids], pa.int64()),
+                pa.array([None if i is None else hashlib.sha256(i.astype("<i4").tobytes()).hexdigest() for i in ids], pa.string()),
+                pa.array([None if i is None else c.decode(i.tolist()) == x for i, x in zip(ids, texts)], pa.bool_()),
+                lists_of_ints(ids),
+            ]
+
+        return both
+
+    return with_arrow_columns(docs, "text", ENCODED, make, keep=["doc_id"])
