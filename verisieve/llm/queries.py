@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, pii, quality, secrets, simhash, url_filter
+from . import ann, decontaminate, pieces, pii, quality, secrets, simhash, url_filter
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_url_filter, op4_secrets, op6_pieces, op7_pii, op9_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality, op3_url_filter, op4_secrets, op6_pieces, op7_pii, op8_ann, op9_decontaminate, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
