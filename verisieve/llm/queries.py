@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, pieces, pii, quality, secrets, simhash, url_filter
+from . import ann, decontaminate, pieces, pii, quality, secrets, simhash, url_filter, wrappers
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_file() -> str:
     """The model file of the queries: ``VERISIEVE_PIECES``, else the one that is installed with the public tokenizers."""
     if own := os.environ.get("VERISIEVE_PIECES"):
@@ -53,7 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_url_filter, op4_secrets, op6_pieces, op7_pii, op8_ann, op9_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality, op3_url_filter, op4_secrets, op5_html, op6_pieces, op7_pii, op8_ann, op9_decontaminate, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
