@@ -33,7 +33,8 @@ def classes(fps):
 def test_fingerprint():
     rng = random.Random(1)
     for text in [None, "", " \t\n", "One", "a b c", "É É é A\x0bB C d e f g", " ".join(rng.choice("abcdef") for _ in range(500)), "x " * 100_000]:
-        assert s.fingerprint(text) == plain(text), text
+        assert s.fingerprint(text).tolist() == [plain(text)], text
+        assert s.fingerprint(text, words=3)[0] == plain(text)
 
 
 def cloud(rng, n, groups):
@@ -55,17 +56,45 @@ def test_shard_links_all_pairs(monkeypatch):
     monkeypatch.setattr(s, "LEAF", 4)
     rng = random.Random(2)
     fps = cloud(rng, 400, 60)
-    got = s.link_shard(np.array(fps, np.uint64), np.ones(len(fps), bool), np.uint64(2**64 - 1), 4)
+    got = s.link_shard(np.array(fps, np.uint64)[:, None], np.ones(len(fps), bool), np.full(1, 2**64 - 1, np.uint64), 4)
     assert same_partition(got.tolist(), classes(fps))
 
 
 def test_shards_together_lose_no_link(spark):
     rng = random.Random(3)
     for fps in (cloud(rng, 600, 150), cloud(rng, 500, 2), [0, 15, 31], list(range(64))):
-        signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-        points = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3)
+        keys = [f"{x:016x}" for x in fps]
+        points = spark.createDataFrame([(x,) for x in keys], "fp string").repartition(3)
         parts = {r["node"]: r["component"] for r in connected_components(s.linked_pairs(points, shard_points=40)).collect()}
-        assert same_partition([parts.get(x, x) for x in signed], classes(fps))
+        assert same_partition([parts.get(x, x) for x in keys], classes(fps))
+
+
+def test_dense_groups_link_without_their_pairs(monkeypatch):
+    monkeypatch.setattr(s, "LEAF", 3)
+    rng = random.Random(5)
+    fps = sorted({(1 << 40) ^ (1 << rng.randrange(8)) ^ (1 << rng.randrange(30)) for _ in range(300)})
+    got = s.link_shard(np.array(fps, np.uint64)[:, None], np.ones(len(fps), bool), s.part_masks(1)[2], 1)
+    assert same_partition(got.tolist(), classes(fps))
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(400)]
+    base = [[rng.choice(words) for _ in range(300)] for _ in range(12)]
+    rows = []
+    for i, b in enumerate(base):
+        rows.append((10 * i, " ".join(b)))
+        for k in range(1, 4):
+            c = list(b)
+            for _ in range(k):
+                c[rng.randrange(len(c))] = "changed"
+            rows.append((10 * i + k, " ".join(c)))
+        rows.append((10 * i + 5, " ".join(b[:150] + [rng.choice(words) for _ in range(150)])))
+    rows += [rows[0], (None, rows[5][1]), (None, "alone here"), (None, "alone here"), (997, None), (998, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component string")
+    kept = s.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, x) for i in range(12) for x in (10 * i, 10 * i + 5)] + [(False, 997), (True, None)]
 
 
 def test_components_of_paths_and_hubs(spark):

@@ -4,7 +4,7 @@ A fingerprint sums the hashes of a text's word shingles bit by bit.  Texts with
 the same fingerprint are one point; points within ``RADIUS`` bits link.
 
 Such a pair agrees, on one of the three parts of the 64 bits at least, up to
-``RADIUS // 3`` bits, so each part has a forest of its own with that smaller
+``RADIUS // 3`` bits, so each part has a tree of its own with that smaller
 radius.  A vantage-point tree over Hamming distance, grown on a bounded sample,
 cuts a part's points into shards; each point lies in one shard and visits every
 shard that its ball reaches over a boundary.  In a shard a tree of the same
@@ -22,6 +22,7 @@ result; further columns, also ones named like the results, do not matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,55 +36,69 @@ from .common import materialize, non_null_text
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: The three parts of a fingerprint, as masks.
+#: Three parts of each word of a fingerprint, as masks.
 PARTS = tuple(np.uint64(x) for x in (0x3FFFFF, 0x7FFFFC00000, 0xFFFFF80000000000))
 #: Bound of the sample from which the shards' vantage points come, points that a shard should hold, and points of a leaf.
 SAMPLE, SHARD_POINTS, LEAF = 4096, 16_384, 64
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit fingerprint of a whole text."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not words:
-        return 0
-    joined = memoryview(b" ".join(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """The fingerprint of a whole text, as unsigned 64-bit words.
+
+    The first word takes the shingles' hashes as they are, further ones take
+    them mixed anew.
+    """
+    parts = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z change, only ASCII white space splits
+    if not parts:
+        return np.zeros(words, np.uint64)
+    joined = memoryview(b" ".join(parts))
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(shingle, len(words))
+    k = min(shingle, len(parts))
     hashed = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    n = len(words) - k + 1
+    counts = np.zeros((words, 64), np.int64)
+    n = len(parts) - k + 1
     for low in range(0, n, 65_536):
         high = min(n, low + 65_536)
         h = np.array([hashed(joined[s:e], SEED) for s, e in zip(starts[low:high].tolist(), ends[low + k - 1 : high + k - 1].tolist())], np.uint64)
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+        for w in range(words):
+            if w:
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            counts[w] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").reshape(words)
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for t in texts:
-        yield pd.Series(np.array([fingerprint(x) for x in t], np.uint64).view(np.int64))
+def distance(a: np.ndarray, b: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Differing bits under the masks, over the words of the last axis."""
+    return np.bitwise_count((a ^ b) & masks).sum(axis=-1, dtype=np.int16)
 
 
-def distance(a: np.ndarray, b, mask: np.uint64) -> np.ndarray:
-    return np.bitwise_count((a ^ b) & mask)
+def part_masks(words: int) -> list[np.ndarray]:
+    """The masks of each part of a fingerprint."""
+    out = []
+    for w in range(words):
+        for mask in PARTS:
+            own = np.zeros(words, np.uint64)
+            own[w] = mask
+            out.append(own)
+    return out
 
 
 class Routes:
     """A vantage-point tree of fixed depth over one part: leaves are shards."""
 
-    def __init__(self, sample: np.ndarray, mask: np.uint64, radius: int, depth: int):
-        self.mask, self.radius, self.depth = mask, radius, depth
-        self.nodes: dict[int, tuple[np.uint64, int]] = {}
-        self._grow(1, np.unique(sample & mask), 0)
+    def __init__(self, sample: np.ndarray, masks: np.ndarray, radius: int, depth: int):
+        self.masks, self.radius, self.depth = masks, radius, depth
+        self.nodes: dict[int, tuple[np.ndarray, int]] = {}
+        self._grow(1, np.unique(sample & masks, axis=0), 0)
 
     def _grow(self, node: int, points: np.ndarray, level: int) -> None:
         if level == self.depth:
             return
-        vantage, cut = split(points, self.mask) if len(points) > 1 else (np.uint64(0), 0)
+        vantage, cut = split(points, self.masks) if len(points) > 1 else (np.zeros_like(self.masks), 0)
         self.nodes[node] = (vantage, cut)
-        inside = distance(points, vantage, self.mask) <= cut
+        inside = distance(points, vantage, self.masks) <= cut
         self._grow(2 * node, points[inside], level + 1)
         self._grow(2 * node + 1, points[~inside], level + 1)
 
@@ -98,17 +113,17 @@ class Routes:
                 yield node, at, home
                 continue
             vantage, cut = self.nodes[node]
-            d = distance(points[at], vantage, self.mask).astype(np.int16)
+            d = distance(points[at], vantage, self.masks)
             near, far = d - self.radius <= cut, d + self.radius > cut
             todo.append((2 * node, at[near], (home & (d <= cut))[near]))
             todo.append((2 * node + 1, at[far], (home & (d > cut))[far]))
 
 
-def split(points: np.ndarray, mask: np.uint64) -> tuple[np.uint64, int]:
+def split(points: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, int]:
     """A vantage point, and the distance that halves the points: of a few points the one that halves best."""
     best = None
     for v in points[:: max(1, len(points) // 5)][:5]:
-        d = distance(points, v, mask)
+        d = distance(points, v, masks)
         cut = int(np.sort(d)[(len(d) - 1) // 2])
         inside = int((d <= cut).sum())
         if best is None or abs(2 * inside - len(d)) < best[0]:
@@ -146,29 +161,38 @@ class Groups:
         self.label = to[self.label]
 
 
-def link_shard(points: np.ndarray, home: np.ndarray, mask: np.uint64, part_radius: int, radius: int = RADIUS) -> np.ndarray:
-    """Labels of the points of one shard: those of visitors and residents within ``radius`` bits are linked."""
+def link_shard(points: np.ndarray, home: np.ndarray, masks: np.ndarray, part_radius: int, radius: int = RADIUS) -> np.ndarray:
+    """Labels of the points of one shard: visitors and residents within ``radius`` bits are linked.
+
+    Pairs may be skipped only if they differ in more than ``part_radius`` bits
+    under the masks, or are linked already.
+    """
     groups = Groups(len(points))
-    everything = np.uint64(0xFFFFFFFFFFFFFFFF)
-    todo = [(np.flatnonzero(home), np.arange(len(points)), mask, part_radius)]
+    everything = np.full(points.shape[1], 0xFFFFFFFFFFFFFFFF, np.uint64)
+    todo = [(np.flatnonzero(home), np.arange(len(points)), True)]
     while todo:
-        own, asking, m, r = todo.pop()
+        own, asking, splits = todo.pop()
         if not len(own) or not len(asking):
             continue
-        if len(own) > LEAF:
-            vantage, cut = split(points[own], m)
-            inside = distance(points[own], vantage, m) <= cut
+        if len(own) > LEAF and splits:
+            vantage, cut = split(points[own], masks)
+            inside = distance(points[own], vantage, masks) <= cut
             if inside.all() or not inside.any():
-                if m != everything:  # alike on this part: go on with the full distance
-                    todo.append((own, asking, everything, radius))
-                    continue
+                splits = False  # alike on this part
             else:
-                d = distance(points[asking], vantage, m).astype(np.int16)
-                left, right = asking[d - r <= cut], asking[d + r > cut]
-                if len(left) + len(right) < 1.9 * len(asking) or len(own) > 4 * LEAF:
-                    todo += [(own[inside], left, m, r), (own[~inside], right, m, r)]
-                    continue
-        step = max(1, 1_000_000 // len(own))
+                d = distance(points[asking], vantage, masks)
+                todo += [(own[inside], asking[d - part_radius <= cut], True), (own[~inside], asking[d + part_radius > cut], True)]
+                continue
+        if len(own) > 4 * LEAF:
+            # points within half the radius of a centre are linked by the triangle inequality, without their pairs
+            centre = points[own[len(own) // 2]]
+            near_own, near_asking = (2 * distance(points[x], centre, everything) <= radius for x in (own, asking))
+            if near_own.sum() > LEAF and near_asking.any():
+                close = np.concatenate([own[near_own], asking[near_asking]])
+                groups.link(close, np.full(len(close), own[len(own) // 2]))
+                todo += [(own[~near_own], asking, False), (own[near_own], asking[~near_asking], False)]
+                continue
+        step = max(1, 500_000 // len(own))
         for low in range(0, len(asking), step):
             q = asking[low : low + step]
             a, b = np.nonzero(distance(points[q][:, None], points[own][None, :], everything) <= radius)
@@ -176,49 +200,86 @@ def link_shard(points: np.ndarray, home: np.ndarray, mask: np.uint64, part_radiu
     return groups.label
 
 
-ROUTED = "shard long, fp long, home boolean"
-EDGES = "a long, b long"
+EDGES = "a string, b string"
 
 
-def linked_pairs(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints of column ``fp`` as all pairs within ``radius`` bits would."""
-    part_radius = radius // len(PARTS)
-    n = points.count()
-    sample = np.array([r["fp"] for r in points.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    depth = max(2, int(np.ceil(np.log2(max(1, n) / shard_points))))
-    forest = [Routes(sample, mask, part_radius, depth) for mask in PARTS]
+def unpacked(keys: pd.Series) -> np.ndarray:
+    """Fingerprints, as rows of words, from their hexadecimal form."""
+    return np.frombuffer(bytes.fromhex("".join(keys)), ">u8").reshape(len(keys), -1).astype(np.uint64)
+
 
-    def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
+def linked_pairs(points: DataFrame, words: int = 1, radius: int = RADIUS, part_radius: int | None = None, shard_points: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints of column ``fp`` (hexadecimal) as pairs within ``radius`` bits would.
+
+    No link is lost with the part radius left out: of ``p`` parts one differs in
+    ``radius // p`` bits at most.
+    """
+    parts = part_masks(words)
+    part_radius = radius // len(parts) if part_radius is None else part_radius
+    n = points.count()
+    rows = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()
+    sample = unpacked(rows["fp"]) if len(rows) else np.zeros((1, words), np.uint64)
+    depth = max(2, int(np.ceil(np.log2(max(1, n) / (shard_points or SHARD_POINTS)))))
+    forest = [Routes(sample, masks, part_radius, depth) for masks in parts]
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            keys = rows["fp"].to_numpy()
+            fp = unpacked(rows["fp"])
             for k, tree in enumerate(forest):
                 for shard, at, home in tree.visits(fp):
-                    yield pd.DataFrame({"shard": np.int64(shard * len(PARTS) + k), "fp": fp[at].view(np.int64), "home": home})
+                    yield pd.DataFrame({"shard": np.int64(shard * len(parts) + k), "fp": keys[at], "home": home})
 
     def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
-        label = link_shard(fp, rows["home"].to_numpy(bool), PARTS[int(key[0]) % len(PARTS)], part_radius, radius)
-        moved = label != np.arange(len(fp))
-        return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[label[moved]].view(np.int64)})
+        label = link_shard(unpacked(rows["fp"]), rows["home"].to_numpy(bool), parts[int(key[0]) % len(parts)], part_radius, radius)
+        moved = label != np.arange(len(rows))
+        keys = rows["fp"].to_numpy()
+        return pd.DataFrame({"a": keys[moved], "b": keys[label[moved]]})
 
-    return points.select("fp").mapInPandas(route, ROUTED).groupBy("shard").applyInPandas(link, EDGES)
+    return points.select("fp").mapInPandas(route, "shard long, fp string, home boolean").groupBy("shard").applyInPandas(link, EDGES)
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> Column:
-    return _fingerprints(non_null_text(text))
+def fingerprints(text: Column, shingle: int = SHINGLE, words: int = 1) -> Column:
+    """The fingerprint of each whole text, as 16 hexadecimal digits a word."""
 
+    @F.pandas_udf(T.StringType())
+    def column(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield pd.Series([fingerprint(x, shingle, words).astype(">u8").tobytes().hex() for x in t], dtype=object)
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows doc_id, fp, component_id: the smallest id that a document reaches over links, its own included."""
-    marked, _ = materialize(docs.select("doc_id", fingerprints(docs).alias("fp")), "fingerprints")
+    return column(text)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, radius: int = RADIUS, part_radius: int | None = None) -> DataFrame:
+    """Rows doc_id, text_key, fp, component, component_id.
+
+    ``component`` names the group of linked documents, ``component_id`` is the
+    smallest id in it; ``text_key`` tells texts of one id apart.
+    """
+    text = non_null_text()
+    marked, _ = materialize(docs.select("doc_id", F.xxhash64(text).alias("text_key"), fingerprints(text, shingle, words).alias("fp")), "fingerprints")
     points, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    components = connected_components(linked_pairs(points, radius))
+    components = connected_components(linked_pairs(points, words, radius, part_radius))
     grouped = points.join(components, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named, _ = materialize(grouped.join(smallest, "component").select("fp", "component_id"), "named")
+    named, _ = materialize(grouped.join(smallest, "component").select("fp", "component", "component_id"), "named")
     return marked.join(named, "fp")
 
 
+#: For dropping near copies: five words, four fingerprint words, agreement in 0.8 of the bits.
+#: Pairs that similar differ in one bit at most on one of twelve parts, but for about one in seven right at the limit.
+DEDUP = {"shingle": 5, "words": 4, "radius": 256 - math.ceil(0.8 * 256), "part_radius": 1}
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id; the columns stay."""
+    found = near_duplicates(docs, **DEDUP)
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k")).select(F.coalesce(F.hash("k.doc_id"), F.lit(0)).alias("_a"), F.col("k.text_key").alias("_b"), F.col("k.doc_id").alias("_c"))
+    keyed = docs.withColumn("_a", F.coalesce(F.hash("doc_id"), F.lit(0))).withColumn("_b", F.xxhash64(non_null_text()))
+    one = keyed.join(kept, (keyed["_a"] == kept["_a"]) & (keyed["_b"] == kept["_b"]) & keyed["doc_id"].eqNullSafe(kept["_c"]), "left_semi")
+    return one.dropDuplicates(["_a", "_b", "doc_id"]).select(*docs.columns)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns: doc_id, fingerprint (16 hex digits), component_id."""
-    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_duplicates(docs).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
