@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
@@ -265,8 +265,8 @@ def decode(docs: DataFrame, model_file: str, ids: str = "ids", out: str = "text"
 ENCODED = [T.StructField("n_ids", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 
 
-def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
-    """The query's rows: doc_id, n_ids, ids_sha256 (of little-endian 32-bit ids), round_trip, ids.
+def round_trip(docs: DataFrame, model_file: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The query's rows: the columns ``keep``, n_ids, ids_sha256 (of little-endian 32-bit ids), round_trip, ids.
 
     ``round_trip`` says whether decoding the ids gave the text back.
     """
@@ -286,4 +286,4 @@ def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
 
         return both
 
-    return with_arrow_columns(docs, "text", ENCODED, make, keep=["doc_id"])
+    return with_arrow_columns(docs, "text", ENCODED, make, keep=list(keep))

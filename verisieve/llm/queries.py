@@ -56,8 +56,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_url_filter, op4_secrets, op5_html, op6_pieces, op7_pii, op8_ann, op9_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality, op3_url_filter, op4_secrets, op5_html, op6_pieces, op7_pii, op8_ann, op9_decontaminate, op10_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
