@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, pieces, pii, quality, secrets, simhash, url_filter, wrappers
+from . import ann, decontaminate, pieces, pii, quality, secrets, simhash, substrings, url_filter, wrappers
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_url_filter, op4_secrets, op5_html, op6_pieces, op7_pii, op8_ann, op9_decontaminate, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_quality, op2_substrings, op3_url_filter, op4_secrets, op5_html, op6_pieces, op7_pii, op8_ann, op9_decontaminate, op10_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
