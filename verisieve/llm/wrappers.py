@@ -358,7 +358,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         w = None
         for text in sorted(rows["wrapper"]):
             w = json.loads(text) if w is None else merged(w, json.loads(text))
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "salt": rows["salt"].iloc[:1], "wrapper": [json.dumps(w)]})
+        return pd.DataFrame({"host": [str(rows["host"].iloc[0])], "salt": [int(rows["salt"].iloc[0])], "wrapper": [json.dumps(w)]})
 
     have = with_parts(pages.select("url", "html").where("html is not null and html <> ''"), "url").where("host <> ''").select("host", "html", F.spark_partition_id().alias("part"))
     first = have.mapInPandas(partial, PARTIAL)
