@@ -39,10 +39,17 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes ``df`` as a table in the shared folder; returns it reread, and its path.
 
     This cuts the lineage, and a lost executor costs nothing that is written.
+    The shuffles of the writing query are of no use then, and go at its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verisieve/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
