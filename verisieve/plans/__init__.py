@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import catalogue, scores
+from . import catalogue, scores, texts
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "catalogue", "scores"]
+__all__ = ["ORACLE", "QUERIES", "catalogue", "scores", "texts"]
