@@ -72,4 +72,5 @@ def test_operator(spark, monkeypatch):
     assert by[100] == "N\nnull url" and by[101] == "" and by[102] == "" and by[103] == "other layout"
     monkeypatch.setattr(w, "BROADCAST_BYTES", 0)
     assert sorted((tuple(r) for r in w.extract_main_text(pages).collect()), key=str) == got
+    assert sorted((tuple(r) for r in w.extract_main_text(pages.repartition(50)).collect()), key=str) == got
     assert w.extract_main_text(pages.limit(0)).count() == 0

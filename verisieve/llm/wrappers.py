@@ -352,7 +352,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                 if len(held) >= HOSTS:
                     yield sent()
                     held.clear()
-        yield sent()
+        if held:
+            yield sent()
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         w = None
