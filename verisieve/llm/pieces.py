@@ -38,7 +38,7 @@ from .common import lists_of_ints, process_wide, with_arrow_columns
 
 SPACE = "▁"
 #: Bounds of the memory: of words, of a word's characters, and of pairs of pieces.
-WORDS, WORD_CHARS, PAIRS = 300_000, 48, 500_000
+WORDS, WORD_CHARS, PAIRS = 600_000, 48, 500_000
 
 
 @dataclass(frozen=True)
@@ -78,6 +78,9 @@ class Codec(dict):
         # every beginning of a piece, and whether it is a piece itself
         self.begins = {p[:k]: p[:k] in self.ids for p in self.ids for k in range(1, len(p) + 1)}
         self.older: dict[str, bytes] = {}
+        # neighbours that some piece has: between others no merge can ever join
+        self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.parts: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
         self.fallback = {}
@@ -206,8 +209,28 @@ class Codec(dict):
             end -= len(piece)
         return array("i", out[::-1]).tobytes()
 
+    def _parted(self, word: str) -> bytes:
+        """The ids of a word, part by part: it is cut where no piece has both neighbours."""
+        joins = self.joins
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joins]
+        if not cuts:
+            return self._word(word)
+        out, at = [], 0
+        for end in [*cuts, len(word)]:
+            part = word[at:end]
+            got = self.parts.get(part)
+            if got is None:
+                got = self._word(part)
+                if len(part) <= WORD_CHARS:
+                    if len(self.parts) >= WORDS:
+                        self.parts.clear()
+                    self.parts[part] = got
+            out.append(got)
+            at = end
+        return b"".join(out)
+
     def __missing__(self, word: str) -> bytes:
-        got = self.older.get(word) or self._word(SPACE + word)
+        got = self.older.get(word) or self._parted(SPACE + word)
         if len(word) <= WORD_CHARS:
             if len(self) >= WORDS:  # words not asked for since the last time go
                 self.older = dict(self)
@@ -225,7 +248,7 @@ class Codec(dict):
         if "" not in words:
             return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
         spaced = SPACE + text.replace(" ", SPACE)
-        return np.frombuffer(b"".join(self[w[1:]] if w[1:2] != SPACE and len(w) > 1 else self._word(w) for w in re.findall(f"{SPACE}+[^{SPACE}]*", spaced)), np.int32)
+        return np.frombuffer(b"".join(self[w[1:]] if w[1:2] != SPACE and len(w) > 1 else self._parted(w) for w in re.findall(f"{SPACE}+[^{SPACE}]*", spaced)), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids; bytes that are no UTF-8 become replacement characters."""
