@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import catalogue, scores, texts
+from . import catalogue, scores, streams, texts
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "catalogue", "scores", "texts"]
+__all__ = ["ORACLE", "QUERIES", "catalogue", "scores", "streams", "texts"]
