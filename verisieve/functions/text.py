@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by keys over as many tasks as shuffles have, however few its bytes: for rows that cost much more than their size says."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def token_estimate(text: Column) -> Column:
     """A quarter of a token for each ASCII character and one for any other, rounded up."""
     ascii_chars = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
     return F.ceil(ascii_chars * 0.25 + (F.length(text) - ascii_chars)).cast("long")
 
 
-def byte_distance(a: Column, b: Column, cap: int | None = None) -> Column:
-    """Edit distance over UTF-8 bytes; with a cap, cap + 1 stands for anything beyond it."""
-    as_bytes = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+def as_bytes(c: Column) -> Column:
+    """The text with a character for each of its UTF-8 bytes."""
+    return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+
+
+def distance_of_bytes(a: Column, b: Column, cap: int | None = None) -> Column:
+    """Edit distance of two texts that :func:`as_bytes` made; with a cap, cap + 1 stands for anything beyond it."""
     if cap is None:
-        return F.levenshtein(as_bytes(a), as_bytes(b))
-    d = F.levenshtein(as_bytes(a), as_bytes(b), cap)
-    return F.when(d < 0, cap + 1).otherwise(d)
+        return F.levenshtein(a, b)
+    d = F.levenshtein(a, b, cap)
+    return F.when(F.abs(F.length(a) - F.length(b)) > cap, cap + 1).when(d < 0, cap + 1).otherwise(d)
+
+
+def byte_distance(a: Column, b: Column, cap: int | None = None) -> Column:
+    """Edit distance over UTF-8 bytes. In a join, convert each side once instead."""
+    return distance_of_bytes(as_bytes(a), as_bytes(b), cap)
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_distance
+from ..functions.text import as_bytes, byte_distance, distance_of_bytes, spread
 
 
 def instance_calls(calls: DataFrame, scope: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -16,8 +16,9 @@ def instance_calls(calls: DataFrame, scope: DataFrame, symbols: DataFrame) -> Da
     typed = calls.join(scope, ["response_id", "var"])
     known = typed.join(symbols.select(F.col("class").alias("type")).distinct(), "type", "left_semi")
     missing = known.join(symbols.select(F.col("class").alias("type"), F.col("name").alias("method")).distinct(), ["type", "method"], "left_anti")
-    names = symbols.select(F.col("class").alias("type"), F.col("name").alias("suggestion")).distinct()
-    near = missing.select("type", "method").distinct().join(names, "type").withColumn("d", byte_distance(F.col("method"), F.col("suggestion"), 2)).where("d <= 2")
+    names = symbols.select(F.col("class").alias("type"), F.col("name").alias("suggestion"), as_bytes(F.col("name")).alias("s")).distinct()
+    asked = missing.select("type", "method", as_bytes(F.col("method")).alias("m")).distinct()
+    near = spread(asked, "type", "method").join(names, "type").where(F.abs(F.length("m") - F.length("s")) <= 2).withColumn("d", distance_of_bytes(F.col("m"), F.col("s"), 2)).where("d <= 2")
     best = near.groupBy("type", "method").agg(F.min(F.struct("d", "suggestion")).alias("m")).select("type", "method", F.col("m.suggestion").alias("suggestion"))
     return missing.join(best, ["type", "method"], "left").select("response_id", "var", "type", "method", "suggestion")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_distance, common_prefix
+from ..functions.text import as_bytes, byte_distance, common_prefix, distance_of_bytes, spread
 
 #: The kinds of symbols and the visibilities that a catalogue knows.
 KINDS = ("class", "method", "function", "property", "signal", "constant", "enum", "enum_member", "annotation", "interface", "type_alias", "module", "constructor")
@@ -78,10 +78,12 @@ def other_library(claims: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def nearest_method(claims: DataFrame, symbols: DataFrame) -> DataFrame:
     """The nearest method of a claim's own class: two bytes apart at most, both names of four bytes, lengths within 0.6; ties by name."""
-    methods = symbols.where("kind = 'method'").select("class", F.col("name").alias("suggestion")).distinct()
-    a, b = F.octet_length("method"), F.octet_length("suggestion")
-    pairs = claims.join(methods, "class").where((a >= 4) & (b >= 4) & (F.least(a, b) / F.greatest(a, b) >= 0.6) & (F.col("method") != F.col("suggestion")))
-    pairs = pairs.withColumn("distance", byte_distance(F.col("method"), F.col("suggestion"), 2)).where("distance <= 2")
+    left = claims.select("class", "method", as_bytes(F.col("method")).alias("m")).distinct()
+    left = spread(left, "class", "method")
+    right = symbols.where("kind = 'method'").select("class", F.col("name").alias("suggestion"), as_bytes(F.col("name")).alias("s")).distinct()
+    a, b = F.length("m"), F.length("s")
+    near = (F.abs(a - b) <= 2) & (a >= 4) & (b >= 4) & (F.least(a, b) / F.greatest(a, b) >= 0.6) & (F.col("m") != F.col("s"))
+    pairs = left.join(right, "class").where(near).withColumn("distance", distance_of_bytes(F.col("m"), F.col("s"), 2)).where("distance <= 2")
     best = pairs.groupBy("class", "method").agg(F.min(F.struct("distance", "suggestion")).alias("m")).select("class", "method", "m.*")
     return best.withColumn("confidence", F.round(0.95 - 0.05 * (F.col("distance") - 1), 6))
 

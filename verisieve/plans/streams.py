@@ -16,8 +16,7 @@ def chunks(v, width: int = 37):
     event = lambda w: F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), w, F.lit(' "}}]}\n\n'))
     body = F.concat(F.array_join(F.transform(words, event), ""), F.lit('data: {"usage":{"total_tokens":7}}\n\ndata: [DONE]\n\n'))
     rows = v.messages.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), body.alias("body"))
-    n = F.ceil(F.length("body") / width).cast("int")
-    return rows.select("request_id", "body", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq")).select("request_id", "seq", F.substring(F.col("body"), F.col("seq") * width + 1, F.lit(width)).alias("data"))
+    return rows.select("request_id", F.posexplode(F.expr(f"regexp_extract_all(body, r'(?s).{{1,{width}}}', 0)")).alias("seq", "data"))
 
 
 @query(f"SELECT conv_id * 1000 + turn AS request_id, len({_WORDS}) + 2 AS events, array_to_string({_WORDS}, ' ') || ' ' AS content, true AS done FROM messages")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import spread
+
 #: A partial event may hold so many bytes before it is dropped.
 BUFFER_BYTES = 1_048_576
 #: Content length of the first scan, the least length of any, and the least growth of another.
@@ -25,18 +27,17 @@ def events(chunks: DataFrame) -> DataFrame:
     """(request_id, event_no, event): complete events of the chunks in order; what is left at the end is forwarded too."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "data"))), lambda x: x["data"]), "")
     parts = F.filter(F.split(F.col("text"), "\r\n\r\n|\n\n"), lambda x: x != "")
-    return chunks.groupBy("request_id").agg(text.alias("text")).select("request_id", F.posexplode(parts).alias("event_no", "event"))
+    return spread(chunks, "request_id").groupBy("request_id").agg(text.alias("text")).select("request_id", F.posexplode(parts).alias("event_no", "event"))
 
 
 def deltas(events: DataFrame) -> DataFrame:
     """Adds content, total tokens and done of each event, of either vendor; reasoning is left out."""
-    body = F.regexp_extract("event", r"(?s)data: ?(.*)$", 1)
-    v = F.try_parse_json(body)
-    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    events = events.withColumn("_body", F.regexp_extract("event", r"(?s)data: ?(.*)$", 1)).withColumn("_v", F.try_parse_json("_body"))  # parsed once
+    get = lambda path, kind: F.try_variant_get("_v", path, kind)
     content = F.coalesce(get("$.choices[0].delta.content", "string"), F.when(get("$.delta.type", "string") == "text_delta", get("$.delta.text", "string")), F.lit(""))
     tokens = F.coalesce(get("$.usage.total_tokens", "bigint"), get("$.usage.output_tokens", "bigint"))
-    done = (body == "[DONE]") | F.coalesce(get("$.type", "string") == "message_stop", F.lit(False))
-    return events.withColumns({"content": content, "tokens": tokens, "done": done})
+    done = (F.col("_body") == "[DONE]") | F.coalesce(get("$.type", "string") == "message_stop", F.lit(False))
+    return events.withColumns({"content": content, "tokens": tokens, "done": done}).drop("_body", "_v")
 
 
 def scan_points(parsed: DataFrame) -> DataFrame:
