@@ -152,9 +152,9 @@ def test_collapse_equals_a_fold(spark):
 
 
 def test_risk_floors_and_caps(spark):
-    rows = [(1, "logic: a", False, False)] * 6 + [(2, "uncertain: x", False, True), (3, "other", True, False), (4, "nothing: z", False, False)]
+    rows = [(1, "logic: a", False, False)] * 6 + [(2, "Unverified API: x", False, True), (3, "other", True, False), (4, "nothing: z", False, False), (5, "logic: y", False, True), (6, "forge: hallucinated-method: `m`", False, False)]
     got = {r["response_id"]: (r["risk"], r["confidence"]) for r in scoring.risk(spark.createDataFrame(rows, "response_id long, warning string, blocked boolean, scan_failed boolean")).collect()}
-    assert got == {1: (0.6, 0.4), 2: (0.4, 0.6), 3: (1.0, 0.1), 4: (0.0, 1.0)}
+    assert got == {1: (0.6, 1.0), 2: (0.4, 0.6), 3: (1.0, 0.1), 4: (0.0, 1.0), 5: (0.15, 1.0), 6: (0.4, 0.6)}
 
 
 def test_readers(spark, tmp_path):

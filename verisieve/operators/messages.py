@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What marks a request that compacts a conversation, and one in the background.
-COMPACTION = "summarize the conversation|compact the|conversation summary"
-BACKGROUND = "generate a title|title for"
+#: Phrases of requests that compact a conversation, groups that must occur together, phrases of background tasks, and the most messages of a short request.
+COMPACTION = (
+    "summarize the conversation", "compact the conversation", "anchored summary", "context was compacted", "continue if you have next steps", "summarize this conversation", "summarize the following", "compress the context",
+    "create a summary of", "here is a summary of the conversation", "previous conversation summary", "summarize chat history",
+)
+COMPACTION_GROUPS = (("## goal", "## progress", "## key decisions"), ("## critical context", "## relevant files"))
+BACKGROUND = ("generate a concise title", "suggest a title", "categorize this", "classify this message", "extract keywords")
+SHORT = 3
 
 
 def classify(messages: DataFrame) -> DataFrame:
-    """(conv_id, class) from the last user text and the first system text of each conversation."""
+    """(conv_id, class) of each request: compaction, background or chat.
+
+    From the last user text and the first system text; a short request without
+    tools and streaming whose system text summarises is a background task.
+    ``tools`` and ``stream`` count as none where the columns are missing.
+    """
     last = F.max_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn")))
     system = F.min_by(F.when(F.col("role") == "system", F.col("text")), F.when(F.col("role") == "system", F.col("turn")))
-    g = messages.groupBy("conv_id").agg(last.alias("u"), system.alias("s"), F.count("*").alias("turns"))
-    both = F.lower(F.concat_ws(" ", F.coalesce("s", F.lit("")), F.coalesce("u", F.lit(""))))
-    kind = F.when(both.rlike(COMPACTION), "compaction").when(F.col("u").isNull(), "background").when(F.lower("u").rlike(BACKGROUND) | ((F.octet_length("u") < 80) & (F.col("turns") == 1)), "background")
-    return g.select("conv_id", kind.otherwise("foreground").alias("class"))
+    tools = F.max("tools") if "tools" in messages.columns else F.lit(0)
+    stream = F.bool_or("stream") if "stream" in messages.columns else F.lit(False)
+    g = messages.groupBy("conv_id").agg(F.coalesce(last, F.lit("")).alias("u"), F.coalesce(system, F.lit("")).alias("s"), F.count("*").alias("turns"), tools.alias("tools_"), stream.alias("stream_"))
+    both = F.lower(F.concat_ws("\n", "s", "u"))
+    any_of = lambda words: reduce(lambda a, b: a | b, [both.contains(w) for w in words])
+    groups = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [both.contains(w) for w in g]) for g in COMPACTION_GROUPS])
+    short = (F.col("tools_") == 0) & (F.col("turns") <= SHORT) & ~F.col("stream_") & F.lower("s").rlike("summari|compact")
+    return g.select("conv_id", F.when(any_of(COMPACTION) | groups, "compaction").when(any_of(BACKGROUND) | short, "background").otherwise("chat").alias("class"))
 
 
 def usage(df: DataFrame, column: str) -> DataFrame:
@@ -51,3 +67,22 @@ def tool_calls(df: DataFrame, body: str) -> DataFrame:
         F.coalesce(F.transform(F.filter(used, lambda c: c["type"] == "tool_use"), lambda c: F.struct(c["name"].alias("name"), F.to_json(c["input"]).alias("arguments"))), F.array().cast("array<struct<name:string,arguments:string>>")),
     )
     return df.select("*", F.explode(both).alias("_c")).select("*", "_c.name", "_c.arguments").drop("_c")
+
+
+#: Tools that edit files, argument fields that name them, and suffixes that a compiler reads.
+EDIT_TOOLS = ("write", "edit", "multiedit", "create", "apply_patch", "str_replace", "str_replace_editor", "write_file", "edit_file", "create_file", "update_file")
+PATH_FIELDS = ("path", "file_path", "filePath", "file", "filename")
+COMPILABLE = ("py", "rs", "ts", "tsx", "js", "jsx", "go", "java", "cs", "cpp", "cc", "c", "h", "hpp", "gd")
+
+
+def edited_files(df: DataFrame, body: str, key: str) -> DataFrame:
+    """(key, path) of source files that a reply's tool calls edit, each once."""
+    calls = tool_calls(df.select(key, body), body).where(F.lower("name").isin(*EDIT_TOOLS))
+    fields = [F.get_json_object("arguments", f"$.{f}") for f in PATH_FIELDS]
+    patch = F.nullif(F.regexp_extract(F.get_json_object("arguments", "$.patch"), r"(?m)^(?:\+\+\+ b/|\*\*\* (?:Update|Add) File: )(\S+)", 1), F.lit(""))
+    return calls.select(key, F.coalesce(*fields, patch).alias("path")).where(F.col("path").rlike(r"\.(?:" + "|".join(COMPILABLE) + ")$")).distinct()
+
+
+def gate(request_class: Column, tokens: Column, least: int = 3) -> Column:
+    """Whether a reply is scanned: not for compaction and background traffic, and not below a few tokens."""
+    return F.when(request_class.isin("compaction", "background"), "skipped-traffic").when(tokens < least, "skipped-short").otherwise("scanned")

@@ -8,35 +8,56 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Prefixes of warnings and the kinds they make, in the order in which they are tried.
+#: Prefixes of warnings and the kinds they make, in the order in which they are tried, after a leading ``forge: ``.
 WARNING_KINDS: Sequence[tuple[str, str]] = (
-    ("symbol-cache:", "cached"),
-    ("scope:", "scope"),
-    ("hallucinated-import:", "forge"),
-    ("hallucinated-method:", "forge"),
-    ("hallucinated-variable:", "forge"),
-    ("index:", "l1"),
-    ("unverified:", "unverified"),
-    ("logic:", "logic"),
-    ("uncertain:", "uncertain"),
+    ("hallucinated-import-name:", "import_name"),
+    ("hallucinated-import:", "import"),
+    ("hallucinated-include:", "include"),
+    ("hallucinated-method:", "method"),
+    ("hallucinated-parameter:", "parameter"),
+    ("hallucinated-variable:", "variable"),
+    ("hallucinated-function:", "function"),
+    ("hallucinated-constructor:", "constructor"),
+    ("hallucinated-call:", "call"),
+    ("hallucinated-namespace:", "namespace"),
+    ("bare-critical-call:", "bare_critical"),
+    ("chain-broken:", "chain_broken"),
+    ("chain-phantom-member:", "chain_phantom"),
+    ("cached-hallucination:", "cached"),
+    ("scope-hallucination:", "scope"),
+    ("Hallucinated API:", "l1"),
+    ("Unverified API:", "unverified"),
     ("compiler:", "compiler"),
+    ("logic (uncertain):", "uncertain"),
+    ("logic:", "logic"),
 )
-#: Weight of one finding of a kind and the most that a kind adds; none means no bound.
-WEIGHTS: dict[str, tuple[float, float | None]] = {
-    "cached": (0.40, None),
-    "scope": (0.40, None),
-    "forge": (0.40, None),
-    "l1": (0.10, 0.3),
-    "unverified": (0.08, 0.6),
-    "logic": (0.15, 0.6),
-    "uncertain": (0.10, 0.4),
-    "compiler": (0.35, 0.7),
+#: Kinds that the language layer finds; they weigh alike.
+FORGE_KINDS = tuple(k for _, k in WARNING_KINDS[:13])
+#: How sure a finding of a kind makes its claim; others half.
+KIND_CONFIDENCE = {
+    "include": 0.95, "method": 0.95, "parameter": 0.95, "import": 0.90, "bare_critical": 0.90, "variable": 0.85, "function": 0.85, "chain_broken": 0.85, "import_name": 0.80, "chain_phantom": 0.80, "call": 0.75, "constructor": 0.70,
+}
+#: Weight of one finding of a group of kinds and the most that the group adds; none means no bound.
+WEIGHTS: dict[str, tuple[tuple[str, ...], float, float | None]] = {
+    "cached": (("cached",), 0.40, None),
+    "scope": (("scope",), 0.40, None),
+    "forge": (FORGE_KINDS, 0.40, None),
+    "l1": (("l1",), 0.10, 0.3),
+    "unverified": (("unverified",), 0.08, 0.6),
+    "logic": (("logic",), 0.15, 0.6),
+    "uncertain": (("uncertain",), 0.10, 0.4),
+    "compiler": (("compiler",), 0.35, 0.7),
 }
 
 
 def warning_kind(warning: Column) -> Column:
     """The kind by the first prefix that fits; ``other`` weighs nothing."""
-    return reduce(lambda rest, p: F.when(warning.startswith(p[0]), p[1]).otherwise(rest), reversed(WARNING_KINDS), F.lit("other"))
+    bare = F.regexp_replace(warning, "^forge: ", "")
+    return reduce(lambda rest, p: F.when(bare.startswith(p[0]), p[1]).otherwise(rest), reversed(WARNING_KINDS), F.lit("other"))
+
+
+def kind_confidence(kind: Column) -> Column:
+    return reduce(lambda rest, k: F.when(kind == k[0], k[1]).otherwise(rest), KIND_CONFIDENCE.items(), F.lit(0.5))
 
 
 def claim_key(warning: Column) -> Column:
@@ -45,16 +66,22 @@ def claim_key(warning: Column) -> Column:
 
 
 def risk(findings: DataFrame) -> DataFrame:
-    """Risk and confidence of each response from its findings (warning, blocked, scan_failed)."""
+    """Risk and confidence of each response from its findings (warning, blocked, scan_failed).
+
+    A failed scan has a floor, but only with a warning or a block; details of
+    the logic check are no warnings.
+    """
     kinds = findings.withColumn("kind", warning_kind(F.col("warning")))
     counted = kinds.groupBy("response_id").agg(
-        *[F.count_if(F.col("kind") == k).alias(k) for k in WEIGHTS], F.count("*").alias("n_findings"), F.bool_or("blocked").alias("blocked"), F.bool_or("scan_failed").alias("failed")
-    )
-    parts = [(F.col(k) * w if cap is None else F.least(F.col(k) * w, F.lit(cap))) for k, (w, cap) in WEIGHTS.items()]
+        *[F.count_if(F.col("kind").isin(*members)).alias(k) for k, (members, _, _) in WEIGHTS.items()],
+        F.count_if(~F.col("kind").isin("logic", "uncertain")).alias("n_warnings"), F.bool_or("blocked").alias("blocked"), F.bool_or("scan_failed").alias("failed"),
+        F.bool_or(F.col("warning").rlike(INTROSPECTION)).alias("introspected"),
+    )
+    parts = [(F.col(k) * w if cap is None else F.least(F.col(k) * w, F.lit(cap))) for k, (_, w, cap) in WEIGHTS.items()]
     total = reduce(lambda a, b: a + b, parts)
-    floored = F.when(F.col("failed") & (F.col("n_findings") > 0), F.greatest(total, F.lit(0.4))).otherwise(total)
+    floored = F.when(F.col("failed") & (F.col("n_warnings") > 0), F.greatest(total, F.lit(0.4))).otherwise(total)
     scored = counted.withColumn("risk", F.round(F.when(F.col("blocked"), 1.0).otherwise(F.least(floored, F.lit(1.0))), 6))
-    return scored.withColumn("confidence", F.round(F.least(F.lit(1.0), 1 - F.least("risk", F.lit(0.9))), 6))
+    return scored.withColumn("confidence", F.when((F.col("n_warnings") == 0) & ~F.col("blocked"), 1.0).otherwise(F.round(F.least(F.lit(1.0), 1 - F.least("risk", F.lit(0.9))), 6)))
 
 
 def scan_confidence(verdicts: DataFrame) -> DataFrame:
@@ -81,10 +108,19 @@ def judged(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def needs_judge(scored: DataFrame, least_confidence: float = 0.85) -> DataFrame:
-    """Whether a response goes on to the judge: unless nothing was found and every claim is sure."""
-    clear = (F.col("n_findings") == 0) | ((F.col("risk") == 0) & (F.col("confidence") >= least_confidence))
-    return scored.withColumn("resolved", clear & ~F.col("blocked"))
+#: Warnings that come from introspection, and the confidence from which on the judge is not asked.
+INTROSPECTION = "not in module|not a method|not in known methods|^(?:forge: )?chain-(?:phantom|broken)"
+SURE = 0.85
+
+
+def cascade(scored: DataFrame) -> DataFrame:
+    """Adds ``skipped``: whether the deterministic layers settle a response, all of six conditions.
+
+    Expects l1, unverified, introspected and confidence of :func:`risk`, and
+    claims, unknown and has_prose of the claim checks.
+    """
+    settled = (F.col("l1") + F.col("unverified") == 0) & (F.col("confidence") >= SURE) & (F.col("unknown") == 0) & ~F.col("introspected") & (F.col("claims") > 0) & ~F.col("has_prose")
+    return scored.withColumn("skipped", settled)
 
 
 def intervention(risk_column: Column) -> Column:
@@ -92,38 +128,72 @@ def intervention(risk_column: Column) -> Column:
     return F.when(risk_column >= 0.7, "block").when(risk_column >= 0.3, "append").otherwise("pass")
 
 
-#: Weights of the calibration's features for each verdict, and the blend with the judge's own confidence.
-CALIBRATION = {
-    "hallucinated": {"bias": -0.4, "hedges": -0.5, "ticks": 0.3, "words": 0.01, "negations": 0.4, "digits": 0.05, "ends": 0.1},
-    "verified": {"bias": 0.2, "hedges": -0.6, "ticks": 0.2, "words": 0.01, "negations": -0.3, "digits": 0.05, "ends": 0.1},
-}
-BLEND = 0.7
+#: Weights of the calibration's features for a verdict, its bias, and its share in the result.
+CALIBRATION = {"verified": (0.25, 0.30, 0.15, -0.08, -0.10, -0.002), "hallucinated": (0.20, 0.25, 0.20, -0.08, -0.10, -0.002), "": (0.15, 0.15, 0.15, -0.06, -0.08, -0.001)}
+BIAS, BLEND = 0.10, 0.7
+#: Words that speak for a claim and against it, in steps and over all, that hedge and that negate.
+STEP_FOR = ("exist", "found", "verified", "confirmed", "valid", "real", "supported", "correct", "available", "present")
+STEP_AGAINST = ("not exist", "not found", "hallucinated", "invalid", "fake", "fabricated", "missing", "unsupported", "incorrect", "absent")
+ALL_FOR = ("exist", "found", "verified", "confirmed", "valid", "real", "correct")
+ALL_AGAINST = ("not exist", "hallucinated", "invalid", "fake", "missing", "incorrect")
+HEDGES = ("might", "possibly", "perhaps", "maybe", "could", "seems", "appear", "likely", "unclear")
+NEGATIONS = ("not ", "no ", "never", "doesn't", "don't", "won't", "isn't", "aren't", "cannot")
 
 
-def reason_features(reason: Column) -> dict[str, Column]:
-    count = lambda rx: F.size(F.split(F.lower(reason), rx)) - 1
-    return {
-        "hedges": count("(?:may|might|could|possibly|seems|unclear)"),
-        "ticks": count("`"),
-        "words": F.least(F.size(F.split(F.trim(reason), " +")), F.lit(60)),
-        "negations": count("(?:not|never|no )"),
-        "digits": F.least(count("[0-9]"), F.lit(10)),
-        "ends": F.when(reason.endswith("."), 1).otherwise(0),
-    }
+def occurrences(text: Column, words: Sequence[str]) -> Column:
+    """How often the words occur, each counted by itself."""
+    return reduce(lambda a, b: a + b, [F.size(F.split(text, w, -1)) - 1 for w in words])
+
+
+def reason_features(verdict: Column, reason: Column) -> list[Column]:
+    """Agreement of the reason's steps with the verdict, its margin, its grounding in quotes, hedges, negations and words."""
+    low = F.lower(reason)
+    steps = F.filter(F.transform(F.split(low, r"[.|\n]"), lambda x: F.trim(x)), lambda x: F.octet_length(x) > 10)
+    has = lambda x, words: x.rlike("|".join(words))
+
+    def aligned(x: Column) -> Column:
+        return F.when(verdict == "verified", has(x, STEP_FOR)).when(verdict == "hallucinated", has(x, STEP_AGAINST)).otherwise(has(x, STEP_FOR) != has(x, STEP_AGAINST))
+
+    agreement = F.when(F.size(steps) == 0, 0.5).otherwise(F.size(F.filter(steps, aligned)) / F.size(steps))
+    support, refute = occurrences(low, ALL_FOR), occurrences(low, ALL_AGAINST)
+    total = support + refute
+    margin = F.when(verdict == "verified", (support - refute) / total).when(verdict == "hallucinated", (refute - support) / total).otherwise(0.5 - F.abs(support - refute) / total * 0.5)
+    quoted_bytes = F.aggregate(F.filter(F.split(reason, "`", -1), lambda x, i: i % 2 == 1), F.lit(0), lambda a, x: a + F.octet_length(x))
+    grounding = F.least(quoted_bytes / F.greatest(F.octet_length(reason), F.lit(1)) * 5.0, F.lit(1.0))
+    words = F.when(F.trim(reason) == "", 0).otherwise(F.size(F.split(F.trim(reason), r"\s+")))
+    return [agreement, F.when(total == 0, 0.5).otherwise((margin + 1.0) / 2.0), grounding, occurrences(low, HEDGES), occurrences(low, NEGATIONS), words]
 
 
 def calibrated(verdict: Column, confidence: Column, reason: Column) -> Column:
     """The judge's confidence, blended with what its reason's wording is worth."""
-    f = reason_features(reason)
-    total = lambda v: reduce(lambda a, k: a + f[k] * CALIBRATION[v][k], f, F.lit(CALIBRATION[v]["bias"]))
-    z = F.when(verdict == "hallucinated", total("hallucinated")).otherwise(total("verified"))
-    blended = BLEND * confidence + (1 - BLEND) / (1 + F.exp(-z))
-    return F.when(verdict.isin("hallucinated", "verified"), F.round(F.greatest(F.least(blended, F.lit(1.0)), F.lit(0.0)), 6)).otherwise(0.0)
+    features = reason_features(verdict, reason)
+    total = lambda v: reduce(lambda a, b: a + b, [f * w for f, w in zip(features, CALIBRATION[v], strict=True)]) + BIAS
+    logit = F.when(verdict == "verified", total("verified")).when(verdict == "hallucinated", total("hallucinated")).otherwise(total(""))
+    return F.round(F.greatest(F.least(BLEND / (1 + F.exp(-logit)) + (1 - BLEND) * confidence, F.lit(1.0)), F.lit(0.0)), 6)
+
+
+def finalized(verdict: Column, confidence: Column, reason: Column) -> tuple[Column, Column]:
+    """The judge's verdict and confidence: an unknown label is uncertain, at zero."""
+    known = verdict.isin("verified", "hallucinated", "uncertain")
+    return F.when(known, verdict).otherwise("uncertain"), F.when(known, calibrated(verdict, confidence, reason)).otherwise(0.0)
+
+
+def quote_found(quote: Column, *places: Column) -> Column:
+    """Whether a quote of four bytes at least stands in one of the places."""
+    q = F.trim(F.regexp_replace(F.trim(quote), '^"+|"+$', ""))
+    return (F.octet_length(q) >= 4) & reduce(lambda a, b: a | b, [F.coalesce(p.contains(q), F.lit(False)) for p in places])
+
+
+def parsed_verdict(content: Column) -> Column:
+    """The judge's object of an answer: without a code fence, after the reasoning, from the first brace to the last."""
+    bare = F.regexp_replace(F.trim(content), r"^```[a-z]*\n?|\n?```$", "")
+    tail = F.when(bare.contains("</reasoning>"), F.regexp_extract(bare, r"(?s)</reasoning>(.*)$", 1)).otherwise(bare)
+    return F.from_json(F.regexp_extract(tail, r"(?s)(\{.*\})", 1), "verdict string, confidence double, reason string, quote string")
 
 
 def contradicted(findings: DataFrame, known: DataFrame) -> DataFrame:
     """Findings without those that deny the existence of a symbol that is known; a compiler's stay."""
     key = claim_key(F.col("warning"))
-    denies = F.lower("warning").rlike("not defined|not found|does not exist|undefined") & ~F.col("warning").startswith("compiler:")
+    denies = F.lower("warning").rlike("not defined|not found|does not exist|undefined") & ~F.col("warning").rlike("^(?:forge: )?compiler:")
     marked = findings.withColumn("key", key).withColumn("denies", denies)
     return marked.join(known.select("key", F.lit(True).alias("is_known")).distinct(), "key", "left").where(~(F.col("denies") & F.coalesce("is_known", F.lit(False)))).drop("key", "denies", "is_known")

@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, scoring, telemetry
 from .registry import query
 
-_KIND = "CASE " + " ".join(f"WHEN starts_with(warning, '{p}') THEN '{k}'" for p, k in scoring.WARNING_KINDS) + " ELSE 'other' END"
+def names(values) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+_BARE = "regexp_replace(warning, '^forge: ', '')"
+_KIND = "CASE " + " ".join(f"WHEN starts_with({_BARE}, '{p}') THEN '{k}'" for p, k in scoring.WARNING_KINDS) + " ELSE 'other' END"
 _KINDS = f"k AS (SELECT *, {_KIND} AS kind, regexp_extract(warning, '`([^`]*)`', 1) AS claim FROM findings)"
-_TERMS = " + ".join(f"count(*) FILTER (kind = '{k}') * {w}::DOUBLE" if cap is None else f"least(count(*) FILTER (kind = '{k}') * {w}::DOUBLE, {cap}::DOUBLE)" for k, (w, cap) in scoring.WEIGHTS.items())
-_RISK = f"""r AS (SELECT response_id, count(*) AS n_findings, bool_or(blocked) AS blocked, round(CASE WHEN bool_or(blocked) THEN 1.0 ELSE least(CASE WHEN bool_or(scan_failed) THEN greatest({_TERMS}, 0.4) ELSE {_TERMS} END, 1.0) END, 6)::DOUBLE AS risk FROM k GROUP BY response_id)"""
+_TERMS = " + ".join(f"count(*) FILTER (kind IN {names(m)}) * {w}::DOUBLE" if cap is None else f"least(count(*) FILTER (kind IN {names(m)}) * {w}::DOUBLE, {cap}::DOUBLE)" for m, w, cap in scoring.WEIGHTS.values())
+_RISK = f"""r AS (SELECT response_id, count(*) FILTER (kind NOT IN ('logic', 'uncertain')) AS n_warnings, bool_or(blocked) AS blocked, count(*) FILTER (kind IN ('l1', 'unverified')) AS l1, bool_or(regexp_matches(warning, '{scoring.INTROSPECTION}')) AS introspected, count(*) FILTER (kind = 'other') AS unknown, bool_or(kind = 'logic') AS has_prose,
+    round(CASE WHEN bool_or(blocked) THEN 1.0 ELSE least(CASE WHEN bool_or(scan_failed) AND count(*) FILTER (kind NOT IN ('logic', 'uncertain')) > 0 THEN greatest({_TERMS}, 0.4) ELSE {_TERMS} END, 1.0) END, 6)::DOUBLE AS risk FROM k GROUP BY response_id),
+    s AS (SELECT *, CASE WHEN n_warnings = 0 AND NOT blocked THEN 1.0 ELSE round(least(1.0, 1 - least(risk, 0.9)), 6) END::DOUBLE AS confidence FROM r)"""
 
 
 @query(f"WITH {_KINDS} SELECT kind, count(*) AS n, count(DISTINCT claim) AS claims FROM k GROUP BY kind")
@@ -18,14 +25,21 @@ def warning_kinds(v):
     return v.findings.withColumn("kind", scoring.warning_kind(F.col("warning"))).withColumn("claim", scoring.claim_key(F.col("warning"))).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("claim").alias("claims"))
 
 
-@query(f"WITH {_KINDS}, {_RISK} SELECT response_id, n_findings, blocked, risk, round(least(1.0, 1 - least(risk, 0.9)), 6)::DOUBLE AS confidence FROM r")
+@query(f"WITH {_KINDS}, {_RISK} SELECT response_id, n_warnings, blocked, risk, confidence FROM s")
 def risk_score(v):
-    return scoring.risk(v.findings).select("response_id", "n_findings", "blocked", "risk", "confidence")
+    return scoring.risk(v.findings).select("response_id", "n_warnings", "blocked", "risk", "confidence")
 
 
-@query(f"WITH {_KINDS}, {_RISK} SELECT CASE WHEN risk >= 0.7 THEN 'block' WHEN risk >= 0.3 THEN 'append' ELSE 'pass' END AS action, NOT blocked AND (n_findings = 0 OR (risk = 0 AND round(1 - least(risk, 0.9), 6) >= 0.85)) AS resolved, count(*) AS n FROM r GROUP BY 1, 2")
+@query(f"WITH {_KINDS}, {_RISK} SELECT CASE WHEN risk >= 0.7 THEN 'block' WHEN risk >= 0.3 THEN 'append' ELSE 'pass' END AS action, l1 = 0 AND confidence >= 0.85 AND unknown = 0 AND NOT introspected AND NOT has_prose AS skipped, count(*) AS n FROM s GROUP BY 1, 2")
 def cascade_split(v):
-    return scoring.needs_judge(scoring.risk(v.findings)).groupBy(scoring.intervention(F.col("risk")).alias("action"), "resolved").agg(F.count("*").alias("n"))
+    claims = v.findings.withColumn("kind", scoring.warning_kind(F.col("warning"))).groupBy("response_id").agg(F.count("*").alias("claims"), F.count_if(F.col("kind") == "other").alias("unknown"), F.bool_or(F.col("kind") == "logic").alias("has_prose"))
+    return scoring.cascade(scoring.risk(v.findings).join(claims, "response_id")).groupBy(scoring.intervention(F.col("risk")).alias("action"), "skipped").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_KINDS} SELECT claim, max(CASE {' '.join(f"WHEN kind = '{k}' THEN {c}" for k, c in scoring.KIND_CONFIDENCE.items())} ELSE 0.5 END)::DOUBLE AS confidence FROM k WHERE claim <> '' GROUP BY claim")
+def warning_confidence(v):
+    f = v.findings.select(scoring.claim_key(F.col("warning")).alias("claim"), scoring.kind_confidence(scoring.warning_kind(F.col("warning"))).alias("confidence"))
+    return scoring.strongest(f)
 
 
 @query("SELECT response_id, coalesce(min(CASE WHEN seq % 2 = 0 THEN confidence END), 1.0)::DOUBLE AS cache, coalesce(min(CASE WHEN seq % 2 = 1 THEN confidence END), 1.0)::DOUBLE AS forge, least(cache, forge) AS combined FROM judge GROUP BY response_id")
@@ -47,29 +61,35 @@ def judge_aggregate(v):
 
 
 def _sql_calibration() -> str:
-    count = lambda rx: f"(len(regexp_split_to_array(lower(text), '{rx}')) - 1)"
-    f = {
-        "hedges": count("(?:may|might|could|possibly|seems|unclear)"),
-        "ticks": count("`"),
-        "words": "least(len(regexp_split_to_array(trim(text), ' +')), 60)",
-        "negations": count("(?:not|never|no )"),
-        "digits": f"least({count('[0-9]')}, 10)",
-        "ends": "(ends_with(text, '.'))::INT",
-    }
-    total = lambda v: " + ".join([f"({scoring.CALIBRATION[v]['bias']})", *[f"{f[k]} * ({scoring.CALIBRATION[v][k]})" for k in f]])
-    z = f"CASE WHEN verdict = 'hallucinated' THEN {total('hallucinated')} ELSE {total('verified')} END"
-    return f"""WITH j AS (SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN 'hallucinated' WHEN 1 THEN 'verified' ELSE 'uncertain' END AS verdict, (item_id % 10)::DOUBLE / 10 AS confidence FROM benchmark)
-    SELECT item_id, verdict, CASE WHEN verdict IN ('hallucinated', 'verified') THEN round(greatest(least(0.7::DOUBLE * confidence + 0.3::DOUBLE / (1 + exp(-({z})::DOUBLE)), 1.0), 0.0), 6) ELSE 0.0 END::DOUBLE AS calibrated FROM j"""
+    low = "lower(text)"
+    occur = lambda words: "(" + " + ".join(f"(len(string_split({low}, {names([w])[1:-1]})) - 1)" for w in words) + ")"
+    steps = f"list_filter(list_transform(regexp_split_to_array({low}, '[.|\\n]'), lambda x: trim(x)), lambda x: strlen(x) > 10)"
+    has = lambda words: f"regexp_matches(x, '{'|'.join(words)}')"
+    hit = f"CASE verdict WHEN 'verified' THEN {has(scoring.STEP_FOR)} WHEN 'hallucinated' THEN {has(scoring.STEP_AGAINST)} ELSE {has(scoring.STEP_FOR)} <> {has(scoring.STEP_AGAINST)} END"
+    s, r = occur(scoring.ALL_FOR), occur(scoring.ALL_AGAINST)
+    margin = f"CASE verdict WHEN 'verified' THEN ({s} - {r})::DOUBLE / ({s} + {r}) WHEN 'hallucinated' THEN ({r} - {s})::DOUBLE / ({s} + {r}) ELSE 0.5 - abs({s} - {r})::DOUBLE / ({s} + {r}) * 0.5 END"
+    features = [
+        f"CASE WHEN len({steps}) = 0 THEN 0.5 ELSE len(list_filter({steps}, lambda x: {hit}))::DOUBLE / len({steps}) END",
+        f"CASE WHEN {s} + {r} = 0 THEN 0.5 ELSE ({margin} + 1.0) / 2.0 END",
+        "least(coalesce(list_sum(list_transform(range(2, len(string_split(text, '`')) + 1, 2), lambda i: strlen(string_split(text, '`')[i]))), 0)::DOUBLE / greatest(strlen(text), 1) * 5.0, 1.0)",
+        occur(scoring.HEDGES), occur(scoring.NEGATIONS), "CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END",
+    ]
+    total = lambda v: " + ".join([f"({f}) * ({w})::DOUBLE" for f, w in zip(features, scoring.CALIBRATION[v])]) + f" + {scoring.BIAS}"
+    z = f"CASE verdict WHEN 'verified' THEN {total('verified')} WHEN 'hallucinated' THEN {total('hallucinated')} ELSE {total('')} END"
+    return f"""WITH j AS (SELECT item_id, concat(text, ' it is not found. `', substr(text, 1, 9), '` might exist') AS text, CASE item_id % 4 WHEN 0 THEN 'hallucinated' WHEN 1 THEN 'verified' WHEN 2 THEN 'odd' ELSE 'uncertain' END AS verdict, (item_id % 10)::DOUBLE / 10 AS confidence FROM benchmark)
+    SELECT item_id, CASE WHEN verdict = 'odd' THEN 'uncertain' ELSE verdict END AS verdict, CASE WHEN verdict = 'odd' THEN 0.0 ELSE round(greatest(least(0.7::DOUBLE / (1 + exp(-({z}))) + 0.3::DOUBLE * confidence, 1.0), 0.0), 6) END::DOUBLE AS calibrated FROM j"""
 
 
 @query(_sql_calibration())
 def calibrate_confidence(v):
-    j = v.benchmark.withColumn("verdict", F.expr("CASE item_id % 3 WHEN 0 THEN 'hallucinated' WHEN 1 THEN 'verified' ELSE 'uncertain' END")).withColumn("confidence", (F.col("item_id") % 10).cast("double") / 10)
-    return j.select("item_id", "verdict", scoring.calibrated(F.col("verdict"), F.col("confidence"), F.col("text")).alias("calibrated"))
+    j = v.benchmark.withColumn("verdict", F.expr("CASE item_id % 4 WHEN 0 THEN 'hallucinated' WHEN 1 THEN 'verified' WHEN 2 THEN 'odd' ELSE 'uncertain' END")).withColumn("confidence", (F.col("item_id") % 10).cast("double") / 10)
+    reason = F.concat("text", F.lit(" it is not found. `"), F.substring("text", 1, 9), F.lit("` might exist"))
+    verdict, sure = scoring.finalized(F.col("verdict"), F.col("confidence"), reason)
+    return j.select("item_id", verdict.alias("verdict"), sure.alias("calibrated"))
 
 
 @query(
-    f"WITH {_KINDS} SELECT kind, count(*) AS n FROM k WHERE NOT (regexp_matches(lower(warning), 'not defined|not found|does not exist|undefined') AND NOT starts_with(warning, 'compiler:') AND claim IN (SELECT concat(p, i) FROM (VALUES ('m'), ('p')) t(p), range(0, 25) r(i))) GROUP BY kind"
+    f"WITH {_KINDS} SELECT kind, count(*) AS n FROM k WHERE NOT (regexp_matches(lower(warning), 'not defined|not found|does not exist|undefined') AND NOT regexp_matches(warning, '^(?:forge: )?compiler:') AND claim IN (SELECT concat(p, i) FROM (VALUES ('m'), ('p')) t(p), range(0, 25) r(i))) GROUP BY kind"
 )
 def post_filter(v):
     known = v.spark.range(25).select(F.explode(F.array(F.concat(F.lit("m"), F.col("id")), F.concat(F.lit("p"), F.col("id")))).alias("key"))
@@ -186,6 +206,7 @@ def newest_run(v):
     return evaluation.newest_run(v.scan_log.select(F.col("user_id").alias("task"), F.col("phase").alias("arm"), F.col("event_id").alias("run_id"), "ts"))
 
 
-@query(f"WITH {_KINDS}, e AS (SELECT response_id, bool_or(kind = 'cached') AS a, bool_or(kind = 'forge') AS b, bool_or(kind = 'logic') AS c FROM k GROUP BY response_id) SELECT count(*) FILTER (a) AS l15, count(*) FILTER (b) AS l2, count(*) FILTER (c) AS l3, count(*) FILTER (a OR b OR c) AS hit, count(*) AS responses FROM e")
+@query(f"WITH {_KINDS}, e AS (SELECT response_id, bool_or(kind = 'cached') AS a, bool_or(kind IN {names(scoring.FORGE_KINDS)}) AS b, bool_or(kind = 'logic') AS c FROM k GROUP BY response_id) SELECT count(*) FILTER (a) AS l15, count(*) FILTER (b) AS l2, count(*) FILTER (c) AS l3, count(*) FILTER (a OR b OR c) AS hit, count(*) AS responses FROM e")
 def layer_hits(v):
-    return evaluation.layer_hits(v.findings.withColumn("kind", scoring.warning_kind(F.col("warning"))))
+    kind = scoring.warning_kind(F.col("warning"))
+    return evaluation.layer_hits(v.findings.withColumn("kind", F.when(kind.isin(*scoring.FORGE_KINDS), "forge").otherwise(kind)))

@@ -180,12 +180,16 @@ def delimiter_depths(v):
     return v.responses.select("response_id", delimiter_depth(F.col("content")).alias("depth"))
 
 
+_MARKED = "CASE WHEN role = 'user' AND turn % 7 = 0 THEN text || ' Suggest a title' WHEN role = 'user' AND turn % 5 = 0 THEN text || ' ## Goal ## Progress ## Key Decisions' WHEN role = 'system' AND conv_id % 2 = 0 THEN text || ' Summarise' ELSE text END"
+_ANY = lambda words: " OR ".join(f"contains(b, {q(w)})" for w in words)
+
+
 @query(
-    """WITH u AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS u, arg_min(text, turn) FILTER (role = 'system') AS s, count(*) AS turns FROM messages GROUP BY conv_id)
-    SELECT conv_id, CASE WHEN regexp_matches(lower(concat(coalesce(s, ''), ' ', coalesce(u, ''))), 'summarize the conversation|compact the|conversation summary') THEN 'compaction' WHEN u IS NULL THEN 'background' WHEN regexp_matches(lower(u), 'generate a title|title for') OR (strlen(u) < 80 AND turns = 1) THEN 'background' ELSE 'foreground' END AS class FROM u"""
+    f"""WITH u AS (SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS u, coalesce(arg_min(text, turn) FILTER (role = 'system'), '') AS s, count(*) AS turns FROM (SELECT conv_id, turn, role, {_MARKED} AS text FROM messages) GROUP BY conv_id), b AS (SELECT *, lower(s || chr(10) || u) AS b FROM u)
+    SELECT conv_id, CASE WHEN {_ANY(messages.COMPACTION)} OR {' OR '.join('(' + ' AND '.join(f'contains(b, {q(w)})' for w in g) + ')' for g in messages.COMPACTION_GROUPS)} THEN 'compaction' WHEN {_ANY(messages.BACKGROUND)} OR (turns <= 3 AND regexp_matches(lower(s), 'summari|compact')) THEN 'background' ELSE 'chat' END AS class FROM b"""
 )
 def classify_requests(v):
-    return messages.classify(v.messages)
+    return messages.classify(v.messages.withColumn("text", F.expr(_MARKED)))
 
 
 @query(

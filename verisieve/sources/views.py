@@ -31,19 +31,7 @@ VIEWS: dict[str, str] = {
         CAST(floor(value * 10) AS BIGINT) AS latency_ms, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS tokens, user_id, event_type, value, props FROM events""",
     "predictions": """SELECT l.doc_id AS case_id, d.lang AS language, d.source AS claim_type, l.quality = 0 AS predicted, l.toxic = 1 AS truth,
         CAST(l.doc_id * 37 % 101 AS DOUBLE) / 100 AS confidence, l.doc_id % 2 = 0 AS flagged_a, l.doc_id % 3 = 0 AS flagged_b FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
-    "findings": """SELECT l_orderkey AS response_id, l_linenumber AS seq, CASE l_suppkey % 12
-        WHEN 0 THEN concat('hallucinated-method: `m', CAST(l_partkey % 50 AS STRING), '` is not defined')
-        WHEN 1 THEN concat('hallucinated-import: `p', CAST(l_partkey % 50 AS STRING), '` not found')
-        WHEN 2 THEN concat('hallucinated-variable: `v', CAST(l_partkey % 50 AS STRING), '` undefined')
-        WHEN 3 THEN concat('compiler: `c', CAST(l_partkey % 50 AS STRING), '` failed')
-        WHEN 4 THEN concat('unverified: `u', CAST(l_partkey % 50 AS STRING), '`')
-        WHEN 5 THEN concat('logic: step ', CAST(l_partkey % 50 AS STRING))
-        WHEN 6 THEN concat('uncertain: `k', CAST(l_partkey % 50 AS STRING), '`')
-        WHEN 7 THEN concat('scope: `s', CAST(l_partkey % 50 AS STRING), '`')
-        WHEN 8 THEN concat('symbol-cache: `y', CAST(l_partkey % 50 AS STRING), '`')
-        WHEN 9 THEN concat('compiler-detected: `c', CAST(l_partkey % 50 AS STRING), '`')
-        WHEN 10 THEN concat('index: `i', CAST(l_partkey % 50 AS STRING), '`')
-        ELSE concat('hallucinated-checksum: ', CAST(l_partkey % 50 AS STRING)) END AS warning,
+    "findings": """SELECT l_orderkey AS response_id, l_linenumber AS seq, CASE l_suppkey % 12 WHEN 0 THEN concat('forge: hallucinated-method: `m', CAST(l_partkey % 50 AS STRING), '` not a method') WHEN 1 THEN concat('forge: hallucinated-import: `p', CAST(l_partkey % 50 AS STRING), '` not found') WHEN 2 THEN concat('forge: hallucinated-variable: `v', CAST(l_partkey % 50 AS STRING), '` undefined') WHEN 3 THEN concat('compiler: `c', CAST(l_partkey % 50 AS STRING), '` failed') WHEN 4 THEN concat('Unverified API: `u', CAST(l_partkey % 50 AS STRING), '`') WHEN 5 THEN concat('logic: `l', CAST(l_partkey % 50 AS STRING), '` contradicts itself') WHEN 6 THEN concat('logic (uncertain): `k', CAST(l_partkey % 50 AS STRING), '`') WHEN 7 THEN concat('scope-hallucination: `s', CAST(l_partkey % 50 AS STRING), '`') WHEN 8 THEN concat('cached-hallucination: `y', CAST(l_partkey % 50 AS STRING), '` does not exist') WHEN 9 THEN concat('compiler-detected: `c', CAST(l_partkey % 50 AS STRING), '`') WHEN 10 THEN concat('Hallucinated API: `i', CAST(l_partkey % 50 AS STRING), '`') ELSE concat('forge: chain-broken: `b', CAST(l_partkey % 50 AS STRING), '` returns nothing') END AS warning,
         l_returnflag = 'R' AND l_linenumber = 1 AS blocked, l_linestatus = 'F' AS scan_failed FROM lineitem""",
     "responses": f"""SELECT doc_id AS response_id, lang, concat(text, chr(10), '```python', chr(10), 'import ', split_part(p_name, ' ', 1), chr(10), split_part(p_name, ' ', 1), '_obj = ', {_CLASS}, '(', CAST(p_size AS STRING), ')', chr(10),
         split_part(p_name, ' ', 1), '_obj.', {_METHOD}, '([1, ', chr(123), '2: 3', chr(125), '], key=4)', chr(10), {_CLASS}, '.', {_METHOD}, '(', CAST(p_size AS STRING), ', missing_', split_part(p_name, ' ', 2), ')', chr(10), '```', chr(10),
