@@ -44,7 +44,7 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verisieve/{label}-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup)
+    before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
         df.write.parquet(path)
