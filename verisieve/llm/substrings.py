@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text = non_null_text()
     keyed = docs.select("doc_id", *keys(text), text.alias("text"))
     anchors, _ = materialize(keyed.where(F.octet_length("text") >= LENGTH).select("k0", "k1", "text").mapInArrow(_anchored, "k0 long, k1 long, anchor long, place long"), "anchors")
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    twice, _ = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")  # written, so that the join can split a hot anchor
     places, _ = materialize(anchors.join(twice, "anchor").groupBy("k0", "k1").agg(F.collect_set(F.struct("anchor", "place")).alias("places")), "places")
     cut, _ = materialize(keyed.select("k0", "k1", "text").join(places, ["k0", "k1"]).mapInArrow(_cut, "k0 long, k1 long, anchor long, first long, hash long, stretch binary"), "stretches")
     different, _ = materialize(cut.groupBy("anchor", "hash", "stretch").agg(F.count("*").alias("n")), "different")
