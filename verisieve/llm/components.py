@@ -14,18 +14,25 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool) -> tuple[DataFrame, str]:
+    """One half of a round, as a written table and its path.
+
+    The minima are written first: a join of two tables that are only exchanged
+    is one whose large partitions adaptive execution can split.
+    """
     if large:
         pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    lowest = pairs.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+    lowest, path = materialize(pairs.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low")), "minima")
     joined = pairs.join(lowest, "a")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
         out = joined.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
-    return out.where("a <> b").distinct()
+    stepped = materialize(out.where("a <> b").distinct(), "edges")
+    discard(edges.sparkSession, path)
+    return stepped
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -47,7 +54,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        stepped, new_path = materialize(_stars(_stars(now, True), False), "edges")
+        half, half_path = _stars(now, True)
+        stepped, new_path = _stars(half, False)
+        discard(spark, half_path)
         discard(spark, path)
         new_state, now, path = _state(stepped), stepped, new_path
         if new_state == state:
