@@ -6,8 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from verisieve.functions import naming
 from verisieve.functions.text import byte_distance, common_prefix, delimiter_depth, token_estimate
-from verisieve.operators import documents, evidence, extract, messages, rules, scoring, symbols, telemetry
+from verisieve.operators import documents, evidence, extract, lexical, messages, rules, scoring, symbols, telemetry
 from verisieve.plans import ORACLE, QUERIES
 from verisieve.sources import readers, sinks
 from verisieve.sources.views import TABLES
@@ -208,6 +209,27 @@ def test_headings_end_at_their_level(spark):
     assert [(r["level"], r["heading"], r["body"]) for r in documents.headings(docs).orderBy("seq").collect()] == [(1, "A", "# A\ntext\n## B\nmore"), (2, "B", "## B\nmore"), (1, "C", "# C\nend")]
 
 
+@pytest.mark.parametrize("language", sorted(lexical.LITERALS))
+def test_blanking_keeps_length_and_lines(spark, language):
+    for text in ["a = 'x\\'y' # c\n// d\n/* e\n f */ g \"h\"", '"' + "q" * 100_000, "/* " + "* / " * 30_000, '"""' + "\n" * 50_000, "'" * 999, ""]:
+        out = spark.createDataFrame([(text,)], "t string").select(lexical.blanked("t", language)).first()[0]
+        assert len(out) == len(text) and out.count("\n") == text.count("\n") and all(a in (b, " ") for a, b in zip(out, text))
+    assert one(spark, lexical.blanked("t", "c"), t="x /* \"no */ y 'a\\'b' z") == "x           y        z"
+
+
+def test_long_tool_calls_and_arguments(spark):
+    code = "line\\n" * 50_000
+    got = one(spark, lexical.tool_call_code("t"), t='{"type":"tool_use","input":{"content":"' + code)
+    assert got == "line\n" * 50_000
+    assert one(spark, naming.argument_count(F.col("a")), a='"' + "x,y" * 50_000 + '", b') == 2
+
+
+def test_paths_and_parents(spark):
+    text = '{"filePath": "C:\\\\p\\\\src\\\\a.rs"} <parameter name="path">C:/p/lib/b.rs</parameter> read("rel.py") "path": "https://x/y"'
+    assert one(spark, lexical.file_paths("t"), t=text) == ["C:/p/src/a.rs", "C:/p/lib/b.rs"]
+    assert one(spark, lexical.common_parent(F.array(F.lit("/a/b/c.py"), F.lit("/a/b/d/e.py")))) == "/a/b" and one(spark, lexical.common_parent(F.array().cast("array<string>"))) == ""
+
+
 def test_difference_keeps_whole_characters(spark):
     d = sessions.difference(F.col("a"), F.col("b"))
     assert one(spark, d, a="hello world", b="hello") == " world"

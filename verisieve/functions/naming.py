@@ -69,7 +69,7 @@ def signature(kind: Column, name: Column, params: Column, returns: Column) -> Co
 
 def argument_count(arguments: Column) -> Column:
     """Arguments at the top level of a call's list; brackets and quoted strings with escapes do not part them."""
-    bare = F.regexp_replace(F.trim(arguments), r"""(?s)"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`""", "s")
+    bare = F.regexp_replace(F.trim(arguments), r"""(?s)"(?:\\.|[^"\\]++)*+"|'(?:\\.|[^'\\]++)*+'|`(?:\\.|[^`\\]++)*+`""", "s")
     marks = F.split(F.regexp_replace(bare, r"[^(\[{<)\]}>,]", ""), "")
     step = lambda a, c: F.struct((a["d"] + F.when(c.isin("(", "[", "{", "<"), 1).when(c.isin(")", "]", "}", ">"), -1).otherwise(0)).alias("d"), (a["n"] + F.when((c == ",") & (a["d"] == 0), 1).otherwise(0)).alias("n"))
     return F.when(F.trim(arguments) == "", 0).otherwise(F.aggregate(marks, F.struct(F.lit(0).alias("d"), F.lit(1).alias("n")), step, lambda a: a["n"]))

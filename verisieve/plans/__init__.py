@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import catalogue, names, scores, streams, texts
+from . import catalogue, lexemes, names, scores, streams, texts
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "catalogue", "names", "scores", "streams", "texts"]
+__all__ = ["ORACLE", "QUERIES", "catalogue", "lexemes", "names", "scores", "streams", "texts"]
