@@ -29,6 +29,13 @@ def test_semantic_article_and_cut_markup():
     assert w.extract("<article><p>x</p></article><script>never closed <p>no</p>", None) == "x"
 
 
+def test_headers_of_pages_and_of_articles():
+    html = '<div class="site-header"><p>Site</p></div><div class="post"><div class="entry-header"><h1>Title</h1></div><p>Body of some length here</p></div>'
+    assert w.extract(html, None) == "Title\nBody of some length here"
+    assert w.extract('<article><div class="header"><h1>T</h1></div><p>x</p><div class="ad-box">buy</div><div role="navigation">n</div></article>', None) == "T\nx"
+    assert w.extract('<article><p>headers and addresses, advert for words</p><div class="adventure">kept</div></article>', None) == "headers and addresses, advert for words\nkept"
+
+
 def test_alignment_yields_optional_and_repeated_groups():
     a, b = (w.folded(w.parse(p)) for p in ("<body><h1>A</h1><h2>x</h2><p>1</p><h2>y</h2><p>2</p>", "<body><h1>A</h1><blockquote>q</blockquote><h2>x</h2><p>3</p><h2>z</h2><p>4</p>"))
     assert w.expression(w.merged(a, b)) == "<><body><h1>=</> <blockquote>=</>? (<h2>#</> <p>#</>)+</></>"

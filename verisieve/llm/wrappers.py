@@ -50,10 +50,12 @@ RAW = frozenset("script style template svg canvas object math audio video".split
 #: Elements, and words in a class, id or role, that are never part of an article.
 APART = frozenset("nav footer aside form head button select textarea iframe noscript dialog menu legend optgroup option".split())
 ROLES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|header|masthead|banner|footer|foot|colophon|contentinfo|sidebar|aside|complementary|ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|"
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|banner|footer|foot|colophon|contentinfo|sidebar|aside|complementary|ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|"
     r"notice|notices|cookie|cookies|consent|gdpr|popup|modal|overlay|alert|comment|comments|commentlist|respond|reply|replies|discussion|disqus|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|"
     r"pagination|pager|subscribe|subscription|newsletter|signup|login|search|widget|toolbar|skip)(?:$|[\s_-])"
 )
+#: Words of a page's own header; an article's own is part of it.
+HEADERS = re.compile(r"(?:^|[\s_-])(?<!article[_-])(?<!post[_-])(?<!entry[_-])(?<!story[_-])(?<!content[_-])(?:header|masthead)(?:$|[\s_-])")
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup")}
 SCOPES = frozenset("ul ol dl table select article section div body html td th".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>|[^<]++|<""", re.S)
@@ -73,11 +75,11 @@ class Node:
         self.tag, self.sig, self.apart, self.items, self.parent = tag, sig, apart, [], parent
 
 
-def _signature(tag: str, attributes: str) -> tuple[str, bool]:
+def _signature(tag: str, attributes: str, within: bool) -> tuple[str, bool]:
     named = " ".join((a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(attributes)).lower() if attributes else ""
     sig = tag + "".join("." + re.sub(r"\d+", "0", w) for w in sorted(set(named.split()))[:3])
-    apart = tag in APART or bool(named and tag not in ("html", "body", "article", "main") and ROLES.search(named))
-    return sig, apart
+    apart = tag in APART or bool(named and tag not in ("html", "body", "article", "main") and (ROLES.search(named) or not within and HEADERS.search(named)))
+    return sig, not within if tag == "header" else apart
 
 
 def parse(page: str) -> Node:
@@ -128,9 +130,7 @@ def parse(page: str) -> Node:
                         here = here.parent
                     opened[other] -= 1
                     here = up.parent
-        sig, apart = _signature(tag, m[3])
-        if tag == "header":
-            apart = not opened["article"]
+        sig, apart = _signature(tag, m[3], bool(opened["article"]))
         node = Node(tag, sig, apart, here)
         here.items.append(node)
         if tag not in VOID:
