@@ -95,6 +95,7 @@ def test_redaction_removes_what_is_found_and_nothing_else(spark):
     assert out[2] == "[EMAIL][EMAIL] x@y mail me: [EMAIL]."
     assert out[3].startswith("[IP] 256.1.1.1 [IP].[IP] [IP] 9999")
     assert out[4] == "card [CARD] and 4111-1111-1111-1112, 49927398716 x [CARD]"
+    assert out[7] == "ssn [SSN] but [SSN] far" + " " * 60 + "987-65-4321"
     assert out[9] == PII_TEXTS[9]
 
 

@@ -120,20 +120,30 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _masked(matches: Column, gaps: Column, text: str, kind: str) -> Column:
-    masked = F.transform(matches, lambda v: F.when(VALID[kind](v), F.lit(f"[{kind.upper()}]")).otherwise(v))
+    def hit(v: Column, i: Column) -> Column:
+        if kind != "ssn":
+            return VALID[kind](v)
+        # the window holds three other matches at most
+        low = F.greatest(i - 3, F.lit(0))
+        whole = lambda start, n: F.array_join(F.zip_with(F.slice(gaps, start + 1, n), F.slice(matches, start + 1, n), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+        around = F.concat_ws(" ", F.right(F.concat(whole(low, i - low), F.get(gaps, i)), F.lit(WINDOW)), F.left(whole(i + 1, F.lit(4)), F.lit(WINDOW)))
+        return VALID[kind](v) & F.lower(around).rlike(CONTEXT[kind])
+
+    hits = F.transform(matches, hit)
+    masked = F.zip_with(matches, hits, lambda v, h: F.when(h, F.lit(f"[{kind.upper()}]")).otherwise(v))
     pieces = F.zip_with(gaps, F.concat(masked, F.array(F.lit(""))), lambda x, y: F.concat(x, y))
-    return F.when(F.exists(matches, VALID[kind]), F.array_join(pieces, "")).otherwise(F.col(text))
+    return F.when(F.array_contains(hits, True), F.array_join(pieces, "")).otherwise(F.col(text))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The same columns, with each valid match of a base kind, and each IBAN, as its kind in brackets.
+    """The same columns, with each valid match of a kind as the kind in brackets; a social security number needs a context word.
 
     The kinds are replaced one after another, each over the text between its
     matches, so the cost follows the text's length.  ``n_chars`` is renewed if
     there is one.
     """
     out = docs
-    for kind in ("email", "iban", "card", "ip", "phone"):
+    for kind in ("email", "iban", "card", "ssn", "ip", "phone"):
         rx = quoted(FAST[kind])
         m, g = F.expr(f"regexp_extract_all(`{text}`, {rx}, 0)"), F.expr(f"split(`{text}`, {rx}, -1)")
 
