@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, rad
     points, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
     components = connected_components(linked_pairs(points, words, radius, part_radius))
     grouped = points.join(components, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    smallest, _ = materialize(grouped.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")  # written, so that the join can split a large component
     named, _ = materialize(grouped.join(smallest, "component").select("fp", "component", "component_id"), "named")
     return marked.join(named, "fp")
 
