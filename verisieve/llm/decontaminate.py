@@ -177,3 +177,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The query's rows: one for each document and item that overlap."""
     found = find_overlaps(docs.select("doc_id", "text"), benchmark)
     return found.select("doc_id", F.explode("overlaps").alias("o")).select("doc_id", "o.item_id", F.col("o.n_matched").cast("long").alias("n_matched"), F.col("o.n_tokens").cast("long").alias("n_tokens"))
+
+
+def oracle() -> str:
+    """The same rows in DuckDB SQL: every diagonal on which a text and an item share a token, without seeds."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    listed = lambda words: "[" + ", ".join(map(quote, words)) + "]"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_split_to_array(lower(text), '\\s+') AS w FROM documents),
+words AS (SELECT rid, doc_id, w[i] AS word, i AS pos FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT rid, doc_id, list_filter(w, lambda x: x <> '') AS w FROM docs))),
+items AS (SELECT row_number() OVER () AS iid, item_id, list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda x: trim(x, {quote(_EDGES)})), lambda x: x <> '') AS t FROM benchmark),
+tokens AS (SELECT iid, item_id, len(t) AS n, t[q] AS token, q FROM (SELECT iid, item_id, t, unnest(range(1, len(t) + 1)) AS q FROM items)),
+forms AS (SELECT DISTINCT b || token || a AS word, token FROM (SELECT DISTINCT token FROM tokens), (SELECT unnest({listed(_BEFORE)}) AS b), (SELECT unnest({listed(_AFTER)}) AS a)),
+shared AS (SELECT rid, doc_id, iid, item_id, n, pos - q AS shift, q FROM words JOIN forms USING (word) JOIN tokens USING (token)),
+ahead AS (SELECT *, count(*) OVER (PARTITION BY rid, iid, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS near, count(*) OVER (PARTITION BY rid, iid, shift) AS total FROM shared),
+hits AS (SELECT DISTINCT rid, doc_id, item_id, total, n FROM ahead WHERE CASE WHEN n >= {WINDOW} THEN near >= {NEEDED} ELSE total >= ceil(n * {NEEDED} / {WINDOW}::DOUBLE) END)
+SELECT doc_id, item_id, max(total) AS n_matched, arg_max(n, (total, n)) AS n_tokens FROM hits GROUP BY rid, doc_id, item_id"""

@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.oracle(), "op4_secrets": secrets.oracle(), "op7_pii": pii.oracle()}
+    return {"op3_url_filter": url_filter.oracle(), "op4_secrets": secrets.oracle(), "op7_pii": pii.oracle(), "op9_decontaminate": decontaminate.oracle()}
