@@ -367,3 +367,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def oracle(length: int = LENGTH) -> str:
+    """The same rows in DuckDB SQL, by the digest of every window; for small tables."""
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT rid, s, substr(h, 2 * s + 1, {2 * (999 + length)}) AS p, length(h) // 2 AS n FROM (SELECT rid, h, unnest(range(0, length(h) // 2, 1000)) AS s FROM docs)),
+bytes AS (SELECT rid, s, p, n, unnest(range(s + 1, least(s + 1000, n) + 1)) AS i FROM parts),
+windows AS (SELECT rid, i, substr(p, 2 * (i - s) - 1, 2) AS byte, CASE WHEN i + {length - 1} <= n THEN md5(substr(p, 2 * (i - s) - 1, {2 * length})) END AS k FROM bytes),
+twice AS (SELECT k FROM windows WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+marked AS (SELECT rid, i, byte, twice.k IS NOT NULL AS dup FROM windows LEFT JOIN twice ON twice.k = windows.k),
+covered AS (SELECT rid, i, byte, max(dup::INT) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW) AS gone FROM marked),
+edges AS (SELECT rid, i, byte, gone, lag(gone, 1, 0) OVER (PARTITION BY rid ORDER BY i) AS before FROM covered),
+sums AS (SELECT rid, sum(gone)::BIGINT AS n_removed, count(*) FILTER (gone = 1 AND before = 0) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM edges GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM docs LEFT JOIN sums USING (rid)"""
