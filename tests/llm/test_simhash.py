@@ -123,3 +123,20 @@ def test_documents(spark):
         assert by[i]["component_id"] == min(j for j, x in zip(ids, label) if x == own)
     assert by[None]["component_id"] == by[ids[6]]["component_id"]
     assert s.digest(docs.limit(0)).count() == 0
+
+
+def test_edges_do_not_depend_on_the_rows_order(spark):
+    rng = random.Random(8)
+    keys = ["".join(f"{x:016x}" for x in (rng.getrandbits(64), *(rng.getrandbits(64) for _ in range(3)))) for _ in range(80)]
+    for k in list(keys):
+        for _ in range(6):
+            bits = int(k, 16)
+            for _ in range(rng.randrange(20, 50)):
+                bits ^= 1 << rng.randrange(256)
+            keys.append(f"{bits:064x}")
+    runs = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(keys)
+        points = spark.createDataFrame([(k,) for k in keys], "fp string").repartition(seed + 2)
+        runs.append(sorted(map(tuple, s.linked_pairs(points, 4, 51, 1, shard_points=100).collect())))
+    assert runs[0] == runs[1] and runs[0]

@@ -231,6 +231,7 @@ def linked_pairs(points: DataFrame, words: int = 1, radius: int = RADIUS, part_r
                     yield pd.DataFrame({"shard": np.int64(shard * len(parts) + k), "fp": keys[at], "home": home})
 
     def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("fp")  # trees, and so the pairs met beyond the part radius, do not depend on the rows' order
         label = link_shard(unpacked(rows["fp"]), rows["home"].to_numpy(bool), parts[int(key[0]) % len(parts)], part_radius, radius)
         moved = label != np.arange(len(rows))
         keys = rows["fp"].to_numpy()
