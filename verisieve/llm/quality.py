@@ -130,7 +130,7 @@ def _square(g: np.ndarray, h: np.ndarray, reg: float) -> tuple[float, np.ndarray
     return total, out
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40, n_pairs: int = 6, n_bins: int = 32, rate: float = 0.15, reg: float = 2.0) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 100, n_pairs: int = 6, n_bins: int = 64, rate: float = 0.15, reg: float = 2.0) -> Model:
     """Fits the tables to labels ``y`` (0 or 1) of the rows of ``x``."""
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
