@@ -62,3 +62,16 @@ def test_empty(spark):
     full = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     assert d.leaks(docs, some).count() == 0 and d.leaks(full, bench).count() == 0 and d.leaks(full, some).count() == 1
+
+
+def test_texts_lose_the_same_punctuation_as_items():
+    odd = ["[{}]", "`{}`", "*{}*", "**{}**", "<{}>", "{{{}}}", "-{}", "(({}", "{}...", "{}?!", "- {}", "* {} {{"]
+    words = [f"w{i}" for i in range(36)]
+    for form in odd:
+        item = " ".join(form.format(w) if i % 3 == 0 else w for i, w in enumerate(words))
+        for source in (item, " ".join(words)):
+            for text in (item, " ".join(words)):
+                assert d.Seeds([(1, source)]).overlaps([f"some - {text} more"]) == [{1: (36, 36)}], form
+    assert d.Seeds([(1, "one [two] three")]).overlaps(["one - `two` (three", "- *", ""]) == [{1: (3, 3)}, {}, {}]
+    words[20] = words[30] = "-"
+    assert d.Seeds([(1, item)]).overlaps([" ".join(words)]) == [{1: (34, 36)}]

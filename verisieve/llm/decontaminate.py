@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -44,6 +43,7 @@ NEEDED = 10
 BLOCK_BYTES = 8_000_000
 
 _EDGES = "\"'`.,;:!?()[]{}<>*-"
+#: Of the SQL only: what it finds around a known word.
 _BEFORE, _AFTER = ("", '"', "(", "'"), ("", ".", ",", ";", ":", "!", "?", '"', ")", "'", '."', ',"', ".)")
 _PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63))
 
@@ -60,6 +60,26 @@ def _hash(ids: np.ndarray, at: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return h
 
 
+#: Bound of the words whose ids are remembered.
+WORDS = 1_000_000
+_NONE, _OTHER = -2, -1
+
+
+class Known(dict):
+    """The ids of a text's words, stripped as an item's are: ``_NONE`` where nothing is left, ``_OTHER`` where no item has it."""
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, word: str) -> int:
+        bare = word.strip(_EDGES)
+        found = self.ids.get(bare, _OTHER) if bare else _NONE
+        if len(self) < WORDS:
+            self[word] = found
+        return found
+
+
 class Seeds:
     """The seeds of one block of items: a vocabulary, the items as ids, and sorted hashes for each mask."""
 
@@ -69,7 +89,7 @@ class Seeds:
             own = tokens(text)
             if own:
                 self.items.append((item_id, np.array([words.setdefault(w, len(words)) for w in own], np.int32)))
-        self.lookup = {b + w + a: i for w, i in words.items() for b in _BEFORE for a in _AFTER}
+        self.lookup = Known(words)
         self.by_mask = {}
         spans = {}
         for n, (_, ids) in enumerate(self.items):
@@ -96,13 +116,17 @@ class Seeds:
         return found
 
     def _overlaps(self, group: list[tuple[int, list[str]]], found: list[dict[int, tuple[int, int]]]) -> None:
-        get, gap = self.lookup.get, [-1] * (WINDOW + 1)
-        flat, starts, ends = [], [], []
-        for _, words in group:
-            starts.append(len(flat))
-            flat += map(get, words, repeat(-1))
-            ends.append(len(flat))
-            flat += gap
+        get, gap = self.lookup.__getitem__, [_OTHER] * (WINDOW + 1)
+        flat, starts, ends, owners = [], [], [], []
+        for i, words in group:
+            own = list(map(get, words))
+            # words without a token are left out, as in items; laid out with them, too, since they may stand for a token
+            for layout in ([x for x in own if x != _NONE], own) if _NONE in own else (own,):
+                owners.append(i)
+                starts.append(len(flat))
+                flat += layout
+                ends.append(len(flat))
+                flat += gap
         ids = np.array(flat, np.int32)
         starts, ends = np.array(starts), np.array(ends)
         known = np.flatnonzero(ids >= 0)
@@ -127,8 +151,8 @@ class Seeds:
             needed = NEEDED if window == WINDOW else math.ceil(window * NEEDED / WINDOW)
             sums = np.cumsum(np.concatenate([[0], same]))
             if (sums[window:] - sums[:-window]).max() >= needed:
-                best = found[group[d][0]].get(item_id, (0, 0))
-                found[group[d][0]][item_id] = max(best, (int(same.sum()), len(own)))
+                best = found[owners[d]].get(item_id, (0, 0))
+                found[owners[d]][item_id] = max(best, (int(same.sum()), len(own)))
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
