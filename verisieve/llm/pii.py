@@ -2,7 +2,8 @@
 
 Kinds email, ip, card (Luhn) and phone are the base; iban (mod-97) and ssn
 (nothing to verify, so it needs a context word) are added to them.  Each span
-has a score: what its check is worth, and more with a context word close by.
+has a score: what its check is worth, and more with a context word close by;
+it is in the result, and spans of the added kinds depend on it.
 
 Everything is a native column expression.  Defined results: a null text counts
 as empty and has no spans (redaction leaves it null); repeated rows are scanned
@@ -15,15 +16,19 @@ begin, which changes no match but keeps long runs linear.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, non_null_text
 from .secrets import sql_spans
-from .spans import find, labelled, overlaps, quoted, shown
+from .spans import bound, cut, find, labelled, pieces, settled, shown, walk
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+#: The first kinds are the base.
+BASE = 4
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int,value:string,score:int>>"
 #: Fixed patterns of the kinds, in their order.
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -41,20 +46,19 @@ FAST = PLAIN | {
 }
 #: Words near a span that speak for its kind.
 CONTEXT = {
-    "email": "mail|contact|write",
-    "ip": "address|host|server",
-    "card": "card|visa|credit|payment",
-    "phone": "phone|call|tel|mobile",
-    "iban": "iban|bank|account|transfer",
+    "email": "e-?mail|mail|contact|write|courriel|correo|kontakt",
+    "ip": "ip|address|host|server|adresse|direcci",
+    "card": "card|visa|mastercard|credit|payment|carte|tarjeta|karte",
+    "phone": "phone|call|tel|telephone|mobile|fax|telefon|handy|appel|tel[eé]fono|t[eé]l[eé]phone",
+    "iban": "iban|bank|account|transfer|konto|compte|cuenta",
     "ssn": "ssn|social security",
 }
-#: The score of a span whose check passed, and what a context word adds.
-WORTH = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
-CONTEXT_WORTH = 0.1
-SSN_CONTEXT_WORTH = 0.4
+#: Scores are whole hundredths: of a span whose check passed, and what a context word adds.
+WORTH = {"email": 90, "ip": 70, "card": 80, "phone": 60, "iban": 90, "ssn": 40}
+CONTEXT_WORTH = {"email": 10, "ip": 10, "card": 10, "phone": 10, "iban": 10, "ssn": 40}
 WINDOW = 40
 #: Spans of the added kinds need this score; base spans always stay.
-THRESHOLD = 0.5
+THRESHOLD = 50
 BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 
 
@@ -95,67 +99,64 @@ VALID: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _scored(body: str, kind: str, rank: int) -> Column:
-    spans = labelled(find(body, FAST[kind], VALID[kind]), kind, rank)
-    extra = SSN_CONTEXT_WORTH if kind == "ssn" else CONTEXT_WORTH
+def context(kind: str) -> str:
+    """The pattern of a context word of ``kind``, as a word of its own, in lower-cased text."""
+    return f"(?:^|[^a-z])(?:{CONTEXT[kind]})(?:$|[^a-z])"
 
-    def score(s: Column) -> Column:
-        low = F.greatest(s["start"] - WINDOW, F.lit(0))
-        around = F.concat_ws(" ", F.substring(F.col(body), low + 1, s["start"] - low), F.substring(F.col(body), s["end"] + 1, F.lit(WINDOW)))
-        return s.withField("score", F.lit(WORTH[kind]) + F.when(F.lower(around).rlike(CONTEXT[kind]), extra).otherwise(0.0))
 
-    return F.transform(spans, score)
-
-
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``pii``: array of (rank, kind, start, end, value, score), by kind, then start.
+def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
+    """Adds ``out``: array of (start, rank, kind, end, value, score), by start, then kind; the score is in hundredths.
 
     Added kinds are left out where they overlap a base span or score too low.
     """
-    body, base = fresh(docs, "_body"), fresh(docs, "_base")
-    found = docs.withColumn(body, non_null_text(text)).withColumn(base, F.concat(*[_scored(body, k, i) for i, k in enumerate(KINDS[:4])]))
-    more = F.concat(*[_scored(body, k, i) for i, k in enumerate(KINDS) if i >= 4])
-    more = F.filter(more, lambda m: (m["score"] >= THRESHOLD) & ~F.exists(F.col(base), lambda b: overlaps(b, m)))
-    return found.withColumn("pii", F.concat(F.col(base), more)).drop(body, base)
+    body, found = fresh(docs, "_body"), fresh(docs, "_found")
+    marked = docs.withColumn(body, non_null_text(text)).withColumn(found, F.concat(*[labelled(find(f"`{body}`", FAST[k], VALID[k]), k, i) for i, k in enumerate(KINDS)]))
 
+    def scored(own: Column) -> Column:
+        def score(s: Column) -> Column:
+            around = F.lower(F.concat_ws(" ", cut(own, s["start"] - WINDOW, s["start"]), cut(own, s["end"], s["end"] + WINDOW)))
+            by_kind = reduce(lambda rest, i: F.when(s["rank"] == i, F.lit(WORTH[KINDS[i]]) + F.when(around.rlike(context(KINDS[i])), CONTEXT_WORTH[KINDS[i]]).otherwise(0)).otherwise(rest), range(len(KINDS)), F.lit(0))
+            return s.withField("score", by_kind)
 
-def _masked(matches: Column, gaps: Column, text: str, kind: str) -> Column:
-    def hit(v: Column, i: Column) -> Column:
-        if kind != "ssn":
-            return VALID[kind](v)
-        # the window holds three other matches at most
-        low = F.greatest(i - 3, F.lit(0))
-        whole = lambda start, n: F.array_join(F.zip_with(F.slice(gaps, start + 1, n), F.slice(matches, start + 1, n), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-        around = F.concat_ws(" ", F.right(F.concat(whole(low, i - low), F.get(gaps, i)), F.lit(WINDOW)), F.left(whole(i + 1, F.lit(4)), F.lit(WINDOW)))
-        return VALID[kind](v) & F.lower(around).rlike(CONTEXT[kind])
+        return F.transform(found, score)
 
-    hits = F.transform(matches, hit)
-    masked = F.zip_with(matches, hits, lambda v, h: F.when(h, F.lit(f"[{kind.upper()}]")).otherwise(v))
-    pieces = F.zip_with(gaps, F.concat(masked, F.array(F.lit(""))), lambda x, y: F.concat(x, y))
-    return F.when(F.array_contains(hits, True), F.array_join(pieces, "")).otherwise(F.col(text))
+    kept = F.filter(bound(pieces(F.col(body)), scored), lambda s: (s["rank"] < BASE) | (s["score"] >= THRESHOLD))
+    return marked.withColumn(out, F.when(F.size(found) > 0, settled(kept, BASE)).otherwise(F.array().cast(SPANS))).drop(body, found)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The same columns, with each valid match of a kind as the kind in brackets; a social security number needs a context word.
+    """The same columns, with each span of :func:`find_pii` as its kind in brackets.
 
-    The kinds are replaced one after another, each over the text between its
-    matches, so the cost follows the text's length.  ``n_chars`` is renewed if
+    Spans that overlap go together, as the kind of the first of them.  The text
+    is passed once, so the cost follows its length.  ``n_chars`` is renewed if
     there is one.
     """
-    out = docs
-    for kind in ("email", "iban", "card", "ssn", "ip", "phone"):
-        rx = quoted(FAST[kind])
-        m, g = F.expr(f"regexp_extract_all(`{text}`, {rx}, 0)"), F.expr(f"split(`{text}`, {rx}, -1)")
+    spans = fresh(docs, "_spans")
+
+    def masked(s: Column, own: Column, whole: Column) -> Column:
+        def step(at: Column, i: Column) -> Column:
+            def put(x: Column) -> Column:
+                new = F.array(cut(own, at, x["start"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+                return F.struct(F.greatest(at, x["end"]).alias("at"), F.when(x["start"] >= at, new).otherwise(F.array().cast("array<string>")).alias("out"))
+
+            return bound(F.get(s, i), put)
+
+        return bound(walk(F.size(s), "array<string>", step), lambda w: F.concat(F.array_join(w["out"], ""), cut(own, w["at"], F.length(whole))))
 
-        out = out.withColumn(text, F.get(F.transform(F.array(m), lambda x: _masked(x, g, text, kind)), F.lit(0)))  # noqa: B023
+    found = find_pii(docs, text, spans)
+    whole = F.col(f"`{text}`")
+    clean = F.when(F.size(spans) > 0, bound(pieces(whole), lambda own: masked(F.col(spans), own, whole))).otherwise(whole)
+    out = found.withColumn(text, clean).drop(spans)
     return out.withColumn("n_chars", F.length(text).cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The query's columns: counts, the hash of the base spans and all spans."""
+    """The query's columns: counts, the hash of the base spans, all spans, and their scores in hundredths in the same order."""
     s = find_pii(docs.select("doc_id", "text"))
+    by_kind = s.select("doc_id", F.array_sort(F.transform("pii", lambda x: F.struct(*[x[c].alias(c) for c in ("rank", "start", "end", "kind", "score")]))).alias("pii"))
     count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return s.select("doc_id", *[count(k) for k in KINDS], F.sha2(shown(F.filter("pii", lambda x: x["rank"] < 4)), 256).alias("base_sha256"), shown(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda x: x["score"].cast("string")), ",").alias("scores")
+    return by_kind.select("doc_id", *[count(k) for k in KINDS], F.sha2(shown(F.filter("pii", lambda x: x["rank"] < BASE)), 256).alias("base_sha256"), shown(F.col("pii")).alias("spans"), scores)
 
 
 def oracle() -> str:
@@ -175,12 +176,14 @@ def oracle() -> str:
         "ssn": "NOT regexp_matches(v, '^(?:000|666|9)') AND NOT contains(v, '-00-') AND NOT regexp_matches(v, '-0000$')",
     }
     part = lambda k: sql_spans(k, KINDS.index(k), PLAIN[k], valid[k])
-    near = "substr(body, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' ' || substr(body, e + 1, 40)"
+    near = "lower(substr(body, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' ' || substr(body, e + 1, 40))"
+    score = " ".join(f"WHEN '{k}' THEN {WORTH[k]} + CASE WHEN regexp_matches({near}, '{context(k)}') THEN {CONTEXT_WORTH[k]} ELSE 0 END" for k in KINDS)
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
-base AS ({' UNION ALL '.join(part(k) for k in KINDS[:4])}),
-more AS ({part('iban')} UNION ALL SELECT x.* FROM ({part('ssn')}) x JOIN t USING (rid) WHERE regexp_matches(lower({near}), '{CONTEXT["ssn"]}')),
+every AS ({' UNION ALL '.join(part(k) for k in KINDS)}),
+scored AS (SELECT every.*, CASE kind {score} END AS score FROM every JOIN t USING (rid)),
+base AS (SELECT * FROM scored WHERE rank < {BASE}), more AS (SELECT * FROM scored WHERE rank >= {BASE} AND score >= {THRESHOLD}),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = m.rid AND b.s < m.e AND m.s < b.e)),
-found AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = '{x}') AS n_{x}" for x in KINDS)},
-  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) FILTER (rank < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS spans FROM spans GROUP BY rid)
-SELECT doc_id, {', '.join(f'coalesce(n_{x}, 0) AS n_{x}' for x in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN found USING (rid)"""
+found AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = '{x}') AS n_{x}" for x in KINDS)}, string_agg(score, ',' ORDER BY rank, s) AS scores,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) FILTER (rank < {BASE}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS spans FROM spans GROUP BY rid)
+SELECT doc_id, {', '.join(f'coalesce(n_{x}, 0) AS n_{x}' for x in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN found USING (rid)"""

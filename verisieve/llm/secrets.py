@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, non_null_text
-from .spans import find, labelled, overlaps, quoted, shown
+from .spans import bound, find, labelled, quoted, settled, shown
 
 #: Fixed patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,7 +35,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-."
 #: A run is random when its mean ratio per pair of characters is at least this many hundredths of a nat.
-THRESHOLD = 60
+THRESHOLD = 50
 
 #: Ordinary words from which labelled identifiers are composed.
 WORDS = (
@@ -53,14 +53,24 @@ WORDS = (
 
 
 def default_samples(n: int = 3000) -> Iterable[tuple[str, bool]]:
-    """``n`` labelled strings of each kind, made by rule: (string, is random)."""
+    """Labelled strings made by rule, ``n`` times two random and two or three ordinary ones: (string, is random).
+
+    Random are digests in several spellings, with and without digits; ordinary
+    are composed words, numbers, and lines drawn with one or two characters.
+    """
+    letters = ALPHABET[:52]
     for i in range(n):
         h = hashlib.sha256(f"sample {i}".encode()).digest()
-        yield base64.b64encode(h)[: 20 + h[0] % 20].decode(), True
-        yield (h.hex()[: 24 + h[1] % 24], base64.urlsafe_b64encode(h[::-1])[: 20 + h[1] % 20].decode())[i % 2], True
+        long = base64.b64encode(h + h[::-1]).decode()
+        bare = "".join(letters[b % 52] for b in h)
+        yield long[: 20 + h[0] % 20], True
+        yield (h.hex()[: 24 + h[1] % 24], base64.urlsafe_b64encode(h[::-1])[: 20 + h[1] % 20].decode(), bare, bare.lower(), bare.upper(), base64.b32encode(h).decode()[: 20 + h[1] % 20], h.hex().upper()[: 24 + h[1] % 24])[i % 7], True
         words = [WORDS[(h[k] << 8 | h[k + 1]) % len(WORDS)] for k in range(0, 8, 2)]
         yield ("_".join(words), "".join(w.capitalize() for w in words), words[0] + "".join(w.capitalize() for w in words[1:]), "-".join(words), "".join(words), "_".join(words).upper(), "/".join(words))[h[9] % 7], False
-        yield (words[0] + str(h[10] % 100), f"{words[0]}_{1900 + h[11] % 200}", words[1] + "=" + words[2], words[0] + "------" + words[3])[h[12] % 4], False
+        yield (words[0] + str(h[10] % 100), f"{words[0]}_{1900 + h[11] % 200}", words[1] + "=" + words[2], words[0] + "------" + words[3], f"{1900 + h[11]}-{h[12] % 12 + 1:02}-{h[13] % 28 + 1:02}")[h[14] % 5], False
+        if i % 10 == 0:
+            a, b = ALPHABET[i // 20 % len(ALPHABET)], ALPHABET[h[15] % len(ALPHABET)]
+            yield (a * (20 + h[16] % 20) if i % 20 else ((a + b) * 12, letters[:26], "0123456789" * 3)[h[17] % 3]), False
 
 
 def train(samples: Iterable[tuple[str, bool]], alphabet: str = ALPHABET, smoothing: float = 0.5) -> list[int]:
@@ -94,7 +104,7 @@ def assignment(match: Column) -> Column:
 
 
 def is_random(token: Column, model: tuple[int, ...], threshold: int) -> Column:
-    """Whether the models call a run random: it has a digit, and its summed ratio reaches the threshold."""
+    """Whether the models call a run random: its summed ratio reaches the threshold for each pair of its characters."""
     k = len(ALPHABET)
     table = F.expr("array(" + ",".join(map(str, model)) + ")")
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
@@ -103,22 +113,21 @@ def is_random(token: Column, model: tuple[int, ...], threshold: int) -> Column:
         total = F.aggregate(F.sequence(F.lit(0), F.size(x) - 2), F.lit(0), lambda acc, i: acc + F.get(table, F.get(x, i) * k + F.get(x, i + 1)))
         return total >= threshold * (F.size(x) - 1)
 
-    return token.rlike("[0-9]") & F.get(F.transform(F.array(codes), judged), F.lit(0))
+    return bound(codes, judged)
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", model: tuple[int, ...] | None = None, threshold: int = THRESHOLD) -> DataFrame:
-    """Adds ``secrets``: array of (rank, kind, start, end, value), by start, then kind.
+    """Adds ``secrets``: array of (start, rank, kind, end, value), by start, then kind.
 
     A run that the models flag is left out where it overlaps a base span.
     """
     model = model or default_model()
-    body, base, runs = fresh(docs, "_body"), fresh(docs, "_base"), fresh(docs, "_runs")
-    found = docs.withColumn(body, non_null_text(text))
-    parts = [labelled(find(body, rx, ok), kind, i) for i, (kind, rx, ok) in enumerate(zip(KINDS, (ASSIGN, ACCESS, HEX), (assignment, lambda m: F.lit(True), lambda m: F.lit(True)), strict=False))]
-    found = found.withColumn(base, F.concat(*parts)).withColumn(runs, labelled(find(body, CANDIDATE, lambda m: is_random(m, model, threshold)), "markov", 3))
-    added = F.filter(F.col(runs), lambda r: ~F.exists(F.col(base), lambda b: overlaps(b, r)))
-    by_start = F.array_sort(F.concat(F.col(base), added), lambda x, y: F.when((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["rank"] < y["rank"])), -1).otherwise(1))
-    return found.withColumn("secrets", by_start).drop(body, base, runs)
+    body, found = fresh(docs, "_body"), fresh(docs, "_found")
+    always = lambda m: F.lit(True)
+    kinds = zip(KINDS, (ASSIGN, ACCESS, HEX, CANDIDATE), (assignment, always, always, lambda m: is_random(m, model, threshold)), strict=True)
+    parts = [labelled(find(f"`{body}`", rx, ok), kind, i) for i, (kind, rx, ok) in enumerate(kinds)]
+    marked = docs.withColumn(body, non_null_text(text)).withColumn(found, F.concat(*parts))
+    return marked.withColumn("secrets", settled(F.col(found), 3)).drop(body, found)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -145,7 +154,7 @@ def oracle() -> str:
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
 model AS (SELECT [{', '.join(map(str, model))}] AS r),
 base AS ({sql_spans('assign', 0, ASSIGN, f"length(regexp_extract(v, {quoted(ASSIGN)[1:]}, 2)) >= 6")} UNION ALL {sql_spans('access', 1, ACCESS)} UNION ALL {sql_spans('hex', 2, HEX)}),
-runs AS ({sql_spans('markov', 3, CANDIDATE, "regexp_matches(v, '[0-9]')")}),
+runs AS ({sql_spans('markov', 3, CANDIDATE)}),
 random AS (SELECT runs.* FROM runs, model WHERE {total} >= {THRESHOLD} * (length(v) - 1)),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM random r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.s < r.e AND r.s < b.e)),
 found AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = '{x}') AS n_{x}" for x in KINDS)},
