@@ -1,18 +1,27 @@
 """SimHash near-duplicates, paired by vantage-point trees.
 
 A fingerprint sums the hashes of a text's word shingles bit by bit.  Texts with
-the same fingerprint are one point; points within ``RADIUS`` bits link.
-
-Such a pair agrees, on one of the three parts of the 64 bits at least, up to
-``RADIUS // 3`` bits, so each part has a tree of its own with that smaller
-radius.  A vantage-point tree over Hamming distance, grown on a bounded sample,
-cuts a part's points into shards; each point lies in one shard and visits every
-shard that its ball reaches over a boundary.  In a shard a tree of the same
-kind, with branches pruned by the triangle inequality, finds the exact pairs
-under the full distance.  A shard keeps only a spanning edge for each of its
+the same fingerprint are one point; pairs of points are searched by parts of
+their fingerprints: a pair counts as met if it differs in ``part_radius`` bits
+at most on one part.  Three parts of 64 bits and a part radius of
+``RADIUS // 3`` meet every pair within ``RADIUS`` bits.
+
+Each part has a vantage-point tree over Hamming distance.  Grown on a bounded
+sample, it cuts the points into shards; each point lies in one shard and visits
+every shard that its ball reaches over a boundary.  In a shard a tree of the
+same kind, with branches pruned by the triangle inequality, finds the exact
+pairs; which pairs are met depends on the two points alone.  A shard that would
+hold too many points is cut into cells, residents by visitors, so that the size
+of a task is bounded at any skew.  A shard gives a spanning edge for each of its
 points, so no group is written out as all its pairs; distributed connected
 components join the edges.
 
+For dropping near copies the fingerprints only propose: pairs within
+``CERTAIN`` bits link, further ones are verified by the share of shingles that
+both texts have.  Each point proposes its nearest neighbours of other groups
+first; points that have more are asked again, with ever larger numbers, until
+none is left that could still join two groups.
+
 Defined results: null and empty texts, and those of white space alone, have
 fingerprint zero and link like any other; a text with fewer words than a
 shingle is one shingle; repeated rows count each; null ids may be reached but
@@ -24,22 +33,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, non_null_text
+from .common import discard, fresh, materialize, non_null_text
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Three parts of each word of a fingerprint, as masks.
-PARTS = tuple(np.uint64(x) for x in (0x3FFFFF, 0x7FFFFC00000, 0xFFFFF80000000000))
-#: Bound of the sample from which the shards' vantage points come, points that a shard should hold, and points of a leaf.
-SAMPLE, SHARD_POINTS, LEAF = 4096, 16_384, 64
+#: Three parts of each word of a fingerprint: first bit, and number of bits.
+PARTS = ((0, 22), (22, 21), (43, 21))
+#: Bounds of the sample that trees grow on, points that a shard should hold, that a cell of it may hold, and points of a leaf.
+SAMPLE, SHARD_POINTS, CELL_POINTS, LEAF = 32_768, 16_384, 65_536, 64
+#: Pairs compared at once.
+PAIRS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
@@ -69,36 +82,52 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").reshape(words)
 
 
-def distance(a: np.ndarray, b: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Differing bits under the masks, over the words of the last axis."""
-    return np.bitwise_count((a ^ b) & masks).sum(axis=-1, dtype=np.int16)
+def parts_of(fp: np.ndarray) -> np.ndarray:
+    """The parts of fingerprints (rows, words), as 32-bit integers (rows, parts)."""
+    return np.stack([(fp[:, w] >> np.uint64(first)) & np.uint64((1 << bits) - 1) for w in range(fp.shape[1]) for first, bits in PARTS], axis=1).astype(np.uint32)
 
 
-def part_masks(words: int) -> list[np.ndarray]:
-    """The masks of each part of a fingerprint."""
-    out = []
-    for w in range(words):
-        for mask in PARTS:
-            own = np.zeros(words, np.uint64)
-            own[w] = mask
-            out.append(own)
-    return out
+def apart(a: np.ndarray, b: np.ndarray | np.uint32) -> np.ndarray:
+    """Differing bits of parts."""
+    return np.bitwise_count(a ^ b)
 
 
-class Routes:
-    """A vantage-point tree of fixed depth over one part: leaves are shards."""
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits over the words of the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
-    def __init__(self, sample: np.ndarray, masks: np.ndarray, radius: int, depth: int):
-        self.masks, self.radius, self.depth = masks, radius, depth
-        self.nodes: dict[int, tuple[np.ndarray, int]] = {}
-        self._grow(1, np.unique(sample & masks, axis=0), 0)
+
+def split(points: np.ndarray) -> tuple[np.uint32, int]:
+    """A vantage point, and the distance that halves the points: of a few points the one that halves best."""
+    best = None
+    for v in points[:: max(1, len(points) // 5)][:5]:
+        d = apart(points, v)
+        cut = int(np.partition(d, (len(d) - 1) // 2)[(len(d) - 1) // 2])
+        inside = int((d <= cut).sum())
+        if best is None or abs(2 * inside - len(d)) < best[0]:
+            best = (abs(2 * inside - len(d)), v, cut)
+    return best[1], best[2]
+
+
+class Routes:
+    """A vantage-point tree of fixed depth over one part: leaves are shards, of one or more cells."""
+
+    def __init__(self, sample: np.ndarray, radius: int, depth: int, points: int, cell_points: int = CELL_POINTS):
+        self.radius, self.depth = radius, depth
+        self.nodes: dict[int, tuple[np.uint32, int]] = {}
+        self._grow(1, np.unique(sample), 0)
+        #: For each shard whose points, by the sample, are too many for one cell: pieces of residents, pieces of visitors.
+        self.cells: dict[int, tuple[int, int]] = {}
+        for shard, at, home in self.visits(sample):
+            cells = tuple(math.ceil(n * points / len(sample) / cell_points) for n in (max(1, int(home.sum())), len(at)))
+            if max(cells) > 1:
+                self.cells[shard] = cells
 
     def _grow(self, node: int, points: np.ndarray, level: int) -> None:
         if level == self.depth:
             return
-        vantage, cut = split(points, self.masks) if len(points) > 1 else (np.zeros_like(self.masks), 0)
-        self.nodes[node] = (vantage, cut)
-        inside = distance(points, vantage, self.masks) <= cut
+        self.nodes[node] = vantage, cut = split(points) if len(points) > 1 else (np.uint32(0), 0)
+        inside = apart(points, vantage) <= cut
         self._grow(2 * node, points[inside], level + 1)
         self._grow(2 * node + 1, points[~inside], level + 1)
 
@@ -113,36 +142,35 @@ class Routes:
                 yield node, at, home
                 continue
             vantage, cut = self.nodes[node]
-            d = distance(points[at], vantage, self.masks)
+            d = apart(points[at], vantage).astype(np.int16)
             near, far = d - self.radius <= cut, d + self.radius > cut
             todo.append((2 * node, at[near], (home & (d <= cut))[near]))
             todo.append((2 * node + 1, at[far], (home & (d > cut))[far]))
 
-
-def split(points: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, int]:
-    """A vantage point, and the distance that halves the points: of a few points the one that halves best."""
-    best = None
-    for v in points[:: max(1, len(points) // 5)][:5]:
-        d = distance(points, v, masks)
-        cut = int(np.sort(d)[(len(d) - 1) // 2])
-        inside = int((d <= cut).sum())
-        if best is None or abs(2 * inside - len(d)) < best[0]:
-            best = (abs(2 * inside - len(d)), v, cut)
-    return best[1], best[2]
+    def dealt(self, points: np.ndarray, numbers: np.ndarray, asks: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(shard, cell, indices, whether each is a resident (1), asks (2) or both (3))."""
+        for shard, at, home in self.visits(points):
+            rows, columns = self.cells.get(shard, (1, 1))
+            for i in range(rows):
+                for j in range(columns):
+                    role = (home & (numbers[at] % rows == i)) + 2 * (asks[at] & (numbers[at] // 7 % columns == j))
+                    some = role > 0
+                    if some.any():
+                        yield shard, i * columns + j, at[some], role[some].astype(np.int8)
 
 
 class Groups:
     """Labels of points that are linked so far."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        self.label = label
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         la, lb = self.label[a], self.label[b]
-        apart = la != lb
-        if not apart.any():
+        differ = la != lb
+        if not differ.any():
             return
-        pairs = np.unique(np.stack([la[apart], lb[apart]], axis=1), axis=0)
+        pairs = np.unique(np.stack([la[differ], lb[differ]], axis=1), axis=0)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -155,89 +183,146 @@ class Groups:
             x, y = root(x), root(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        to = np.arange(len(self.label))
+        to = np.arange(int(self.label.max()) + 1)
         for x in parent:
             to[x] = root(x)
         self.label = to[self.label]
 
 
-def link_shard(points: np.ndarray, home: np.ndarray, masks: np.ndarray, part_radius: int, radius: int = RADIUS) -> np.ndarray:
-    """Labels of the points of one shard: visitors and residents within ``radius`` bits are linked.
+def ranked(key: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by ``key``, then ``by``, and the rank within each key along it."""
+    order = np.lexsort((*reversed(by), key))
+    first = np.ones(len(order), bool)
+    first[1:] = key[order][1:] != key[order][:-1]
+    start = np.flatnonzero(first)
+    return order, np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Differing bits: on a part, at most; up to which pairs link; up to which they are proposed, and how many by each point first."""
+
+    part_radius: int
+    certain: int
+    radius: int
+    nearest: int = 0
+
+
+def link_shard(part: np.ndarray, fp: np.ndarray, role: np.ndarray, group: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of a cell's points; pairs of different labels to verify, as rows (a, b); and the points that have more of them.
 
-    Pairs may be skipped only if they differ in more than ``part_radius`` bits
-    under the masks, or are linked already.
+    ``group`` has the labels to begin with, each the index of one of its points.
     """
-    groups = Groups(len(points))
-    everything = np.full(points.shape[1], 0xFFFFFFFFFFFFFFFF, np.uint64)
-    todo = [(np.flatnonzero(home), np.arange(len(points)), True)]
+    groups = Groups(group)
+    proposed, more = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+    todo = [(np.flatnonzero(role & 1), np.flatnonzero(role & 2), True)]
     while todo:
         own, asking, splits = todo.pop()
         if not len(own) or not len(asking):
             continue
         if len(own) > LEAF and splits:
-            vantage, cut = split(points[own], masks)
-            inside = distance(points[own], vantage, masks) <= cut
+            vantage, cut = split(part[own])
+            inside = apart(part[own], vantage) <= cut
             if inside.all() or not inside.any():
                 splits = False  # alike on this part
             else:
-                d = distance(points[asking], vantage, masks)
-                todo += [(own[inside], asking[d - part_radius <= cut], True), (own[~inside], asking[d + part_radius > cut], True)]
+                d = apart(part[asking], vantage).astype(np.int16)
+                todo += [(own[inside], asking[d - limits.part_radius <= cut], True), (own[~inside], asking[d + limits.part_radius > cut], True)]
                 continue
         if len(own) > 4 * LEAF:
-            # points within half the radius of a centre are linked by the triangle inequality, without their pairs
-            centre = points[own[len(own) // 2]]
-            near_own, near_asking = (2 * distance(points[x], centre, everything) <= radius for x in (own, asking))
+            # points within half the certain distance of a centre are linked by the triangle inequality, without their pairs
+            centre = own[len(own) // 2]
+            near_own, near_asking = (2 * distance(fp[x], fp[centre]) <= limits.certain for x in (own, asking))
             if near_own.sum() > LEAF and near_asking.any():
                 close = np.concatenate([own[near_own], asking[near_asking]])
-                groups.link(close, np.full(len(close), own[len(own) // 2]))
+                groups.link(close, np.full(len(close), centre))
                 todo += [(own[~near_own], asking, False), (own[near_own], asking[~near_asking], False)]
                 continue
-        step = max(1, 500_000 // len(own))
+        step = max(1, PAIRS // len(own))
         for low in range(0, len(asking), step):
             q = asking[low : low + step]
-            a, b = np.nonzero(distance(points[q][:, None], points[own][None, :], everything) <= radius)
-            groups.link(q[a], own[b])
-    return groups.label
-
-
-EDGES = "a string, b string"
-
-
-def unpacked(keys: pd.Series) -> np.ndarray:
+            a, b = np.nonzero(apart(part[q][:, None], part[own][None, :]) <= limits.part_radius)
+            a, b = q[a], own[b]
+            d = distance(fp[a], fp[b])
+            sure = d <= limits.certain
+            groups.link(a[sure], b[sure])
+            if limits.radius > limits.certain:
+                at = np.flatnonzero(~sure & (d <= limits.radius))
+                at = at[groups.label[a[at]] != groups.label[b[at]]]
+                order, rank = ranked(a[at], d[at], b[at])
+                at = at[order]
+                proposed.append(np.stack([a[at], b[at]], axis=1)[rank < limits.nearest])
+                more.append(a[at][rank >= limits.nearest])
+    pairs = np.concatenate(proposed)
+    return groups.label, pairs[groups.label[pairs[:, 0]] != groups.label[pairs[:, 1]]], np.unique(np.concatenate(more))
+
+
+LINKS, PROPOSALS, MORE = range(3)
+EDGES = "kind int, a long, b long"
+
+
+def unpacked(keys: list[str]) -> np.ndarray:
     """Fingerprints, as rows of words, from their hexadecimal form."""
     return np.frombuffer(bytes.fromhex("".join(keys)), ">u8").reshape(len(keys), -1).astype(np.uint64)
 
 
-def linked_pairs(points: DataFrame, words: int = 1, radius: int = RADIUS, part_radius: int | None = None, shard_points: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints of column ``fp`` (hexadecimal) as pairs within ``radius`` bits would.
+def shard_edges(points: DataFrame, limits: Limits, compared: int, shard_points: int = SHARD_POINTS, cell_points: int = CELL_POINTS, again: DataFrame | None = None) -> DataFrame:
+    """Rows kind, a, b over ``points`` (number, fp in hexadecimal): links, pairs to verify, and points with more of those (a = b).
 
-    No link is lost with the part radius left out: of ``p`` parts one differs in
-    ``radius // p`` bits at most.
+    The first ``compared`` words of a fingerprint are compared, its parts are
+    of all words.  With ``again`` (number, component, asks) only some points
+    ask, and pairs within a component are left out.
     """
-    parts = part_masks(words)
-    part_radius = radius // len(parts) if part_radius is None else part_radius
     n = points.count()
-    rows = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()
-    sample = unpacked(rows["fp"]) if len(rows) else np.zeros((1, words), np.uint64)
-    depth = max(2, int(np.ceil(np.log2(max(1, n) / (shard_points or SHARD_POINTS)))))
-    forest = [Routes(sample, masks, part_radius, depth) for masks in parts]
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            keys = rows["fp"].to_numpy()
-            fp = unpacked(rows["fp"])
+    depth = max(2, math.ceil(math.log2(max(1, n) / shard_points)))
+    depth = min(depth, int(math.log2(SAMPLE)) - 3)
+    rows = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(1024, 8 << depth)).toPandas()
+    words = len(rows["fp"].iloc[0]) // 16 if len(rows) else 1
+    sample = parts_of(unpacked(rows["fp"].to_list()) if len(rows) else np.zeros((1, 1), np.uint64))
+    forest = [Routes(sample[:, k], limits.part_radius, depth, n, cell_points) for k in range(sample.shape[1])]
+    columns = [f"w{i}" for i in range(min(words, compared))]
+    names = ["shard", "cell", "number", "role", "part", "component", *columns]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp = unpacked(batch.column("fp").to_pylist())
+            number, component = (batch.column(c).to_numpy() for c in ("number", "component"))
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            parts = parts_of(fp)
             for k, tree in enumerate(forest):
-                for shard, at, home in tree.visits(fp):
-                    yield pd.DataFrame({"shard": np.int64(shard * len(parts) + k), "fp": keys[at], "home": home})
-
-    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("fp")  # trees, and so the pairs met beyond the part radius, do not depend on the rows' order
-        label = link_shard(unpacked(rows["fp"]), rows["home"].to_numpy(bool), parts[int(key[0]) % len(parts)], part_radius, radius)
-        moved = label != np.arange(len(rows))
-        keys = rows["fp"].to_numpy()
-        return pd.DataFrame({"a": keys[moved], "b": keys[label[moved]]})
-
-    return points.select("fp").mapInPandas(route, "shard long, fp string, home boolean").groupBy("shard").applyInPandas(link, EDGES)
+                for shard, cell, at, role in tree.dealt(parts[:, k], number, asks):
+                    same = lambda x, kind, at=at: np.full(len(at), x, kind)
+                    made = [same(shard * len(forest) + k, np.int64), same(cell, np.int32), number[at], role, parts[at, k].astype(np.int32), component[at], *[fp[at, i].view(np.int64) for i in range(len(columns))]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=names)
+
+    def link(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("number")  # pairs do not depend on the rows' order
+        number, role, component = (table.column(c).to_numpy() for c in ("number", "role", "component"))
+        fp = np.stack([table.column(c).to_numpy().view(np.uint64) for c in columns], axis=1)
+        _, first, group = np.unique(component, return_index=True, return_inverse=True)
+        label, pairs, more = link_shard(table.column("part").to_numpy().astype(np.uint32), fp, role, first[group], limits)
+        moved = np.flatnonzero((label != np.arange(len(label))) & (label != first[group]))
+        a, b = np.concatenate([number[moved], number[pairs.min(axis=1)], number[more]]), np.concatenate([number[label[moved]], number[pairs.max(axis=1)], number[more]])
+        kind = np.repeat(np.array([LINKS, PROPOSALS, MORE], np.int32), [len(moved), len(pairs), len(more)])
+        return pa.table({"kind": kind, "a": a, "b": b})
+
+    if again is None:
+        asked = points.select("number", "fp", F.col("number").alias("component"), F.lit(True).alias("asks"))
+    else:
+        asked = points.select("number", "fp").join(again, "number").select("number", "fp", "component", "asks")
+    routed = asked.mapInArrow(route, ", ".join(["shard long, cell int, number long, role byte, part int, component long", *[f"{c} long" for c in columns]]))
+    if again is not None:
+        visited, _ = materialize(routed.where("role > 1").select("shard", "cell").distinct(), "visited")
+        routed = routed.join(visited, ["shard", "cell"], "left_semi")
+    return routed.groupBy("shard", "cell").applyInArrow(link, EDGES).distinct()
+
+
+def linked_pairs(points: DataFrame, words: int = 1, radius: int = RADIUS, shard_points: int = SHARD_POINTS, cell_points: int = CELL_POINTS) -> DataFrame:
+    """Edges (a, b) that connect the points (number, fp) as all pairs within ``radius`` bits would: of ``p`` parts one differs in ``radius // p`` bits at most."""
+    limits = Limits(radius // (words * len(PARTS)), radius, radius)
+    return shard_edges(points, limits, words, shard_points, cell_points).select("a", "b")
 
 
 def fingerprints(text: Column, shingle: int = SHINGLE, words: int = 1) -> Column:
@@ -251,34 +336,105 @@ def fingerprints(text: Column, shingle: int = SHINGLE, words: int = 1) -> Column
     return column(text)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, radius: int = RADIUS, part_radius: int | None = None) -> DataFrame:
-    """Rows doc_id, text_key, fp, component, component_id.
+def _points(marked: DataFrame, *more: Column) -> tuple[DataFrame, str]:
+    """The different fingerprints, numbered, as a written table and its path; the numbers are fixed by the writing."""
+    return materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), *more).withColumn("number", F.monotonically_increasing_id()), "points")
+
+
+def _named(points: DataFrame, components: DataFrame) -> tuple[DataFrame, str]:
+    """Rows fp, component, component_id of each point, written."""
+    grouped = points.join(components, F.col("number") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "number").alias("component"))
+    smallest, path = materialize(grouped.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")  # written, so that the join can split a large component
+    out = materialize(grouped.join(smallest, "component").select("fp", "component", "component_id"), "named")
+    discard(points.sparkSession, path)
+    return out
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Rows doc_id, fp, component, component_id by ``RADIUS`` of 64 bits.
 
     ``component`` names the group of linked documents, ``component_id`` is the
-    smallest id in it; ``text_key`` tells texts of one id apart.
+    smallest id in it.
     """
-    text = non_null_text()
-    marked, _ = materialize(docs.select("doc_id", F.xxhash64(text).alias("text_key"), fingerprints(text, shingle, words).alias("fp")), "fingerprints")
-    points, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    components = connected_components(linked_pairs(points, words, radius, part_radius))
-    grouped = points.join(components, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest, _ = materialize(grouped.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")  # written, so that the join can split a large component
-    named, _ = materialize(grouped.join(smallest, "component").select("fp", "component", "component_id"), "named")
+    spark = docs.sparkSession
+    marked, _ = materialize(docs.select("doc_id", fingerprints(non_null_text()).alias("fp")), "fingerprints")
+    points, points_path = _points(marked)
+    named, _ = _named(points, connected_components(linked_pairs(points)))
+    discard(spark, points_path)
     return marked.join(named, "fp")
 
 
-#: For dropping near copies: five words, four fingerprint words, agreement in 0.8 of the bits.
-#: Pairs that similar differ in one bit at most on one of twelve parts, but for about one in seven right at the limit.
-DEDUP = {"shingle": 5, "words": 4, "radius": 256 - math.ceil(0.8 * 256), "part_radius": 1}
+#: For dropping near copies: five words and a similarity of 0.8.  Eight words of fingerprint have 24 parts, one of which differs in one bit at most
+#: for 0.98 of the pairs right at the limit, and for more of the closer ones.  Of 256 bits such a pair differs in 39, give or take 6.
+SIMILARITY, DEDUP_SHINGLE, DEDUP_WORDS, COMPARED = 0.8, 5, 8, 4
+DEDUP = Limits(part_radius=1, certain=20, radius=56, nearest=4)
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The different shingles of a text, hashed and sorted."""
+    parts = (text or "").encode("utf-8", "replace").lower().split()
+    k = min(shingle, len(parts))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + k]), SEED) for i in range(len(parts) - k + 1 if k else 0)], np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of shingles that both texts have; of two texts without any, 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose texts are similar; a text that comes again in a row is shingled once."""
+    last, own = None, None
+    for batch in batches:
+        keep = []
+        for i, (a, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True)):
+            if a != last:
+                last, own = a, shingles(ta, DEDUP_SHINGLE)
+            if similarity(own, shingles(tb, DEDUP_SHINGLE)) >= SIMILARITY:
+                keep.append(i)
+        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
+def similar_groups(docs: DataFrame, limits: Limits = DEDUP, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """Rows doc_id, text_key, component: documents connected by texts of a similarity of ``SIMILARITY`` and more."""
+    spark, text = docs.sparkSession, non_null_text()
+    keyed = docs.select("doc_id", F.md5(text).alias("text_key"), text.alias("text"))
+    marked, _ = materialize(keyed.select("doc_id", "text_key", fingerprints(F.col("text"), DEDUP_SHINGLE, DEDUP_WORDS).alias("fp")), "fingerprints")
+    points, _ = _points(marked, F.min("text_key").alias("text_key"))
+    again, edges, tried = None, None, None
+    while True:
+        found, _ = materialize(shard_edges(points, limits, COMPARED, shard_points, again=again), "proposals")
+        pairs = found.where(F.col("kind") == PROPOSALS).select("a", "b")
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs, _ = materialize(pairs, "pairs")
+        asked = points.select("number", "text_key").join(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "number", "left_semi")
+        texts, _ = materialize(keyed.select("text_key", "text").join(asked, "text_key").select("number", "text").dropDuplicates(["number"]), "texts")
+        left, right = texts.select(F.col("number").alias("a"), F.col("text").alias("ta")), texts.select(F.col("number").alias("b"), F.col("text").alias("tb"))
+        alike, _ = materialize(pairs.join(right, "b").join(left, "a").mapInArrow(_alike, "a long, b long"), "alike")
+        new = found.where(F.col("kind") == LINKS).select("a", "b").unionByName(alike)
+        edges = new if edges is None else edges.unionByName(new)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        components = connected_components(edges)
+        more, _ = materialize(found.where(F.col("kind") == MORE).select(F.col("a").alias("number")).distinct(), "more")
+        if more.isEmpty():
+            break
+        labelled = points.select("number").join(components.withColumnRenamed("node", "number"), "number", "left").join(more.withColumn("asks", F.lit(True)), "number", "left")
+        again, _ = materialize(labelled.select("number", F.coalesce("component", "number").alias("component"), F.coalesce("asks", F.lit(False)).alias("asks")), "again")
+        limits = Limits(limits.part_radius, limits.certain, limits.radius, 8 * limits.nearest)
+    named, _ = _named(points, components)
+    return marked.join(named, "fp").select("doc_id", "text_key", "component")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; the columns stay."""
-    found = near_duplicates(docs, **DEDUP)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k")).select(F.coalesce(F.hash("k.doc_id"), F.lit(0)).alias("_a"), F.col("k.text_key").alias("_b"), F.col("k.doc_id").alias("_c"))
-    keyed = docs.withColumn("_a", F.coalesce(F.hash("doc_id"), F.lit(0))).withColumn("_b", F.xxhash64(non_null_text()))
-    one = keyed.join(kept, (keyed["_a"] == kept["_a"]) & (keyed["_b"] == kept["_b"]) & keyed["doc_id"].eqNullSafe(kept["_c"]), "left_semi")
-    return one.dropDuplicates(["_a", "_b", "doc_id"]).select(*docs.columns)
+    found = similar_groups(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    a, b, c = (fresh(docs, x) for x in ("_id_hash", "_text_key", "_id"))
+    kept = found.groupBy("component").agg(first.alias("k")).select(F.coalesce(F.hash("k.doc_id"), F.lit(0)).alias(a), F.col("k.text_key").alias(b), F.col("k.doc_id").alias(c))
+    keyed = docs.withColumn(a, F.coalesce(F.hash("doc_id"), F.lit(0))).withColumn(b, F.md5(non_null_text()))
+    one = keyed.join(kept, (keyed[a] == kept[a]) & (keyed[b] == kept[b]) & keyed["doc_id"].eqNullSafe(kept[c]), "left_semi")
+    return one.dropDuplicates([a, b, "doc_id"]).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
