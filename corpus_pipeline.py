@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisieve.llm import decontaminate, pieces, pii, quality, simhash
-from verisieve.llm.common import materialize, table
+from verisieve.llm.common import discard, fresh, materialize, table
 from verisieve.llm.queries import tokenizer_file
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches one half."""
-    name = "_quality_score"
+    name = fresh(docs, "_quality_score")
     scored = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")), out=name)
     return scored.where(F.col(name) >= 0.5).select(*docs.columns)
 
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no item of the benchmark."""
-    name = "_overlaps"
+    name = fresh(docs, "_overlaps")
     found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"), out=name)
     return found.where(F.size(name) == 0).select(*docs.columns)
 
@@ -58,9 +58,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows."""
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs, _ = materialize(docs, f"stage{i}")
+            docs, written = materialize(docs, f"stage{i}")
+            if path:
+                discard(spark, path)
+            path = written
     return docs
