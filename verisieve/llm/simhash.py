@@ -367,7 +367,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 #: For dropping near copies: five words and a similarity of 0.8.  Eight words of fingerprint have 24 parts, one of which differs in one bit at most
 #: for 0.98 of the pairs right at the limit, and for more of the closer ones.  Of 256 bits such a pair differs in 39, give or take 6.
 SIMILARITY, DEDUP_SHINGLE, DEDUP_WORDS, COMPARED = 0.8, 5, 8, 4
-DEDUP = Limits(part_radius=1, certain=20, radius=56, nearest=4)
+DEDUP = Limits(part_radius=1, certain=20, radius=56, nearest=16)
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -402,20 +402,23 @@ def similar_groups(docs: DataFrame, limits: Limits = DEDUP, shard_points: int =
     keyed = docs.select("doc_id", F.md5(text).alias("text_key"), text.alias("text"))
     marked, _ = materialize(keyed.select("doc_id", "text_key", fingerprints(F.col("text"), DEDUP_SHINGLE, DEDUP_WORDS).alias("fp")), "fingerprints")
     points, _ = _points(marked, F.min("text_key").alias("text_key"))
-    again, edges, tried = None, None, None
+    again, edges, tried, components = None, None, None, None
     while True:
         found, _ = materialize(shard_edges(points, limits, COMPARED, shard_points, again=again), "proposals")
         pairs = found.where(F.col("kind") == PROPOSALS).select("a", "b")
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs, _ = materialize(pairs, "pairs")
-        asked = points.select("number", "text_key").join(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "number", "left_semi")
-        texts, _ = materialize(keyed.select("text_key", "text").join(asked, "text_key").select("number", "text").dropDuplicates(["number"]), "texts")
-        left, right = texts.select(F.col("number").alias("a"), F.col("text").alias("ta")), texts.select(F.col("number").alias("b"), F.col("text").alias("tb"))
-        alike, _ = materialize(pairs.join(right, "b").join(left, "a").mapInArrow(_alike, "a long, b long"), "alike")
-        new = found.where(F.col("kind") == LINKS).select("a", "b").unionByName(alike)
-        edges = new if edges is None else edges.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        components = connected_components(edges)
+        new = found.where(F.col("kind") == LINKS).select("a", "b")
+        if not pairs.isEmpty():
+            asked = points.select("number", "text_key").join(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "number", "left_semi")
+            texts, _ = materialize(keyed.select("text_key", "text").join(asked, "text_key").select("number", "text").dropDuplicates(["number"]), "texts")
+            left, right = texts.select(F.col("number").alias("a"), F.col("text").alias("ta")), texts.select(F.col("number").alias("b"), F.col("text").alias("tb"))
+            alike, _ = materialize(pairs.join(right, "b").join(left, "a").mapInArrow(_alike, "a long, b long"), "alike")
+            new = new.unionByName(alike)
+            tried = pairs if tried is None else tried.unionByName(pairs)
+        if components is None or not new.isEmpty():
+            edges = new if edges is None else components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
+            components, _ = materialize(connected_components(edges), "components")
         more, _ = materialize(found.where(F.col("kind") == MORE).select(F.col("a").alias("number")).distinct(), "more")
         if more.isEmpty():
             break
