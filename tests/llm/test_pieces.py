@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from verisieve.llm import pieces
@@ -22,31 +23,43 @@ def library():
     return spm.SentencePieceProcessor(model_file=FILE)
 
 
+def streamed(codec, slices):
+    return np.frombuffer(b"".join(codec.stream(slices)), np.int32).tolist()
+
+
 def test_ids_equal_the_library_s(codec, library):
     rng = random.Random(5)
     for _ in range(3000):
         text = "".join(rng.choice(ALPHABET) for _ in range(rng.randrange(0, 40)))
         want = library.encode(text)
         assert codec.encode(text).tolist() == want, text
-        assert list(codec.stream("▁" + text.replace(" ", "▁") if text else "")) == want, text
+        assert streamed(codec, (text[i : i + 3] for i in range(0, len(text), 3))) == want, text
         assert codec.decode(want) == text.replace("▁", " ") == library.decode(want)
 
 
-def test_stream_commits_before_the_end_and_holds_a_window(codec, library):
-    text = "".join(random.Random(6).choice("abcdefgh ") for _ in range(5000)).strip()
-    got, read = [], 0
-
-    def chars():
-        nonlocal read
-        for c in "▁" + text.replace(" ", "▁"):
-            read += 1
-            yield c
-
-    stream = codec.stream(chars())
-    first = next(stream)
-    assert read < 10 * codec.longest
-    got = [first, *stream]
-    assert got == library.encode(text)
+@pytest.mark.parametrize("alphabet", ["abcdefgh ", "abcdefgh", "aab日", "x"])
+def test_stream_commits_before_the_end_and_holds_a_window(codec, library, alphabet):
+    rng = random.Random(6)
+    text = "".join(rng.choice(alphabet) for _ in range(8000)).strip()
+    got, read, held = [], 0, 0
+    for s in (text[i : i + 50] for i in range(0, len(text), 50)):
+        read += 1
+        got.append(s)
+    window, ids = pieces.Window(codec), []
+    for s in ("▁" + text.replace(" ", "▁")[i : i + 50] if i == 0 else text.replace(" ", "▁")[i : i + 50] for i in range(0, len(text), 50)):
+        ids.append(window.feed(s))
+        held = max(held, len(window.text))
+    ids.append(window.feed("", True))
+    assert np.frombuffer(b"".join(ids), np.int32).tolist() == library.encode(text) == streamed(codec, got) == codec.encode(text).tolist()
+    assert held < 10 * codec.longest + 50 and sum(map(bool, ids)) > 10
+
+
+def test_slices_end_anywhere(codec, library, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(pieces, "SLICE", 37)
+    for _ in range(200):
+        text = "".join(rng.choice(ALPHABET + ["abcdefgh" * 30, "   "]) for _ in range(rng.randrange(0, 60)))
+        assert codec.encode(text).tolist() == library.encode(text), text
 
 
 def test_words_fall_out_of_a_full_memory(codec, library, monkeypatch):

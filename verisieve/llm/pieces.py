@@ -8,9 +8,11 @@ only the window of boundaries that a longest piece reaches back.  Whenever the
 paths of all boundaries in that window meet in one boundary, the ids up to it
 are final and are committed.
 
-White space starts a piece and never stands inside one, so words are encoded
-apart and a bounded memory of words answers most of them.  Where a vocabulary
-has pieces with inner white space, whole texts are streamed.
+Texts are streamed in slices.  White space starts a piece and never stands
+inside one, so at its boundaries all paths meet and the word before is
+committed; a bounded memory of words answers most of them, and the window
+passes over the others.  Where a vocabulary has pieces with inner white space,
+the window passes over whole texts.
 
 Defined results: a null text has null ids; an empty text has none; decoding
 gives back every text exactly, except that U+2581, by which the vocabulary
@@ -39,6 +41,8 @@ from .common import lists_of_ints, process_wide, with_arrow_columns
 SPACE = "▁"
 #: Bounds of the memory: of words, of a word's characters, and of pairs of pieces.
 WORDS, WORD_CHARS, PAIRS = 300_000, 48, 500_000
+#: Characters of a slice of a text.
+SLICE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -81,7 +85,8 @@ class Codec(dict):
         # neighbours that some piece has: between others no merge can ever join
         self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.parts: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.alone: dict[str, bool] = {}
         self.fallback = {}
         bytes_of = [b"" if i in v.control else p.replace(SPACE, " ").encode() for i, p in enumerate(v.pieces)]
@@ -117,110 +122,82 @@ class Codec(dict):
         return known
 
     def may_follow(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
+        after = self.pairs.get(a)
+        if after is None:
+            after = self.pairs[a] = {}
+        known = after.get(b)
         if known is None:
-            if len(self.pairs) > PAIRS:
+            if self.n_pairs > PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+                self.n_pairs, after = 0, self.pairs.setdefault(a, {})
+            known = after[b] = self.merged(a + b) == [a, b]
+            self.n_pairs += 1
         return known
 
     def _ids(self, piece: str) -> list[int]:
         i = self.ids.get(piece)
         return [self.v.byte_ids[b] for b in piece.encode("utf-8", "replace")] if i is None else [i]
 
-    def stream(self, chars: Iterable[str]) -> Iterator[int]:
-        """Ids of the characters, each committed as soon as no later character can change it.
+    def stream(self, slices: Iterable[str]) -> Iterator[bytes]:
+        """Ids, as 32-bit integers, of a text in slices, each committed as soon as no later character can change it.
 
-        Holds the boundaries that a longest piece reaches back, and what is not
-        committed yet.
+        Holds the word that a slice ends in, and of a long one only its window.
         """
-        window = ""  # characters from boundary ``base`` on
-        base = done = n = 0
-        tails: dict[int, tuple[int, str]] = {}  # boundary: where its last piece begins, and that piece
-        longest, ids = self.longest, self.ids
-
-        def path(end: int, begin: int) -> list[int]:
-            out = []
-            while end > begin:
-                start, piece = tails[end]
-                out.append(piece)
-                end = start
-            return [i for p in reversed(out) for i in self._ids(p)]
-
-        for c in chars:
-            window += c
-            n += 1
-            if c not in ids:
-                tails[n] = (n - 1, c)
-            else:
-                for k in range(min(longest, n - done), 0, -1):
-                    start = n - k
-                    piece = window[start - base :]
-                    if piece in ids and (self.may_begin(piece) if start == 0 else self.may_follow(tails[start][1], piece)):
-                        tails[n] = (start, piece)
-                        break
-                else:
-                    raise AssertionError("a prefix has no encoding")
-            if n - done >= 4 * longest:
-                alive = set(range(max(done, n - longest + 1), n + 1))
-                while len(alive) > 1:
-                    last = max(alive)
-                    alive.remove(last)
-                    alive.add(tails[last][0] if last > done else done)
-                (met,) = alive
-                if met > done:
-                    yield from path(met, done)
-                    for b in range(done, met):
-                        tails.pop(b, None)
-                    window, base, done = window[met - base :], met, met
-        yield from path(n, done)
-
-    def _word(self, word: str) -> bytes:
-        """The ids of one run of white space and what follows it; ``word`` begins with the space sign or follows an unknown character."""
-        n = len(word)
-        ids, begins, pairs, longest = self.ids, self.begins.get, self.pairs, self.longest
-        if n > 4 * longest:
-            return np.fromiter(self.stream(word), np.int32).tobytes()
-        # the same pass without commits, begun from each boundary forwards
-        last: list[str | None] = [None] * (n + 1)
-        for i in range(n):
-            if word[i] not in ids:
-                last[i + 1] = word[i]
-            before = last[i]
-            for j in range(i + 1, n + 1):
-                piece = word[i:j]
-                whole = begins(piece)
-                if whole is None:
-                    break
-                if whole and last[j] is None:
-                    if before is None:
-                        if self.may_begin(piece):
-                            last[j] = piece
-                    elif (known := pairs.get((before, piece))) or known is None and self.may_follow(before, piece):
-                        last[j] = piece
-        out, end = [], n
-        while end:
-            piece = last[end]
-            i = ids.get(piece)
-            if i is None:
-                out += self._ids(piece)[::-1]
-            else:
-                out.append(i)
-            end -= len(piece)
-        return array("i", out[::-1]).tobytes()
+        tail, window, begun = "", None, False
+        for s in slices:
+            if not s:
+                continue
+            if not self.apart or not self.v.dummy_prefix:
+                if window is None:
+                    window = Window(self)
+                    s = (SPACE if self.v.dummy_prefix else "") + s
+                yield window.feed(s.replace(" ", SPACE))
+                continue
+            begun = True
+            s = s.replace(SPACE, " ")
+            if window is not None:
+                end = s.find(" ")
+                yield window.feed(s if end < 0 else s[:end], end >= 0)
+                if end < 0:
+                    continue
+                window, s = None, s[end + 1 :]
+            words = (tail + s).split(" ")
+            last = len(words) - 1
+            while last and not words[last - 1]:  # spaces in a row go with the word behind them
+                last -= 1
+            yield self._words(words[:last])
+            tail = " ".join(words[last:])
+            if len(tail) > 4 * self.longest and tail[-1] != " ":
+                window = Window(self)
+                yield window.feed(SPACE + tail.replace(" ", SPACE))
+                tail = ""
+        if window is not None:
+            yield window.feed("", True)
+        elif begun:
+            yield self._words(tail.split(" "))
+
+    def _words(self, words: list[str]) -> bytes:
+        """The ids of whole words, each with the space before it; an empty one is a space that goes with the next word."""
+        if "" not in words:
+            return b"".join(map(self.__getitem__, words))
+        spaced = SPACE + SPACE.join(words)
+        return b"".join(self[w[1:]] if w[1:2] != SPACE and len(w) > 1 else self._parted(w) for w in re.findall(f"{SPACE}+[^{SPACE}]*", spaced))
+
+    def _pass(self, part: str) -> bytes:
+        return Window(self).feed(part, True)
 
     def _parted(self, word: str) -> bytes:
         """The ids of a word, part by part: it is cut where no piece has both neighbours."""
         joins = self.joins
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joins]
         if not cuts:
-            return self._word(word)
+            return self._pass(word)
         out, at = [], 0
         for end in [*cuts, len(word)]:
             part = word[at:end]
             got = self.parts.get(part)
             if got is None:
-                got = self._word(part)
+                got = self._pass(part)
                 if len(part) <= WORD_CHARS:
                     if len(self.parts) >= WORDS:
                         self.parts.clear()
@@ -240,15 +217,7 @@ class Codec(dict):
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one whole text."""
-        if not text:
-            return np.empty(0, np.int32)
-        if not self.apart or not self.v.dummy_prefix:
-            return np.fromiter(self.stream((SPACE if self.v.dummy_prefix else "") + text.replace(" ", SPACE)), np.int32)
-        words = text.replace(SPACE, " ").split(" ")
-        if "" not in words:
-            return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
-        spaced = SPACE + text.replace(" ", SPACE)
-        return np.frombuffer(b"".join(self[w[1:]] if w[1:2] != SPACE and len(w) > 1 else self._parted(w) for w in re.findall(f"{SPACE}+[^{SPACE}]*", spaced)), np.int32)
+        return np.frombuffer(b"".join(self.stream([text] if len(text) <= SLICE else (text[i : i + SLICE] for i in range(0, len(text), SLICE)))), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids; bytes that are no UTF-8 become replacement characters."""
@@ -256,6 +225,82 @@ class Codec(dict):
         return text[1:] if self.v.dummy_prefix and text[:1] == " " else text
 
 
+class Window:
+    """The Viterbi pass over a stretch of characters: the boundaries that are not committed yet, each with the piece that ends there."""
+
+    __slots__ = ("codec", "text", "last", "at")
+
+    def __init__(self, codec: Codec):
+        self.codec, self.text, self.at = codec, "", 0
+        self.last: list[str | None] = [None]
+
+    def feed(self, chars: str, final: bool = False) -> bytes:
+        """Takes further characters; the ids that are committed, with ``final`` all of them."""
+        c = self.codec
+        ids, begins, pairs, longest = c.ids, c.begins.get, c.pairs, c.longest
+        text = self.text = self.text + chars
+        last, n = self.last, len(text)
+        last.extend([None] * len(chars))
+        out: list[int] = []
+        # a boundary is passed once all pieces that begin there can be seen
+        stop, i = n if final else n - longest, self.at
+        while i < stop:
+            if i >= 4 * longest and i % longest == 0:
+                i = self._commit(i, out)
+                text, last = self.text, self.last
+                n, stop = len(text), stop - (n - len(text))
+            if text[i] not in ids:
+                last[i + 1] = text[i]
+            before = last[i]
+            after = pairs.get(before) if before is not None else None
+            for j in range(i + 1, n + 1):
+                piece = text[i:j]
+                whole = begins(piece)
+                if whole is None:
+                    break
+                if whole and last[j] is None:
+                    if before is None:
+                        if c.may_begin(piece):
+                            last[j] = piece
+                    else:
+                        known = after.get(piece) if after is not None else None
+                        if known or known is None and c.may_follow(before, piece):
+                            last[j] = piece
+            i += 1
+        self.at = i
+        if final:
+            self._path(n, out)
+            self.text, self.last, self.at = "", [None], 0
+        return array("i", out).tobytes()
+
+    def _path(self, end: int, out: list[int]) -> None:
+        """Appends the ids of the pieces up to a boundary."""
+        found = []
+        while end > 0:
+            piece = self.last[end]
+            found.append(piece)
+            end -= len(piece)
+        for piece in reversed(found):
+            i = self.codec.ids.get(piece)
+            if i is None:
+                out += self.codec._ids(piece)
+            else:
+                out.append(i)
+
+    def _commit(self, at: int, out: list[int]) -> int:
+        """Commits up to the boundary in which the paths of all that a later piece may begin at meet; where ``at`` is then."""
+        alive = set(range(max(0, at - self.codec.longest + 1), at + 1))
+        while len(alive) > 1:
+            furthest = max(alive)
+            alive.remove(furthest)
+            alive.add(furthest - len(self.last[furthest]))
+        (met,) = alive
+        if met > 0:
+            self._path(met, out)
+            self.text, self.last = self.text[met:], self.last[met:]
+        return at - met
+
+
 def _codecs(docs: DataFrame, model_file: str) -> Callable[[], Codec]:
     vocabulary = load(model_file)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
