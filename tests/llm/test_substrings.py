@@ -43,11 +43,50 @@ def test_operator_matches_brute_force(spark, monkeypatch):
     want = sorted(zip([i for i, _ in rows], brute([t for _, t in rows])), key=str)
     got = lambda: sorted(((r["doc_id"], tuple(r)[1:]) for r in s.digest(docs).collect()), key=str)
     assert got() == want
-    monkeypatch.setattr(s, "PART", 4)
+    monkeypatch.setattr(s, "PART", 300)
+    monkeypatch.setattr(s, "OFTEN", 4)
     monkeypatch.setattr(s, "LEADERS", 1)
     monkeypatch.setattr(s, "BUFFER", 2000)
     assert got() == want
     assert s.digest(docs.limit(0)).count() == 0
+    whole = {r["doc_id"]: r for r in s.remove_repeats(docs).collect() if r["doc_id"] is not None}
+    for i, t in rows[:50]:
+        if i != 11:
+            raw, at, kept = (t or "").encode(), 0, b""
+            for x in whole[i]["spans"]:
+                kept, at = kept + raw[at : x["start"]], x["end"]
+            assert whole[i]["kept"] == kept + raw[at:] and hashlib.sha256(whole[i]["kept"]).hexdigest() == whole[i]["kept_sha256"]
+
+
+def test_one_window_in_many_contexts(spark, monkeypatch):
+    rng = random.Random(7)
+    notice = "".join(rng.choice("abcdefghij ") for _ in range(200))
+    letters = "klmnopqrstuvwxyz"
+    context = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [context(rng.randrange(60)) + notice + context(rng.randrange(60)) for _ in range(3000)]
+    texts += [context(150) + notice[:199] + context(100), notice[50:] + context(120), context(20) + notice[:150] + "kkk" + notice[150:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(enumerate(brute(texts)))
+    for part, often in ((s.PART, s.OFTEN), (500, 20)):
+        monkeypatch.setattr(s, "PART", part)
+        monkeypatch.setattr(s, "OFTEN", often)
+        assert sorted((r["doc_id"], tuple(r)[1:]) for r in s.digest(docs).collect()) == want
+
+
+def test_no_part_grows_with_a_common_window(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    notice = bytes(rng.choice(b"abcdefghij ") for _ in range(200))
+    context = lambda n: bytes(rng.choice(b"klmnopqrstuvwxyz") for _ in range(n))
+    rows = [(5, i.to_bytes(16, "big"), context(rng.randrange(100)) + notice + context(rng.randrange(100)), 1, 20) for i in range(4000)]
+    of_hot = spark.createDataFrame(rows, "anchor long, hash binary, stretch binary, n long, parts long")
+    monkeypatch.setattr(s, "OFTEN", 200)
+    done = {r["hash"]: r["done"] for r in s._by_count(of_hot).collect()}
+    assert len(done) == 4000 and all(rows[int.from_bytes(h, "big")][2][o : o + 200].count(notice[2:-2]) for h, x in done.items() for o in x)
+    batch = pa.RecordBatch.from_pydict({"anchor": [5] * 4000, "hash": [r[1] for r in rows], "stretch": [r[2] for r in rows], "n": [1] * 4000, "parts": [20] * 4000, "done": [list(done[bytes(r[1])]) for r in rows]})
+    sizes = Counter(p for b in s._dealt(iter([batch])) for p in b.column("part").to_pylist())
+    assert max(sizes.values()) <= 3 * sorted(sizes.values())[len(sizes) // 2]
 
 
 def test_long_texts_are_cut_into_chunks(monkeypatch):

@@ -13,8 +13,12 @@ in blind tries.  Windows that are equal there, or stand in a repeated stretch,
 are repeated.
 
 An anchor with very many different stretches is dealt over parts by a hash of
-its windows, so no shard grows with the corpus.  A text that is repeated adds
-to counts and to nothing else.
+its windows.  A window that very many of them hold, such as a notice in ten
+million different texts, would still bring them all to one part: windows are
+counted by hash first, summed up where the stretches are, and those found in
+more than ``OFTEN`` stretches are compared by their least and greatest bytes
+and need no sorting.  So no shard grows with the corpus.  A text that is
+repeated adds to counts and to nothing else.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH``
 bytes lose nothing; repeated rows, also of one id, are copies of each other;
@@ -33,13 +37,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, non_null_text
+from .common import discard, materialize, non_null_text
 
 LENGTH = 200
 #: Bytes that an anchor is the hash of, bytes sorted shallowly, rounds against leaders before the tries.
 GRAM, SHALLOW, LEADERS = 32, 32, 6
-#: Bytes of text hashed at once, of stretches sorted at once, and stretches that one part of an anchor should have.
-CHUNK, BUFFER, PART = 1 << 20, 4_000_000, 1024
+#: Bytes of text hashed at once, and of stretches sorted at once.
+CHUNK, BUFFER = 1 << 20, 4_000_000
+#: Windows of an anchor's different stretches that one part of it should have, and stretches that a window may be in to be sorted there.
+PART, OFTEN = 32_768, 256
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = (1 << 64) - 1
@@ -245,7 +251,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first, count = p["place"] >> 16, p["place"] & 0xFFFF
                 s = raw[first : first + count + LENGTH - 1]
                 size += len(s)
-                for column, value in zip(columns, (k0, k1, p["anchor"], first, xxhash.xxh64_intdigest(s) - (1 << 63), s), strict=True):
+                for column, value in zip(columns, (k0, k1, p["anchor"], first, xxhash.xxh3_128_digest(s), s), strict=True):
                     column.append(value)
             if size > BUFFER:
                 yield _batch(names, columns)
@@ -254,22 +260,60 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(names: list[str], columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "stretch" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n in ("hash", "stretch") else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+
+
+def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each stretch its windows' hashes and their offsets."""
+    for batch in batches:
+        anchor, window, key, offset = [], [], [], []
+        for a, h, s in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash", "stretch")), strict=True):
+            own = _signed(rolling(np.frombuffer(s, np.uint8), LENGTH))
+            anchor.append(np.full(len(own), a, np.int64))
+            window.append(own)
+            key += [h] * len(own)
+            offset.append(np.arange(len(own), dtype=np.int32))
+        if key:
+            made = [pa.array(np.concatenate(anchor)), pa.array(np.concatenate(window)), pa.array(key, pa.binary()), pa.array(np.concatenate(offset))]
+            yield pa.RecordBatch.from_arrays(made, names=["anchor", "window", "hash", "offset"])
+
+
+def _window_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the windows at ``hits``, each once a batch."""
+    for batch in batches:
+        rows = {(a, x["window"], s[x["offset"] : x["offset"] + LENGTH]) for a, s, hits in zip(*(batch.column(c).to_pylist() for c in ("anchor", "stretch", "hits")), strict=True) for x in hits}
+        a, w, b = zip(*rows, strict=True) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(w, pa.int64()), pa.array(b, pa.binary())], names=["anchor", "window", "bytes"])
+
+
+def _judged_by_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The offsets of each stretch as ranges."""
+    for batch in batches:
+        ranges = []
+        for offsets in batch.column("done").to_pylist():
+            flags = np.zeros(max(offsets) + 1, bool)
+            flags[offsets] = True
+            ranges.append(_ranges(flags))
+        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("hash"), pa.array(ranges, pa.list_(pa.int32()))], names=["anchor", "hash", "ranges"])
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of each stretch for each part that some of its windows go to, with their offsets; none stands for all."""
+    """A row of each stretch for each part that some of its windows go to, with their offsets; none stands for all.
+
+    The windows in ``done`` go nowhere.
+    """
     for batch in batches:
         out: list[tuple] = []
-        for anchor, h, s, n, parts in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash", "stretch", "n", "parts")), strict=True):
+        for anchor, h, s, n, parts, done in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash", "stretch", "n", "parts", "done")), strict=True):
             if parts == 1:
                 out.append((anchor, 0, h, s, n, None))
                 continue
-            part = rolling(np.frombuffer(s, np.uint8), LENGTH) % np.uint64(parts)
-            for p in np.unique(part).tolist():
+            part = (rolling(np.frombuffer(s, np.uint8), LENGTH) % np.uint64(parts)).astype(np.int64)
+            part[done or []] = -1
+            for p in np.unique(part[part >= 0]).tolist():
                 out.append((anchor, p, h, s, n, np.flatnonzero(part == p).astype(np.int32)))
         a, p, h, s, n, w = zip(*out, strict=True) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.int64()), pa.array(h, pa.int64()), pa.array(s, pa.binary()), pa.array(n, pa.int64()), pa.array(w, pa.list_(pa.int32()))], names=["anchor", "part", "hash", "stretch", "n", "windows"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.int64()), pa.array(h, pa.binary()), pa.array(s, pa.binary()), pa.array(n, pa.int64()), pa.array(w, pa.list_(pa.int32()))], names=["anchor", "part", "hash", "stretch", "n", "windows"])
 
 
 def _ranges(flags: np.ndarray) -> list[int]:
@@ -307,7 +351,7 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 whole[slice(None) if r[5] is None else np.asarray(r[5])] = f
                 rows.append((r[0], r[2], _ranges(whole)))
         a, h, w = zip(*rows, strict=True) if rows else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(h, pa.int64()), pa.array(w, pa.list_(pa.int32()))], names=["anchor", "hash", "ranges"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(h, pa.binary()), pa.array(w, pa.list_(pa.int32()))], names=["anchor", "hash", "ranges"])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "part", "hash", "stretch", "n", "windows")), strict=True):
@@ -320,53 +364,98 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield judged()
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, firsts in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            raw = text.encode()
-            spans: list[list[int]] = []
-            for r in sorted((f["first"] + lo, f["first"] + hi + LENGTH) for f in firsts or () for lo, hi in zip(f["ranges"][::2], f["ranges"][1::2])):
-                if spans and r[0] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], r[1])
-                else:
-                    spans.append(list(r))
-            rest, at = [], 0
-            for lo, hi in spans:
-                rest.append(raw[at:lo])
-                at = hi
-            rest.append(raw[at:])
-            removed = sum(hi - lo for lo, hi in spans)
-            out.append((len(raw), removed, len(spans), hashlib.sha256(b"".join(rest)).hexdigest(), b"".join(rest), [{"start": lo, "end": hi} for lo, hi in spans]))
-        n, r, k, h, kept, s = zip(*out, strict=True) if out else [[]] * 6
-        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        made = [pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(h, pa.string()), pa.array(kept, pa.binary()), pa.array(s, spans_type)]
-        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", *names])
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Rows doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and spans of each row of ``docs``."""
-    text = non_null_text()
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def _kept(whole: bool):
+    """The columns of each text: counts, the digest of what is kept, and with ``whole`` that itself and the spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, firsts in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                raw = text.encode()
+                spans: list[list[int]] = []
+                for r in sorted((f["first"] + lo, f["first"] + hi + LENGTH) for f in firsts or () for lo, hi in zip(f["ranges"][::2], f["ranges"][1::2])):
+                    if spans and r[0] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], r[1])
+                    else:
+                        spans.append(list(r))
+                rest, at = [], 0
+                for lo, hi in spans:
+                    rest.append(raw[at:lo])
+                    at = hi
+                rest.append(raw[at:])
+                kept = b"".join(rest)
+                row = (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+                out.append((*row, kept, [{"start": lo, "end": hi} for lo, hi in spans]) if whole else row)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))][: 6 if whole else 4]
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
+
+    return run
+
+
+def _by_count(stretches_of_hot: DataFrame) -> DataFrame:
+    """Rows anchor, hash, done: the offsets of windows that more than ``OFTEN`` of the different stretches hold, checked on their bytes."""
+    hashes = stretches_of_hot.mapInArrow(_window_hashes, "anchor long, window long, hash binary, offset int")
+    often, _ = materialize(hashes.groupBy("anchor", "window").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN).select("anchor", "window"), "often")
+    hits, _ = materialize(hashes.join(often, ["anchor", "window"]), "hits")  # written, so that what follows is a plain exchange
+    listed, _ = materialize(hits.groupBy("anchor", "hash").agg(F.collect_list(F.struct("window", "offset")).alias("hits")), "listed")
+    found = stretches_of_hot.select("anchor", "hash", "stretch").join(listed, ["anchor", "hash"]).mapInArrow(_window_bytes, "anchor long, window long, bytes binary")
+    one = found.groupBy("anchor", "window").agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest")).where("least = greatest").select("anchor", "window")
+    sure, _ = materialize(one, "sure")
+    return hits.join(sure, ["anchor", "window"]).groupBy("anchor", "hash").agg(F.collect_list("offset").alias("done"))
+
+
+def _removed(docs: DataFrame) -> DataFrame:
+    """Rows doc_id, text, ranges: the repeated windows of each row of ``docs``."""
+    spark, text = docs.sparkSession, non_null_text()
     keyed = docs.select("doc_id", *keys(text), text.alias("text"))
-    anchors, _ = materialize(keyed.where(F.octet_length("text") >= LENGTH).select("k0", "k1", "text").mapInArrow(_anchored, "k0 long, k1 long, anchor long, place long"), "anchors")
-    twice, _ = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")  # written, so that the join can split a hot anchor
-    places, _ = materialize(anchors.join(twice, "anchor").groupBy("k0", "k1").agg(F.collect_set(F.struct("anchor", "place")).alias("places")), "places")
-    cut, _ = materialize(keyed.select("k0", "k1", "text").join(places, ["k0", "k1"]).mapInArrow(_cut, "k0 long, k1 long, anchor long, first long, hash long, stretch binary"), "stretches")
-    different, _ = materialize(cut.groupBy("anchor", "hash", "stretch").agg(F.count("*").alias("n")), "different")
-    hot, _ = materialize(different.groupBy("anchor").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1"), "hot")
+    anchors, anchors_path = materialize(keyed.where(F.octet_length("text") >= LENGTH).select("k0", "k1", "text").mapInArrow(_anchored, "k0 long, k1 long, anchor long, place long"), "anchors")
+    twice, twice_path = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")  # written, so that the join can split a hot anchor
+    places, places_path = materialize(anchors.join(twice, "anchor").groupBy("k0", "k1").agg(F.collect_set(F.struct("anchor", "place")).alias("places")), "places")
+    discard(spark, anchors_path)
+    discard(spark, twice_path)
+    cut, cut_path = materialize(keyed.select("k0", "k1", "text").join(places, ["k0", "k1"]).mapInArrow(_cut, "k0 long, k1 long, anchor long, first long, hash binary, stretch binary"), "stretches")
+    discard(spark, places_path)
+    different, different_path = materialize(cut.groupBy("anchor", "hash", "stretch").agg(F.count("*").alias("n")), "different")
+    hot, hot_path = materialize(different.groupBy("anchor").agg(F.ceil(F.sum(F.octet_length("stretch") - LENGTH + 1) / PART).alias("parts")).where("parts > 1"), "hot")
     shards = different.join(hot, "anchor", "left").select("anchor", "hash", "stretch", "n", F.coalesce("parts", F.lit(1)).alias("parts"))
-    shards = shards.mapInArrow(_dealt, "anchor long, part long, hash long, stretch binary, n long, windows array<int>").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    verdicts, _ = materialize(shards.mapInArrow(_sorted_shards, "anchor long, hash long, ranges array<int>"), "verdicts")
+    of_hot, _ = materialize(shards.where("parts > 1"), "of_hot")
+    verdict = "anchor long, hash binary, ranges array<int>"
+    if of_hot.isEmpty():
+        judged, dealt = None, shards.withColumn("done", F.lit(None).cast("array<int>"))
+    else:
+        done, _ = materialize(_by_count(of_hot), "done")
+        judged = done.mapInArrow(_judged_by_count, verdict)
+        rest = of_hot.join(done, ["anchor", "hash"], "left").select("anchor", "hash", "stretch", "n", "parts", "done")
+        dealt = shards.where("parts = 1").withColumn("done", F.lit(None).cast("array<int>")).unionByName(rest)
+    dealt = dealt.mapInArrow(_dealt, "anchor long, part long, hash binary, stretch binary, n long, windows array<int>").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    by_sort = dealt.mapInArrow(_sorted_shards, verdict)
+    verdicts, verdicts_path = materialize(by_sort if judged is None else by_sort.unionByName(judged), "verdicts")
+    discard(spark, different_path)
+    discard(spark, hot_path)
     ranges = cut.select("k0", "k1", "anchor", "first", "hash").distinct().join(verdicts, ["anchor", "hash"]).groupBy("k0", "k1").agg(F.collect_list(F.struct("first", "ranges")).alias("ranges"))
     ranges, _ = materialize(ranges, "ranges")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
-    return keyed.join(ranges, ["k0", "k1"], "left").select("doc_id", "text", "ranges").mapInArrow(_kept, schema)
+    discard(spark, cut_path)
+    discard(spark, verdicts_path)
+    return keyed.join(ranges, ["k0", "k1"], "left").select("doc_id", "text", "ranges")
+
+
+def _schema(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """Rows doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and spans of each row of ``docs``."""
+    return _removed(docs).mapInArrow(_kept(True), f"{_schema(docs)}, kept binary, spans {SPANS}")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return _removed(docs).mapInArrow(_kept(False), _schema(docs))
 
 
 def oracle(length: int = LENGTH) -> str:
