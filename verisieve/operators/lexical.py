@@ -58,7 +58,7 @@ def common_parent(paths: Column) -> Column:
         stop = F.array_position(same, False)
         return F.when(stop == 0, a).otherwise(F.slice(a, F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0))))
 
-    return F.when(F.size(paths) == 0, "").otherwise(F.array_join(F.aggregate(F.slice(folders, 2, 1_000_000), F.get(folders, F.lit(0)), shared), "/"))
+    return F.when(F.size(paths) == 0, "").otherwise(F.array_join(F.aggregate(F.slice(folders, F.lit(2), F.size(folders)), F.get(folders, F.lit(0)), shared), "/"))
 
 
 #: Fixed pattern: what a sentence says a program prints.

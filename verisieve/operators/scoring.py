@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,13 +52,18 @@ WEIGHTS: dict[str, tuple[tuple[str, ...], float, float | None]] = {
 
 
 def warning_kind(warning: Column) -> Column:
-    """The kind by the first prefix that fits; ``other`` weighs nothing."""
-    bare = F.regexp_replace(warning, "^forge: ", "")
-    return reduce(lambda rest, p: F.when(bare.startswith(p[0]), p[1]).otherwise(rest), reversed(WARNING_KINDS), F.lit("other"))
+    """The kind by the prefix, which ends at the first colon; ``other`` weighs nothing."""
+    return looked_up(F.regexp_extract(warning, "^(?:forge: )?([^:]*:)", 1), dict(WARNING_KINDS), "other")
+
+
+def looked_up(key: Column, values: Mapping[str, Any], default: Any) -> Column:
+    """The value of a key in a literal map; one look-up, however many values there are."""
+    pairs = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
 
 
 def kind_confidence(kind: Column) -> Column:
-    return reduce(lambda rest, k: F.when(kind == k[0], k[1]).otherwise(rest), KIND_CONFIDENCE.items(), F.lit(0.5))
+    return looked_up(kind, KIND_CONFIDENCE, 0.5)
 
 
 def claim_key(warning: Column) -> Column:

@@ -41,7 +41,7 @@ def collapse(log: DataFrame) -> DataFrame:
         return F.when(better, fill(b, a)).otherwise(fill(a, b))
 
     lines = log.groupBy("request_id").agg(F.sort_array(F.collect_list(line), asc=False).alias("lines"))
-    folded = lines.select("request_id", F.aggregate(F.slice("lines", 2, 1_000_000), F.get("lines", F.lit(0)), step).alias("w"))
+    folded = lines.select("request_id", F.aggregate(F.slice("lines", F.lit(2), F.size("lines")), F.get("lines", F.lit(0)), step).alias("w"))
     return folded.select("request_id", F.col("w.event_id").alias("event_id"), F.col("w.scan_result").alias("scan_result"), F.col("w.risk").alias("risk"), F.col("w.model").alias("model"), F.col("w.tokens").alias("tokens"), F.col("w.latency_ms").alias("latency_ms"))
 
 

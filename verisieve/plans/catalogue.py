@@ -58,9 +58,9 @@ def lookup_prefix_ilike(v):
     return symbols.by_prefix(v.symbols, "r_ngeconomy.").select("library", "version", "path")
 
 
-@query("WITH n AS (SELECT DISTINCT method AS name FROM claims WHERE response_id % 50 = 0) SELECT DISTINCT library, version, path FROM symbols WHERE name IN (SELECT name FROM n) OR path IN (SELECT name FROM n)")
+@query("WITH n AS (SELECT DISTINCT method AS name FROM claims) SELECT DISTINCT library, version, path FROM symbols WHERE name IN (SELECT name FROM n) OR path IN (SELECT name FROM n)")
 def lookup_global(v):
-    names = v.claims.where("response_id % 50 = 0").select(F.col("method").alias("name")).distinct()
+    names = v.claims.select(F.col("method").alias("name")).distinct()
     return symbols.everywhere(names, v.symbols).select("library", "version", "path").distinct()
 
 
@@ -152,18 +152,18 @@ def index_fuzzy_two_tier(v):
 
 
 def _calls(v):
-    return v.claims.where("response_id % 10 = 0").select("response_id", F.concat(F.lit("v"), F.col("seq")).alias("var"), "method")
+    return v.claims.select("response_id", F.concat(F.lit("v"), F.col("seq")).alias("var"), "method")
 
 
 @query(
-    """WITH calls AS (SELECT response_id, concat('v', seq) AS var, method FROM claims WHERE response_id % 10 = 0), scope AS (SELECT DISTINCT response_id, concat('v', seq) AS var, class AS type FROM claims WHERE response_id % 10 = 0),
+    """WITH calls AS (SELECT response_id, concat('v', seq) AS var, method FROM claims), scope AS (SELECT DISTINCT response_id, concat('v', seq) AS var, class AS type FROM claims),
     s AS (SELECT DISTINCT class AS type, name FROM symbols), m AS (SELECT c.response_id, c.var, sc.type, c.method FROM calls c JOIN scope sc ON sc.response_id = c.response_id AND sc.var = c.var
       WHERE sc.type IN (SELECT type FROM s) AND NOT EXISTS (SELECT 1 FROM s WHERE s.type = sc.type AND s.name = c.method)),
     b AS (SELECT type, method, arg_min(name, (d, name)) AS suggestion FROM (SELECT DISTINCT m.type, m.method, s.name, levenshtein(m.method, s.name) AS d FROM m JOIN s ON s.type = m.type) WHERE d <= 2 GROUP BY type, method)
     SELECT m.response_id, m.var, m.type, m.method, b.suggestion FROM m LEFT JOIN b ON b.type = m.type AND b.method = m.method"""
 )
 def instance_calls(v):
-    scope = v.claims.where("response_id % 10 = 0").select("response_id", F.concat(F.lit("v"), F.col("seq")).alias("var"), F.col("class").alias("type")).distinct()
+    scope = v.claims.select("response_id", F.concat(F.lit("v"), F.col("seq")).alias("var"), F.col("class").alias("type")).distinct()
     return evidence.instance_calls(_calls(v), scope, v.symbols)
 
 
@@ -207,13 +207,13 @@ def registry_lookup(v):
 
 
 @query(
-    """WITH b AS (SELECT DISTINCT response_id, concat('r', seq) AS receiver, class AS type FROM claims WHERE seq % 2 = 1), m AS (SELECT DISTINCT class AS type, name AS member FROM symbols)
+    """WITH b AS (SELECT DISTINCT response_id, concat('r', seq) AS receiver, class AS type FROM claims), m AS (SELECT DISTINCT class AS type, name AS member FROM symbols)
     SELECT c.response_id, concat('r', c.seq) AS receiver, b.type, c.method AS member FROM claims c JOIN b ON b.response_id = c.response_id AND b.receiver = concat('r', c.seq)
     WHERE b.type IN (SELECT type FROM m) AND NOT EXISTS (SELECT 1 FROM m WHERE m.type = b.type AND m.member = c.method)"""
 )
 def receiver_calls(v):
     calls = v.claims.select("response_id", F.concat(F.lit("r"), F.col("seq")).alias("receiver"), F.col("method").alias("member"))
-    bindings = v.claims.where("seq % 2 = 1").select("response_id", F.concat(F.lit("r"), F.col("seq")).alias("receiver"), F.col("class").alias("type")).distinct()
+    bindings = v.claims.select("response_id", F.concat(F.lit("r"), F.col("seq")).alias("receiver"), F.col("class").alias("type")).distinct()
     return evidence.receivers(calls, bindings, v.symbols.select(F.col("class").alias("type"), F.col("name").alias("member")).distinct()).select("response_id", "receiver", "type", "member")
 
 
@@ -223,12 +223,12 @@ def checksum_dupes(v):
 
 
 @query(
-    """WITH w AS (SELECT DISTINCT response_id, regexp_extract(warning, '`([^`]*)`', 1) AS symbol FROM findings WHERE contains(warning, '`')), c AS (SELECT DISTINCT l_orderkey AS response_id, concat('m', l_partkey % 50) AS symbol FROM lineitem WHERE l_linenumber <= 2)
+    """WITH w AS (SELECT DISTINCT response_id, regexp_extract(warning, '`([^`]*)`', 1) AS symbol FROM findings WHERE contains(warning, '`')), c AS (SELECT DISTINCT l_orderkey AS response_id, concat('m', l_partkey % 50) AS symbol FROM lineitem)
     SELECT response_id, symbol, CASE WHEN k THEN 'kept' ELSE 'added' END AS source FROM (SELECT c.response_id, c.symbol, EXISTS (SELECT 1 FROM w WHERE w.response_id = c.response_id AND w.symbol = c.symbol) AS k FROM c)"""
 )
 def confirm_suppress(v):
     warnings = v.findings.select("response_id", F.regexp_extract("warning", "`([^`]*)`", 1).alias("symbol")).where("symbol <> ''")
-    return evidence.confirm(warnings, v.lineitem.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("response_id"), F.concat(F.lit("m"), F.col("l_partkey") % 50).alias("symbol")).distinct())
+    return evidence.confirm(warnings, v.lineitem.select(F.col("l_orderkey").alias("response_id"), F.concat(F.lit("m"), F.col("l_partkey") % 50).alias("symbol")).distinct())
 
 
 @query("WITH w AS (SELECT response_id, seq, regexp_extract(warning, '`([^`]*)`', 1) AS symbol FROM findings), r AS (SELECT response_id, symbol FROM w WHERE seq % 3 = 0) SELECT response_id, seq, symbol FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.response_id = w.response_id AND r.symbol = w.symbol)")

@@ -8,7 +8,7 @@ from ..operators import lexical
 from .registry import query
 from .texts import names, q
 
-_NOISY = "concat('a = \"q\\\\\"x\" // ', replace(substr(text, 1, 60), chr(10), ' '), chr(10), '/* ', substr(text, 1, 40), ' */ b = ''c''; ', substr(text, 50, 80))"
+_NOISY = "concat('a = \"q\\\\\"x\" // ', replace(text, chr(10), ' '), chr(10), '/* ', text, ' */ b = ''c''; ', text)"
 
 _PLAIN = lexical.LITERALS["c"].replace("++", "+").replace("*+", "*")
 
@@ -21,11 +21,11 @@ def blanked_code(v):
     return v.documents.select("doc_id", F.expr(_NOISY).alias("t")).select("doc_id", lexical.blanked("t", "c").alias("code"))
 
 
-@query("SELECT l_orderkey AS request_id, min(CASE WHEN l_partkey % 3 = 0 THEN '/home/p/src' ELSE '/home/p' END) AS any_folder, count(DISTINCT l_linenumber)::INT AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS request_id, min(CASE WHEN l_partkey % 3 = 0 THEN '/home/p/src' ELSE '/home/p' END) AS any_folder, count(DISTINCT l_linenumber)::INT AS n FROM lineitem GROUP BY l_orderkey")
 def file_path_roots(v):
     folder = F.when(F.col("l_partkey") % 3 == 0, "/home/p/src").otherwise("/home/p")
     one = F.concat(F.when(F.col("l_linenumber") == 1, '{"filePath": "').otherwise('<parameter name="path">'), folder, F.lit("/f"), F.col("l_linenumber"), F.when(F.col("l_linenumber") == 1, '.py"}').otherwise(".py</parameter> \"path\": \"rel/x\""))
-    text = v.lineitem.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("request_id")).agg(F.array_join(F.collect_set(one), " ").alias("t"), F.min(folder).alias("low"), F.max(folder).alias("high"))
+    text = v.lineitem.groupBy(F.col("l_orderkey").alias("request_id")).agg(F.array_join(F.collect_set(one), " ").alias("t"), F.min(folder).alias("low"), F.max(folder).alias("high"))
     found = text.select("request_id", "low", "high", lexical.file_paths("t").alias("paths"))
     return found.select("request_id", F.when(lexical.common_parent("paths") == F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("/home/p"), F.col("low")).alias("any_folder"), F.size(F.array_distinct(F.transform("paths", lambda p: F.regexp_extract(p, r"f(\d)", 1)))).alias("n"))
 

@@ -44,20 +44,22 @@ def session_symbols(v):
     return sessions.session_symbols(v.scan_log, "user_id", "scan_result").select("user", F.unix_millis("started").alias("started"), F.unix_millis("ended").alias("ended"), F.array_join("symbols", ",").alias("symbols"), "lines")
 
 
+_BODY = "CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN text WHEN doc_id % 5 = 0 THEN concat(substr(before, 1, length(before) - 3), 'xyz and more') ELSE concat(before, ' more') END"
+
+
 @query(
-    """WITH t AS (SELECT doc_id, doc_id // 2 AS project, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 200) WHEN doc_id % 3 = 0 THEN text ELSE lag(substr(text, 1, 200)) OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) || ' more' END AS body FROM documents WHERE regexp_full_match(text, '(?s)[\\x00-\\x7F]*')),
-    o AS (SELECT *, lag(substr(body, 1, 8000)) OVER (PARTITION BY project ORDER BY doc_id) AS old FROM t),
-    c AS (SELECT *, coalesce((SELECT min(i) - 1 FROM unnest(range(1, least(length(body), length(old)) + 1)) r(i) WHERE substr(body, i::INT, 1) <> substr(old, i::INT, 1)), least(length(body), length(old))) AS common FROM o)
-    SELECT doc_id, CASE WHEN old IS NULL OR old = '' THEN body WHEN starts_with(body, old) THEN substr(body, length(old) + 1) WHEN common > least(length(body), length(old)) * 6 // 10 THEN substr(body, common::INT + 1) ELSE body END AS diff FROM c"""
+    f"""WITH b AS (SELECT doc_id, text, doc_id // 2 AS project, lag(text) OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) AS before FROM documents), t AS (SELECT doc_id, project, {_BODY} AS body FROM b),
+    o AS (SELECT *, lag(substr(body, 1, 8000)) OVER (PARTITION BY project ORDER BY doc_id) AS old FROM t), h AS (SELECT *, hex(encode(body)) AS n, hex(encode(old)) AS x FROM o),
+    c AS (SELECT *, coalesce((SELECT min(i) FROM unnest(range(0, least(length(n), length(x)) // 2)) r(i) WHERE substr(n, 2 * i + 1, 2) <> substr(x, 2 * i + 1, 2)), least(length(n), length(x)) // 2) AS common FROM h)
+    SELECT doc_id, CASE WHEN coalesce(old, '') = '' THEN body WHEN starts_with(body, old) THEN substr(body, length(old) + 1)
+      WHEN common > least(length(n), length(x)) // 2 * 6 // 10 AND NOT regexp_matches(substr(n, 2 * common + 1, 2), '^[89AB]') THEN decode(unhex(substr(n, 2 * common + 1))) ELSE body END AS diff FROM c"""
 )
 def diff_tail(v):
     from pyspark.sql import Window
 
-    ascii_only = v.documents.where(F.length("text") == F.octet_length("text"))
-    before = F.lag(F.substring("text", 1, 200)).over(Window.partitionBy(F.floor(F.col("doc_id") / 2)).orderBy("doc_id"))
-    body = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 200)).when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(before, F.lit(" more")))
-    texts = ascii_only.select("doc_id", F.floor(F.col("doc_id") / 2).alias("project"), body.alias("body"))
-    return sessions.since_last(texts, "project", "doc_id", "body").select("doc_id", "diff")
+    before = F.lag("text").over(Window.partitionBy(F.floor(F.col("doc_id") / 2)).orderBy("doc_id"))
+    texts = v.documents.select("doc_id", "text", F.floor(F.col("doc_id") / 2).alias("project"), before.alias("before"))
+    return sessions.since_last(texts.select("doc_id", "project", F.expr(_BODY).alias("body")), "project", "doc_id", "body").select("doc_id", "diff")
 
 
 @query(

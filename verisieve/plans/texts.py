@@ -104,7 +104,7 @@ def _sql_language(c: str) -> str:
     return f"CASE {' '.join(whens)} WHEN {score(P.PYTHON_SIGNALS)} >= {P.PYTHON_LEAST} AND {score(P.PYTHON_SIGNALS)} > {score(P.TYPESCRIPT_SIGNALS)} THEN 'python' WHEN {score(P.TYPESCRIPT_SIGNALS)} >= {P.TYPESCRIPT_LEAST} THEN 'typescript' ELSE 'unknown' END"
 
 
-_CUT = "CASE response_id % 4 WHEN 0 THEN content WHEN 1 THEN replace(content, '```', '') WHEN 2 THEN replace(replace(content, '```', ''), 'fn ', '') ELSE substr(content, 1, 40) END"
+_CUT = "CASE response_id % 4 WHEN 0 THEN content WHEN 1 THEN replace(content, '```', '') WHEN 2 THEN replace(replace(content, '```', ''), 'fn ', '') ELSE replace(replace(replace(content, '```', ''), 'fn ', ''), 'import ', '') END"
 
 
 @query(f"SELECT response_id, {_sql_language('c')} AS language FROM (SELECT response_id, {_CUT} AS c FROM responses)")
@@ -200,13 +200,13 @@ def usage_normalize(v):
     return messages.usage(raw, "usage").select("event_id", "prompt", "completion", "total")
 
 
-@query("SELECT doc, seq, heading, substr(body, 1, CASE WHEN heading <> '' THEN 200 ELSE 50 END) AS body FROM sections")
+@query("SELECT doc, seq, heading, substr(body, 1, CASE WHEN heading <> '' THEN 2000 ELSE 500 END) AS body FROM sections")
 def doc_sections(v):
-    return documents.sections(v.sections, 200, 50)
+    return documents.sections(v.sections)
 
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_]+'), lambda x: length(x) >= 4))"
-_TOKENS = "SELECT item_id AS claim, unnest({}) AS token FROM benchmark WHERE item_id % 4 = 0".format(_WORDS.format("text"))
+_TOKENS = "SELECT item_id AS claim, unnest({}) AS token FROM benchmark".format(_WORDS.format("text"))
 
 
 @query(
@@ -215,7 +215,7 @@ _TOKENS = "SELECT item_id AS claim, unnest({}) AS token FROM benchmark WHERE ite
 )
 def focused_sections(v):
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^a-z0-9_]+"), lambda x: F.length(x) >= 4))
-    return documents.focused(v.sections, v.benchmark.where("item_id % 4 = 0").select(F.col("item_id").alias("claim"), F.explode(words).alias("token")))
+    return documents.focused(v.sections, v.benchmark.select(F.col("item_id").alias("claim"), F.explode(words).alias("token")))
 
 
 @query(

@@ -41,8 +41,8 @@ VIEWS: dict[str, str] = {
     "messages": "SELECT conv_id, turn, role, text FROM conversations",
     "judge": """SELECT l_orderkey AS response_id, l_linenumber AS seq, CASE l_suppkey % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'hallucinated' WHEN 2 THEN 'uncertain' ELSE 'skipped' END AS verdict,
         round(l_discount * 10, 2) AS confidence, concat('c', CAST(l_partkey % 40 AS STRING)) AS claim FROM lineitem""",
-    "sections": """SELECT page_id AS doc, 1 AS seq, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, substr(regexp_extract(html, '<p>([^<]*)</p>', 1), 1, 400) AS body FROM pages
-        UNION ALL SELECT item_id AS doc, 2 AS seq, substr(text, 1, 20) AS heading, substr(text, 1, 400) AS body FROM benchmark""",
+    "sections": """SELECT page_id AS doc, 1 AS seq, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, regexp_replace(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<[^>]*>', ' '/*all*/) AS body FROM pages
+        UNION ALL SELECT item_id AS doc, 2 AS seq, substr(text, 1, 20) AS heading, text AS body FROM benchmark""",
 }
 
 
@@ -57,11 +57,11 @@ def needed(name: str, seen: list[str] | None = None) -> list[str]:
 
 
 def with_views(body: str) -> str:
-    """``body`` for DuckDB, with the views it reads as common table expressions."""
+    """``body`` for DuckDB, with the views it reads as common table expressions; ``/*all*/`` replaces every match there, as Spark does anyway."""
     views = needed(body)
     if not views:
         return body
-    heads = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views)
+    heads = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views).replace("/*all*/", ", 'g'")
     body = body.strip()
     recursive = "RECURSIVE "
     if body.upper().startswith("WITH RECURSIVE"):
