@@ -282,3 +282,30 @@ def test_entry_module_without_the_subpackage(tmp_path):
     root = Path(__file__).resolve().parent.parent
     code = "import sys; sys.modules['verisieve.llm'] = None; sys.path.insert(0, %r); import __spark_entry__ as e; assert e.llm_queries is None and 'risk_score' in e.queries() and 'op1_quality' not in e.queries()" % str(root)
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=100).returncode == 0
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("".join(f"line {i} {'x' * (i % 50)}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path / "t.txt"))
+        assert rows.rdd.getNumPartitions() > 1
+        assert all(r["line"].startswith(f"line {r['number']} ") for r in rows.collect()) and rows.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_code_without_fences(spark):
+    rows = [(1, "import pandas\npandas.read_cvs()"), (2, "A long story.\nWith many lines.\nAnd no code.\nAt all here.\nNothing.\nReally."), (3, "\n".join(["Some words first."] * 3 + ["import os", "x = 1;", "def f():", "    return 2"])), (4, "")]
+    got = {r["response_id"]: (r["source"], r["code"]) for r in extract.code_or_raw(spark.createDataFrame(rows, "response_id long, content string")).collect()}
+    assert got == {1: ("raw", rows[0][1]), 3: ("raw", "import os\nx = 1;\ndef f():\n    return 2")}
+
+
+def test_guards_and_roots(spark):
+    real = lexical.real_code(F.col("a"), extract.CODE_LINE)
+    assert one(spark, real, a="def f():\n    return 1") is False or one(spark, real, a="import os\nclass A:\n    pass\ndef f():\n    return 1")
+    assert not one(spark, real, a="This is prose. It has no code.\nNone at all.")
+    assert one(spark, lexical.truncated("a"), a="call(1, [2") and not one(spark, lexical.truncated("a"), a='call("(") # [')
+    files = spark.createDataFrame([("/w/Temp/a.py",), ("/w/p/a.test.ts",), ("/w/q/go.mod",), ("C:\\w\\r\\main.rs",), ("/home/me/x.py",)], "path string")
+    assert {r["root"] for r in lexical.project_roots(files, "/home/me").collect()} == {"/w/q", "C:/w/r"}

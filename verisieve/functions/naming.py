@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -79,3 +80,15 @@ def signature_arity(text: Column) -> Column:
     """Parameters of a signature, between its first and last parenthesis; null without them."""
     inner = F.regexp_extract(text, r"(?s)\((.*)\)", 1)
     return F.when(text.rlike(r"(?s)\(.*\)"), argument_count(inner))
+
+
+def library_language(library: Column, prefixes: Mapping[str, Sequence[str]], local: Mapping[str, str], names: Mapping[str, str] | None = None) -> Column:
+    """The language of a library: ``local.<language>.<name>``, how its name begins, or a name that is known; else unknown."""
+    low = F.trim(F.lower(library))
+    own = F.create_map(*[F.lit(x) for pair in local.items() for x in pair])
+    out = F.when(low.startswith("local."), F.try_element_at(own, F.split_part(low, F.lit("."), F.lit(2))))
+    for language, begins in prefixes.items():
+        out = F.coalesce(out, F.when(reduce(lambda a, b: a | b, [low.startswith(x) | (low == x.rstrip("./_:")) for x in begins]), language))
+    if names:
+        out = F.coalesce(out, F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), low))
+    return F.coalesce(out, F.lit("unknown"))

@@ -50,3 +50,13 @@ def delimiter_depth(text: Column, guard: int = 5000) -> Column:
     return F.least(
         F.aggregate(chars, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda s, c: F.struct(step(s["d"], c).alias("d"), F.greatest(s["m"], step(s["d"], c)).alias("m")), lambda s: s["m"]), F.lit(guard)
     )
+
+
+def literal(text: str) -> str:
+    """A text as a raw string literal of SQL."""
+    return "r'" + text.replace("'", r"\x27") + "'"
+
+
+def all_matches(text: str, pattern: str, group: int = 0) -> Column:
+    """All matches of a pattern in the column ``text``."""
+    return F.expr(f"regexp_extract_all({text}, {literal(pattern)}, {group})")

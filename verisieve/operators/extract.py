@@ -8,19 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import all_matches
 from . import patterns as P
+from .lexical import tool_call_code
 
 FENCE = r"\n[ \t]*```"
 
 
-def literal(text: str) -> str:
-    return "r'" + text.replace("'", r"\x27") + "'"
-
-
-def all_matches(text: str, pattern: str, group: int = 0) -> Column:
-    return F.expr(f"regexp_extract_all({text}, {literal(pattern)}, {group})")
-
-
 def extract(df: DataFrame, text: str, table: Sequence[tuple[str, str, int]]) -> DataFrame:
     """A row (kind, priority, position, value) for each match of each pattern; the other columns stay."""
 
@@ -99,10 +93,31 @@ def code_blocks(responses: DataFrame) -> DataFrame:
     return blocks.where(((F.col("tag") == "") | F.col("tag").isin(*P.CODE_TAGS)) & ~F.col("tag").isin(*P.PROSE_TAGS) & accepted(F.col("body")))
 
 
+def fenced_code(content: Column) -> Column:
+    """The accepted blocks of a response in order, joined; empty without any."""
+    fit = lambda b: ((b["tag"] == "") | b["tag"].isin(*P.CODE_TAGS)) & ~b["tag"].isin(*P.PROSE_TAGS) & accepted(b["body"])
+    return F.array_join(F.transform(F.filter(fences(content), fit), lambda b: b["body"]), "")
+
+
+def raw_code(content: Column) -> Column:
+    """A response without fences that looks like code: whole if it is short, else its lines of code where enough of them survive."""
+    lines = F.filter(F.split(content, "\n"), lambda x: F.trim(x) != "")
+    code = F.filter(lines, lambda x: x.rlike(CODE_LINE))
+    n, kept = F.size(lines), F.size(code)
+    enough = ((kept == n) & (kept > 0)) | ((kept >= 3) & (kept * 2 >= n)) | (kept >= 50)
+    return F.when(code_score(content) < 3, "").when(n <= 5, content).when(enough, F.array_join(code, "\n")).otherwise("")
+
+
 def code_of(responses: DataFrame) -> DataFrame:
-    """Each response's code: its accepted blocks in order."""
-    blocks = code_blocks(responses).groupBy("response_id").agg(F.sort_array(F.collect_list(F.struct("block_no", "body"))).alias("b"))
-    return blocks.select("response_id", F.array_join(F.transform("b", lambda x: x["body"]), "").alias("code"))
+    """Each response's code: its accepted blocks in order. Nothing is shuffled."""
+    return responses.select("response_id", fenced_code(F.col("content")).alias("code")).where("code <> ''")
+
+
+def code_or_raw(responses: DataFrame) -> DataFrame:
+    """Each response's code with what it was taken from: its fences, else the code of tool calls, else its raw lines."""
+    rows = responses.select("response_id", "content", fenced_code(F.col("content")).alias("fenced"), tool_call_code("content").alias("called")).withColumn("raw", F.when((F.col("fenced") == "") & (F.col("called") == ""), raw_code(F.col("content"))).otherwise(""))
+    source = F.when(F.col("fenced") != "", "fences").when(F.col("called") != "", "tool call").otherwise("raw")
+    return rows.select("response_id", source.alias("source"), F.coalesce(F.nullif("fenced", F.lit("")), F.nullif("called", F.lit("")), "raw").alias("code")).where("code <> ''")
 
 
 def local_variables(code: DataFrame) -> DataFrame:
@@ -196,15 +211,33 @@ def anchored_claims(responses: DataFrame, code: DataFrame) -> DataFrame:
     return first_claims(words.join(identifiers(code), ["response_id", "name"], "left_semi").select("response_id", "seq", "sentence").distinct())
 
 
+def recursive(content: Column, lang: Column) -> Column:
+    """Whether a function's name, with a bracket behind it, stands in two lines at least."""
+    lines = F.split(content, "\n")
+    named = lambda rx: F.regexp_extract_all(content, F.lit(rf"(?m)^[ \t]*{rx} ([A-Za-z0-9_]{{2,}})"), F.lit(1))
+    names = reduce(lambda rest, p: F.when(lang == p[0], named(p[1])).otherwise(rest), P.FUNCTIONS.items(), F.array().cast("array<string>"))
+    return F.exists(names, lambda n: F.size(F.filter(lines, lambda x: F.contains(x, F.concat(n, F.lit("("))))) >= 2)
+
+
 def signals(responses: DataFrame) -> DataFrame:
     """(response_id, kind) of behavioural signals in each response."""
-    code, lang = F.col("content"), language(F.col("content"))
-    kinds = []
-    for kind, languages, parts in P.SIGNALS:
-        hit = reduce(lambda a, b: a | b, [code.contains(p) for p in parts])
-        kinds.append(F.when(hit & (F.lit(True) if not languages else F.col("lang_").isin(*languages)), kind))
-    rows = responses.withColumn("lang_", lang).select("response_id", F.explode(F.array_distinct(F.filter(F.array(*kinds), lambda x: x.isNotNull()))).alias("kind"))
-    return rows
+    code, lang = F.col("content"), F.col("lang_")
+    has = lambda parts: reduce(lambda a, b: a | b, [code.contains(p) for p in parts])
+    kinds = [F.when(has(parts) & (F.lit(True) if not languages else lang.isin(*languages)), kind) for kind, languages, parts in P.SIGNALS]
+    kinds += [F.when(lang.isin(*languages) & has(first) & has(second), "event-loop-blocking") for languages, first, second in P.BLOCKING]
+    awaited = F.regexp_extract_all(code, F.lit(P.AWAITED), F.lit(1))
+    guarded = F.regexp_extract_all(code, F.lit(P.GUARDED), F.lit(1))
+    allocations = reduce(lambda a, b: a + b, [count(code, rf"{x}\(") for x in ("malloc", "calloc", "realloc")])
+    kinds += [
+        F.when(recursive(code, lang), "recursion"),
+        F.when((lang == "typescript") & code.contains("Promise") & ~code.contains("await"), "unhandled-promise"),
+        F.when(lang.isin("csharp", "typescript") & F.exists(awaited, lambda n: (F.length(n) >= 3) & ~n.endswith("Async")), "async-sync-mismatch"),
+        F.when(lang.isin("c", "cpp") & (allocations > count(code, r"free\(")), "memory-leak"),
+        F.when((lang == "cpp") & F.exists(guarded, lambda m: F.contains(code, F.concat(m, F.lit(".lock()")))), "double-lock"),
+        F.when((lang == "cpp") & code.rlike(P.CAST), "c-style-cast"),
+    ]
+    found = F.array_distinct(F.filter(F.array(*kinds), lambda x: x.isNotNull()))
+    return responses.withColumn("lang_", language(code)).select("response_id", F.explode(found).alias("kind"))
 
 
 def foreign_definitions(responses: DataFrame, primary: str) -> DataFrame:

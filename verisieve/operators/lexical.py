@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .extract import all_matches, literal
+from ..functions.text import all_matches, literal
+from . import patterns as P
 
 #: What is no code, by family of languages: comments and literals, with escapes; the first alternative that fits wins.
 #: Possessive, so that long ones neither recurse nor are tried again.
@@ -118,3 +119,38 @@ def trusted(owner: Column, method: Column, language: Column) -> Column:
     """Claims that are verified without a lookup: universal methods, a language's own classes (also where it is unknown), and constants in capitals."""
     own = reduce(lambda a, b: a | b, [owner.isin(*names) & language.isin("", "unknown", name) for name, names in OWN_CLASSES.items()])
     return method.isin(*UNIVERSAL) | own | (owner.rlike("^[A-Z_]{2,}$") & (F.length(F.regexp_replace(owner, "_", "")) >= 2))
+
+
+def truncated(text: str, family: str = "gdscript") -> Column:
+    """Whether brackets stay open once strings and comments are blanked out: code that was cut off."""
+    bare = blanked(text, family)
+    more = lambda a, b: F.size(F.split(bare, rf"\{a}", -1)) > F.size(F.split(bare, rf"\{b}", -1))
+    return more("(", ")") | more("{", "}") | more("[", "]")
+
+
+def java_shaped(content: Column) -> Column:
+    """Whether code that is taken for Python has imports as Java writes them."""
+    return content.rlike(P.JAVA_SHAPE)
+
+
+#: Lines that declare or import something, and lines that are code.
+STRUCTURE = r"^[ \t]*(?:(?:pub|public|private|protected|internal|static|export|abstract|async|final|sealed|partial)\s+)*(?:use|import|using|package|namespace|mod|fn|func|function|def|class|struct|enum|trait|impl|interface|type|record|const|let|var)\b[^.?!]*(?:[{};:=(]|$)"
+
+
+def real_code(content: Column, is_code: str) -> Column:
+    """Whether a text is code rather than prose: it declares something, and at most three tenths of more than five lines are no code.
+
+    ``is_code`` is the pattern of a line of code.
+    """
+    lines = F.filter(F.split(content, "\n"), lambda x: F.trim(x) != "")
+    structural = F.size(F.filter(lines, lambda x: x.rlike(STRUCTURE)))
+    errors = F.size(F.filter(lines, lambda x: ~x.rlike(is_code)))
+    return (structural > 0) & ~((errors > 0) & (structural < 3)) & ~((F.size(lines) > 5) & (errors / F.size(lines) > 0.3))
+
+
+def project_roots(files: DataFrame, home: str = "") -> DataFrame:
+    """(root) of folders that are a project's root: they hold a marker or a source file (path), tests and declarations aside."""
+    rows = files.select(F.regexp_replace(F.regexp_extract("path", r"^(.*)[/\\\\][^/\\\\]*$", 1), r"\\\\", "/").alias("root"), F.lower(F.regexp_extract("path", r"([^/\\\\]*)$", 1)).alias("name"))
+    source = F.col("name").rlike(r"\.(?:" + "|".join(P.ROOT_SUFFIXES) + ")$") & ~F.col("name").rlike(r"\.test\.|\.spec\.|\.d\.ts$")
+    none = F.lower("root").rlike("(?:^|/)(?:" + "|".join(P.NO_ROOTS) + ")$") | (F.col("root") == home)
+    return rows.where((F.col("name").isin(*P.ROOT_MARKERS) | source) & ~none).select("root").distinct()

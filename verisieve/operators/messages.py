@@ -57,16 +57,17 @@ def reply_text(body: Column) -> Column:
     return F.coalesce(openai, F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "\n"), F.lit(""))
 
 
+#: What a reply's tool calls are read by, of either vendor; arguments and inputs stay JSON.
+CALLS = "choices array<struct<message:struct<tool_calls:array<struct<function:struct<name:string,arguments:string>>>>>>, content array<struct<type:string,name:string,input:string>>"
+
+
 def tool_calls(df: DataFrame, body: str) -> DataFrame:
-    """A row (name, arguments) for each tool call of a reply."""
-    v = F.try_parse_json(F.col(body))
-    calls = F.try_variant_get(v, "$.choices[0].message.tool_calls", "array<struct<function:struct<name:string,arguments:string>>>")
-    used = F.try_variant_get(v, "$.content", "array<struct<type:string,name:string,input:variant>>")
-    both = F.concat(
-        F.coalesce(F.transform(calls, lambda c: F.struct(c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments"))), F.array().cast("array<struct<name:string,arguments:string>>")),
-        F.coalesce(F.transform(F.filter(used, lambda c: c["type"] == "tool_use"), lambda c: F.struct(c["name"].alias("name"), F.to_json(c["input"]).alias("arguments"))), F.array().cast("array<struct<name:string,arguments:string>>")),
-    )
-    return df.select("*", F.explode(both).alias("_c")).select("*", "_c.name", "_c.arguments").drop("_c")
+    """A row (name, arguments) for each tool call of a reply, which is parsed once."""
+    none = F.array().cast("array<struct<name:string,arguments:string>>")
+    called = F.coalesce(F.transform(F.col("_b.choices")[0]["message"]["tool_calls"], lambda c: F.struct(c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments"))), none)
+    used = F.coalesce(F.transform(F.filter("_b.content", lambda c: c["type"] == "tool_use"), lambda c: F.struct(c["name"].alias("name"), c["input"].alias("arguments"))), none)
+    parsed = df.withColumn("_b", F.from_json(F.col(body), CALLS))
+    return parsed.select("*", F.explode(F.concat(called, used)).alias("_c")).select("*", "_c.name", "_c.arguments").drop("_c", "_b")
 
 
 #: Tools that edit files, argument fields that name them, and suffixes that a compiler reads.

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import catalogue, lexemes, names, rulesets, scores, streams, texts
+from . import catalogue, intake, lexemes, names, rulesets, scores, streams, texts
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "catalogue", "lexemes", "names", "rulesets", "scores", "streams", "texts"]
+__all__ = ["ORACLE", "QUERIES", "catalogue", "intake", "lexemes", "names", "rulesets", "scores", "streams", "texts"]

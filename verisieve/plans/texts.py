@@ -144,15 +144,6 @@ def anchored_claims(v):
     return extract.anchored_claims(v.responses, _code(v))
 
 
-@query(
-    "WITH l AS (SELECT response_id, content, " + _sql_language("content") + " AS lang FROM responses) SELECT DISTINCT response_id, kind FROM ("
-    + " UNION ALL ".join(f"SELECT response_id, '{k}' AS kind FROM l WHERE ({' OR '.join(f'contains(content, {q(p)})' for p in parts)})" + (f" AND lang IN {names(ls)}" if ls else "") for k, ls, parts in P.SIGNALS)
-    + ")"
-)
-def behavioral_signals(v):
-    return extract.signals(v.responses)
-
-
 @query(f"WITH {_BLOCKS}, f AS ({matches(P.DEFINITIONS, 'blocks', 'body', 'response_id, tag')}) SELECT DISTINCT response_id, tag, value AS name FROM f WHERE tag <> 'python' AND tag <> ''")
 def cross_lang_defs(v):
     return extract.foreign_definitions(v.responses, "python")

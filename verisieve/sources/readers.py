@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PARAM = "array<struct<name:string,type_name:string,default_value:string>>"
@@ -45,10 +45,23 @@ def scan_log(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(lines(spark, path), SCAN_LOG).withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, line): lines with their numbers from 0 on, however a file is split for reading.
+
+    Lines are counted split by split; only the counts are summed up over a file.
+    """
+    rows = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    split = rows.withColumnsRenamed({"file_path": "file", "file_block_start": "block"})
+    within = split.withColumn("n", F.row_number().over(Window.partitionBy("file", "block").orderBy("id")))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = split.groupBy("file", "block").agg(F.count("*").alias("size")).select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    return within.join(offsets, ["file", "block"]).select("file", (F.col("offset") + F.col("n") - 1).alias("number"), "line")
+
+
 def transcript(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content) of chat completions, one a line; rows without content are left out."""
-    rows = lines(spark, path).withColumn("file", F.input_file_name()).withColumn("content", F.from_json("line", CHAT)["choices"][0]["message"]["content"])
-    return rows.where("content is not null and content <> ''").select("file", "content")
+    """(file, number, content) of chat completions, one a line, with the number of the line; rows without content are left out."""
+    rows = numbered_lines(spark, path).withColumn("content", F.from_json("line", CHAT)["choices"][0]["message"]["content"])
+    return rows.where("content is not null and content <> ''").select("file", "number", "content")
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -59,25 +72,42 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def agent_events(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of agent events: text parts, and the code of tool uses."""
+    return event_texts(lines(spark, path).withColumn("file", F.input_file_name())).select("file", "text")
+
+
+def event_texts(rows: DataFrame) -> DataFrame:
+    """Adds the text of each event (line); others are left out."""
     v = F.try_parse_json(F.col("line"))
     get = lambda p: F.try_variant_get(v, p, "string")
     code = F.coalesce(get("$.part.state.input.content"), get("$.part.state.input.newString"), get("$.part.state.input.command"))
-    return lines(spark, path).withColumn("file", F.input_file_name()).select("file", F.when(get("$.type") == "text", get("$.part.text")).when(get("$.type") == "tool_use", code).alias("text")).where("text is not null")
+    return rows.withColumn("text", F.when(get("$.type") == "text", get("$.part.text")).when(get("$.type") == "tool_use", code)).where("text is not null")
+
+
+def files_below(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path, modificationTime, length, content) of the files below a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
 
 
 def source_tree(spark: SparkSession, root: str, suffixes: Sequence[str] = SOURCE_SUFFIXES, most: int | None = None) -> DataFrame:
     """(path, suffix, modified, text) of source files below a folder, by path; generated folders are skipped."""
-    glob = "*.{" + ",".join(suffixes) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return sources(files_below(spark, root, "*.{" + ",".join(suffixes) + "}"), suffixes, most)
+
+
+def sources(files: DataFrame, suffixes: Sequence[str] = SOURCE_SUFFIXES, most: int | None = None) -> DataFrame:
+    """The source files among ``files``."""
     skipped = "/(?:" + "|".join(f.replace(".", r"\.") for f in SKIPPED_FOLDERS) + ")/"
-    rows = files.where(~F.col("path").rlike(skipped)).select("path", F.regexp_extract("path", r"\.([^./]+)$", 1).alias("suffix"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
+    rows = files.where(~F.col("path").rlike(skipped) & F.col("path").rlike(r"\.(?:" + "|".join(suffixes) + ")$")).select("path", F.regexp_extract("path", r"\.([^./]+)$", 1).alias("suffix"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
     return rows if most is None else rows.orderBy("path").limit(most)
 
 
 def docs_folder(spark: SparkSession, root: str, cap: int = 10_240) -> DataFrame:
     """(path, text) of Markdown and text files, the first bytes of each; hidden folders are skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,txt}").load(root)
-    return files.where(~F.col("path").rlike(r"/\.[^/]+/")).select("path", F.decode(F.substring("content", 1, cap), "UTF-8").alias("text"))
+    return docs(files_below(spark, root, "*.{md,txt}"), cap)
+
+
+def docs(files: DataFrame, cap: int = 10_240) -> DataFrame:
+    """The documentation among ``files``."""
+    return files.where(~F.col("path").rlike(r"/\.[^/]+/") & F.col("path").rlike(r"\.(?:md|txt)$")).select("path", F.decode(F.substring("content", 1, cap), "UTF-8").alias("text"))
 
 
 def manifests(files: DataFrame) -> DataFrame:
@@ -160,10 +190,15 @@ def rustdoc(files: DataFrame) -> DataFrame:
 
 
 def class_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(class, kind, name) of engine class descriptions in XML."""
+    """(class, kind, name) of engine class descriptions in XML, one a file."""
+    return class_members(files_below(spark, path).select(F.decode("content", "UTF-8").alias("text")))
+
+
+def class_members(files: DataFrame) -> DataFrame:
+    """The classes and members of descriptions (text)."""
     member = "array<struct<_name:string>>"
     schema = f"_name string, _inherits string, methods struct<method:{member}>, members struct<member:{member}>, signals struct<signal:{member}>, constants struct<constant:{member}>"
-    rows = spark.read.format("xml").option("rowTag", "class").schema(schema).load(path)
+    rows = files.select(F.from_xml("text", schema).alias("c")).select("c.*")
     each = lambda col, kind: F.transform(F.coalesce(F.col(col), F.array().cast(member)), lambda m: F.struct(F.lit(kind).alias("kind"), m["_name"].alias("name")))
     parts = F.concat(each("methods.method", "method"), each("members.member", "property"), each("signals.signal", "signal"), each("constants.constant", "constant"))
     members = rows.select(F.col("_name").alias("class"), F.explode(parts).alias("m")).select("class", "m.*")
@@ -185,7 +220,11 @@ def input_kind(source: Column) -> Column:
 
 def eval_cases(spark: SparkSession, root: str) -> DataFrame:
     """A row for each numbered case folder: diff, after_content, verdict, language, library."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return cases(files_below(spark, root))
+
+
+def cases(files: DataFrame) -> DataFrame:
+    """The numbered case folders among ``files``."""
     rows = files.select(F.regexp_extract("path", r"/([^/]+)/(\d+[^/]*)/[^/]+$", 1).alias("corpus"), F.regexp_extract("path", r"/(\d+[^/]*)/[^/]+$", 1).alias("case_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.decode("content", "UTF-8").alias("text")).where("case_id <> ''")
     pick = lambda rx: F.max(F.when(F.col("file").rlike(rx), F.col("text")))
     g = rows.groupBy("corpus", "case_id").agg(pick(r"^diff\.patch$").alias("diff"), pick(r"^after\.").alias("after_content"), pick(r"^expected\.json$").alias("expected"), pick(r"^meta\.json$").alias("meta"))

@@ -18,8 +18,9 @@ def session_symbols(events: DataFrame, user: str, symbol: str, watermark: str |
 
 
 def new_results(results: DataFrame, watermark: str) -> DataFrame:
-    """Tool results that were not seen within the watermark, by their content's hash."""
-    return results.withColumn("hash", F.sha2("content", 256)).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["root", "hash"])
+    """Tool results that were not seen before, by their content's hash; of a stream, not within the watermark."""
+    hashed = results.withColumn("hash", F.sha2("content", 256))
+    return hashed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["root", "hash"]) if results.isStreaming else hashed.dropDuplicates(["root", "hash"])
 
 
 def deferred(queue: DataFrame, requests: DataFrame) -> DataFrame:
