@@ -150,7 +150,7 @@ def real_code(content: Column, is_code: str) -> Column:
 
 def project_roots(files: DataFrame, home: str = "") -> DataFrame:
     """(root) of folders that are a project's root: they hold a marker or a source file (path), tests and declarations aside."""
-    rows = files.select(F.regexp_replace(F.regexp_extract("path", r"^(.*)[/\\\\][^/\\\\]*$", 1), r"\\\\", "/").alias("root"), F.lower(F.regexp_extract("path", r"([^/\\\\]*)$", 1)).alias("name"))
+    rows = files.select(F.regexp_replace(F.regexp_extract("path", r"^(.*)[/\\][^/\\]*$", 1), r"\\", "/").alias("root"), F.lower(F.regexp_extract("path", r"([^/\\]*)$", 1)).alias("name"))
     source = F.col("name").rlike(r"\.(?:" + "|".join(P.ROOT_SUFFIXES) + ")$") & ~F.col("name").rlike(r"\.test\.|\.spec\.|\.d\.ts$")
     none = F.lower("root").rlike("(?:^|/)(?:" + "|".join(P.NO_ROOTS) + ")$") | (F.col("root") == home)
     return rows.where((F.col("name").isin(*P.ROOT_MARKERS) | source) & ~none).select("root").distinct()
