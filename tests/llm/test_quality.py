@@ -1,10 +1,17 @@
 """The classifier learns an interaction, and handles odd rows."""
 
+import os
+
 import numpy as np
+import pytest
 
 from verisieve.llm import quality
 
 
+#: Of the given labels on rows that the model has not seen.
+LEAST_ACCURACY, LEAST_AUC = 0.97, 0.99
+
+
 def test_interaction_is_learnt_on_held_out_rows():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 4))
@@ -40,6 +47,7 @@ def test_odd_rows(spark):
     out = quality.classify(docs, known).collect()
     assert len(out) == len(rows) and set(out[0].asDict()) == {"doc_id", "held_out", "score", "predicted"}
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out)
+    assert [r["held_out"] for r in out if r["doc_id"] is None] == [False]
     held = [r for r in out if r["held_out"] and r["doc_id"] < 1000]
     assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in held]) > 0.95
     same = [r["score"] for r in out if r["doc_id"] == 3]
@@ -62,3 +70,18 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
     flipped = [(i, i % 2 ^ a[i]["held_out"], 0, "t") for i in range(60)]
     b = {r["doc_id"]: r for r in quality.classify(docs, frames(spark, rows, flipped)[1]).collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("tables", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_held_out_accuracy_on_the_given_labels(spark, tables):
+    if not os.path.isdir(tables):
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.classify(docs, labels).where("held_out").join(labels, "doc_id").select("quality", "predicted", "score").collect()
+    truth, score = np.array([r["quality"] for r in scored]), np.array([r["score"] for r in scored])
+    accuracy = np.mean([r["quality"] == r["predicted"] for r in scored])
+    ranks = score.argsort(kind="stable").argsort() + 1
+    ones, zeros = (truth == 1).sum(), (truth == 0).sum()
+    auc = (ranks[truth == 1].sum() - ones * (ones + 1) / 2) / (ones * zeros)
+    print(f"{tables}: {len(scored)} held-out rows, accuracy {accuracy:.4f}, AUC {auc:.4f}, share of ones {truth.mean():.3f}")
+    assert accuracy > LEAST_ACCURACY and auc > LEAST_AUC

@@ -23,13 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder takes its place, and is remembered in the session.
+    Where a session on one machine names none, as in tests, a temporary folder
+    takes its place and is remembered in the session; on a cluster that fails,
+    since each executor would write to a disk of its own.
     """
     for get in (lambda: spark.conf.get("spark.checkpoint.dir", None), lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         found = get()
         if found:
             return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="verisieve-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

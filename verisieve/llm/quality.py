@@ -14,8 +14,8 @@ Defined results: a null text counts as empty; every text, also an empty one,
 gets a score; labels that are null or contradict each other (mean one half)
 are not learnt from; repeated rows are scored each and learnt from once;
 without labels of both classes every score is the share of ones, or 0.5 with
-none; an empty table gives an empty result; further columns, also ones named
-like the results, do not matter.
+none; a null id is not held out, and never learnt from; an empty table gives an
+empty result; further columns, also ones named like the results, do not matter.
 """
 
 from __future__ import annotations
@@ -205,4 +205,4 @@ def score(docs: DataFrame, model: Model, out: str = "score", text: str = "text")
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The query's columns: doc_id, held_out, score, predicted."""
     scored = score(docs.select("doc_id", "text"), learn(docs, labels))
-    return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
