@@ -139,7 +139,7 @@ def test_chains_and_many_proposals_are_followed_to_the_end(spark):
     base = [f"w{rng.randrange(3000)}" for _ in range(400)]
     crowd = [varied(random.Random(i), base, 0.72) for i in range(30)]  # all alike, none similar enough
     rows = [(i, " ".join(c)) for i, c in enumerate(crowd)] + [(100, " ".join(base)), (101, " ".join(varied(rng, base, 0.85)))]
-    got = {r["doc_id"]: r["component"] for r in s.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), s.Limits(1, 0, 80, 1)).collect()}
+    got = {r["doc_id"]: r["component"] for r in s.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), s.Limits(1, 0, 160, 1)).collect()}
     sets = {i: s.shingles(t, 5) for i, t in rows}
     label = {i: i for i in sets}
     for i in sets:
@@ -211,5 +211,5 @@ def test_edges_do_not_depend_on_the_rows_order(spark):
     for seed in (1, 2):
         random.Random(seed).shuffle(rows)
         points = spark.createDataFrame(rows, "number long, fp string").repartition(seed + 2)
-        runs.append(sorted(map(tuple, s.shard_edges(points, s.DEDUP, s.COMPARED, shard_points=100).collect())))
+        runs.append(sorted(map(tuple, s.shard_edges(points, s.DEDUP, shard_points=100).collect())))
     assert runs[0] == runs[1] and runs[0]

@@ -82,9 +82,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").reshape(words)
 
 
+def part_of(fp: np.ndarray, k: int) -> np.ndarray:
+    """Part ``k`` of fingerprints (rows, words), as 32-bit integers."""
+    first, bits = PARTS[k % len(PARTS)]
+    return ((fp[:, k // len(PARTS)] >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
+
+
 def parts_of(fp: np.ndarray) -> np.ndarray:
-    """The parts of fingerprints (rows, words), as 32-bit integers (rows, parts)."""
-    return np.stack([(fp[:, w] >> np.uint64(first)) & np.uint64((1 << bits) - 1) for w in range(fp.shape[1]) for first, bits in PARTS], axis=1).astype(np.uint32)
+    """All parts of fingerprints (rows, parts)."""
+    return np.stack([part_of(fp, k) for k in range(fp.shape[1] * len(PARTS))], axis=1)
 
 
 def apart(a: np.ndarray, b: np.ndarray | np.uint32) -> np.ndarray:
@@ -254,7 +260,11 @@ def link_shard(part: np.ndarray, fp: np.ndarray, role: np.ndarray, group: np.nda
                 proposed.append(np.stack([a[at], b[at]], axis=1)[rank < limits.nearest])
                 more.append(a[at][rank >= limits.nearest])
     pairs = np.concatenate(proposed)
-    return groups.label, pairs[groups.label[pairs[:, 0]] != groups.label[pairs[:, 1]]], np.unique(np.concatenate(more))
+    pairs = pairs[groups.label[pairs[:, 0]] != groups.label[pairs[:, 1]]]
+    order, rank = ranked(pairs[:, 0], distance(fp[pairs[:, 0]], fp[pairs[:, 1]]), pairs[:, 1])
+    pairs = pairs[order]
+    more.append(pairs[rank >= limits.nearest, 0])
+    return groups.label, pairs[rank < limits.nearest], np.unique(np.concatenate(more))
 
 
 LINKS, PROPOSALS, MORE = range(3)
@@ -266,12 +276,11 @@ def unpacked(keys: list[str]) -> np.ndarray:
     return np.frombuffer(bytes.fromhex("".join(keys)), ">u8").reshape(len(keys), -1).astype(np.uint64)
 
 
-def shard_edges(points: DataFrame, limits: Limits, compared: int, shard_points: int = SHARD_POINTS, cell_points: int = CELL_POINTS, again: DataFrame | None = None) -> DataFrame:
+def shard_edges(points: DataFrame, limits: Limits, shard_points: int = SHARD_POINTS, cell_points: int = CELL_POINTS, again: DataFrame | None = None) -> DataFrame:
     """Rows kind, a, b over ``points`` (number, fp in hexadecimal): links, pairs to verify, and points with more of those (a = b).
 
-    The first ``compared`` words of a fingerprint are compared, its parts are
-    of all words.  With ``again`` (number, component, asks) only some points
-    ask, and pairs within a component are left out.
+    With ``again`` (number, component, asks) only some points ask, and pairs
+    within a component are left out.
     """
     n = points.count()
     depth = max(2, math.ceil(math.log2(max(1, n) / shard_points)))
@@ -280,49 +289,51 @@ def shard_edges(points: DataFrame, limits: Limits, compared: int, shard_points:
     words = len(rows["fp"].iloc[0]) // 16 if len(rows) else 1
     sample = parts_of(unpacked(rows["fp"].to_list()) if len(rows) else np.zeros((1, 1), np.uint64))
     forest = [Routes(sample[:, k], limits.part_radius, depth, n, cell_points) for k in range(sample.shape[1])]
-    columns = [f"w{i}" for i in range(min(words, compared))]
-    names = ["shard", "cell", "number", "role", "part", "component", *columns]
+    columns = [f"w{i}" for i in range(words)]
+    known = [] if again is None else ["component"]  # else each point is its own
+    names = ["cell", "number", *known, *columns]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             fp = unpacked(batch.column("fp").to_pylist())
-            number, component = (batch.column(c).to_numpy() for c in ("number", "component"))
+            number = batch.column("number").to_numpy()
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
             parts = parts_of(fp)
             for k, tree in enumerate(forest):
                 for shard, cell, at, role in tree.dealt(parts[:, k], number, asks):
-                    same = lambda x, kind, at=at: np.full(len(at), x, kind)
-                    made = [same(shard * len(forest) + k, np.int64), same(cell, np.int32), number[at], role, parts[at, k].astype(np.int32), component[at], *[fp[at, i].view(np.int64) for i in range(len(columns))]]
+                    own = np.full(len(at), (shard * len(forest) + k) << 24 | cell, np.int64)
+                    made = [own, number[at] << 2 | role, *[batch.column(c).to_numpy()[at] for c in known], *[fp[at, i].view(np.int64) for i in range(len(columns))]]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=names)
 
     def link(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("number")  # pairs do not depend on the rows' order
-        number, role, component = (table.column(c).to_numpy() for c in ("number", "role", "component"))
+        number, role = table.column("number").to_numpy() >> 2, table.column("number").to_numpy() & 3
+        component = table.column("component").to_numpy() if known else number
         fp = np.stack([table.column(c).to_numpy().view(np.uint64) for c in columns], axis=1)
         _, first, group = np.unique(component, return_index=True, return_inverse=True)
-        label, pairs, more = link_shard(table.column("part").to_numpy().astype(np.uint32), fp, role, first[group], limits)
+        label, pairs, more = link_shard(part_of(fp, int(table.column("cell")[0].as_py() >> 24) % len(forest)), fp, role, first[group], limits)
         moved = np.flatnonzero((label != np.arange(len(label))) & (label != first[group]))
         a, b = np.concatenate([number[moved], number[pairs.min(axis=1)], number[more]]), np.concatenate([number[label[moved]], number[pairs.max(axis=1)], number[more]])
         kind = np.repeat(np.array([LINKS, PROPOSALS, MORE], np.int32), [len(moved), len(pairs), len(more)])
         return pa.table({"kind": kind, "a": a, "b": b})
 
     if again is None:
-        asked = points.select("number", "fp", F.col("number").alias("component"), F.lit(True).alias("asks"))
+        asked = points.select("number", "fp", F.lit(True).alias("asks"))
     else:
         asked = points.select("number", "fp").join(again, "number").select("number", "fp", "component", "asks")
-    routed = asked.mapInArrow(route, ", ".join(["shard long, cell int, number long, role byte, part int, component long", *[f"{c} long" for c in columns]]))
+    routed = asked.mapInArrow(route, ", ".join(["cell long, number long", *[f"{c} long" for c in (*known, *columns)]]))
     if again is not None:
-        visited, _ = materialize(routed.where("role > 1").select("shard", "cell").distinct(), "visited")
-        routed = routed.join(visited, ["shard", "cell"], "left_semi")
-    return routed.groupBy("shard", "cell").applyInArrow(link, EDGES).distinct()
+        visited, _ = materialize(routed.where("number % 4 > 1").select("cell").distinct(), "visited")
+        routed = routed.join(visited, "cell", "left_semi")
+    return routed.groupBy("cell").applyInArrow(link, EDGES).distinct()
 
 
 def linked_pairs(points: DataFrame, words: int = 1, radius: int = RADIUS, shard_points: int = SHARD_POINTS, cell_points: int = CELL_POINTS) -> DataFrame:
     """Edges (a, b) that connect the points (number, fp) as all pairs within ``radius`` bits would: of ``p`` parts one differs in ``radius // p`` bits at most."""
     limits = Limits(radius // (words * len(PARTS)), radius, radius)
-    return shard_edges(points, limits, words, shard_points, cell_points).select("a", "b")
+    return shard_edges(points, limits, shard_points, cell_points).select("a", "b")
 
 
 def fingerprints(text: Column, shingle: int = SHINGLE, words: int = 1) -> Column:
@@ -365,9 +376,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 #: For dropping near copies: five words and a similarity of 0.8.  Eight words of fingerprint have 24 parts, one of which differs in one bit at most
-#: for 0.98 of the pairs right at the limit, and for more of the closer ones.  Of 256 bits such a pair differs in 39, give or take 6.
-SIMILARITY, DEDUP_SHINGLE, DEDUP_WORDS, COMPARED = 0.8, 5, 8, 4
-DEDUP = Limits(part_radius=1, certain=20, radius=56, nearest=16)
+#: for 0.98 of the pairs right at the limit, and for more of the closer ones.  Of all 512 bits such a pair differs in 78, give or take 8.
+SIMILARITY, DEDUP_SHINGLE, DEDUP_WORDS = 0.8, 5, 8
+DEDUP = Limits(part_radius=1, certain=50, radius=98, nearest=1)
+#: Each round of proposals is so many times larger.
+MORE_TIMES = 64
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -383,49 +396,61 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t, DEDUP_SHINGLE).view(np.int64) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(sets, pa.list_(pa.int64()))], names=["number", "own"])
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose texts are similar; a text that comes again in a row is shingled once."""
-    last, own = None, None
+    """The pairs whose shingles are similar."""
     for batch in batches:
-        keep = []
-        for i, (a, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True)):
-            if a != last:
-                last, own = a, shingles(ta, DEDUP_SHINGLE)
-            if similarity(own, shingles(tb, DEDUP_SHINGLE)) >= SIMILARITY:
-                keep.append(i)
+        left, right = (batch.column(c) for c in ("left", "right"))
+        flat = [(x.offsets.to_numpy(), x.values.to_numpy()) for x in (left, right)]
+        keep = [i for i in range(batch.num_rows) if similarity(*(v[o[i] : o[i + 1]] for o, v in flat)) >= SIMILARITY]
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
 def similar_groups(docs: DataFrame, limits: Limits = DEDUP, shard_points: int = SHARD_POINTS) -> DataFrame:
     """Rows doc_id, text_key, component: documents connected by texts of a similarity of ``SIMILARITY`` and more."""
-    spark, text = docs.sparkSession, non_null_text()
+    text, paths = non_null_text(), []
+
+    def put(df: DataFrame, label: str) -> DataFrame:
+        out, path = materialize(df, label)
+        paths.append(path)
+        return out
+
     keyed = docs.select("doc_id", F.md5(text).alias("text_key"), text.alias("text"))
     marked, _ = materialize(keyed.select("doc_id", "text_key", fingerprints(F.col("text"), DEDUP_SHINGLE, DEDUP_WORDS).alias("fp")), "fingerprints")
-    points, _ = _points(marked, F.min("text_key").alias("text_key"))
+    points, path = _points(marked, F.min("text_key").alias("text_key"))
+    paths.append(path)
     again, edges, tried, components = None, None, None, None
     while True:
-        found, _ = materialize(shard_edges(points, limits, COMPARED, shard_points, again=again), "proposals")
+        found = put(shard_edges(points, limits, shard_points, again=again), "proposals")
         pairs = found.where(F.col("kind") == PROPOSALS).select("a", "b")
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, _ = materialize(pairs, "pairs")
+        pairs = put(pairs, "pairs")
         new = found.where(F.col("kind") == LINKS).select("a", "b")
         if not pairs.isEmpty():
             asked = points.select("number", "text_key").join(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "number", "left_semi")
-            texts, _ = materialize(keyed.select("text_key", "text").join(asked, "text_key").select("number", "text").dropDuplicates(["number"]), "texts")
-            left, right = texts.select(F.col("number").alias("a"), F.col("text").alias("ta")), texts.select(F.col("number").alias("b"), F.col("text").alias("tb"))
-            alike, _ = materialize(pairs.join(right, "b").join(left, "a").mapInArrow(_alike, "a long, b long"), "alike")
+            texts = keyed.select("text_key", "text").join(asked, "text_key").select("number", "text").dropDuplicates(["number"])
+            sets = put(texts.mapInArrow(_shingled, "number long, own array<long>"), "shingles")
+            left, right = sets.select(F.col("number").alias("a"), F.col("own").alias("left")), sets.select(F.col("number").alias("b"), F.col("own").alias("right"))
+            alike = put(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_alike, "a long, b long"), "alike")
             new = new.unionByName(alike)
             tried = pairs if tried is None else tried.unionByName(pairs)
         if components is None or not new.isEmpty():
             edges = new if edges is None else components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
-            components, _ = materialize(connected_components(edges), "components")
-        more, _ = materialize(found.where(F.col("kind") == MORE).select(F.col("a").alias("number")).distinct(), "more")
+            components = put(connected_components(edges), "components")
+        more = put(found.where(F.col("kind") == MORE).select(F.col("a").alias("number")).distinct(), "more")
         if more.isEmpty():
             break
         labelled = points.select("number").join(components.withColumnRenamed("node", "number"), "number", "left").join(more.withColumn("asks", F.lit(True)), "number", "left")
-        again, _ = materialize(labelled.select("number", F.coalesce("component", "number").alias("component"), F.coalesce("asks", F.lit(False)).alias("asks")), "again")
-        limits = Limits(limits.part_radius, limits.certain, limits.radius, 8 * limits.nearest)
+        again = put(labelled.select("number", F.coalesce("component", "number").alias("component"), F.coalesce("asks", F.lit(False)).alias("asks")), "again")
+        limits = Limits(limits.part_radius, limits.certain, limits.radius, MORE_TIMES * limits.nearest)
     named, _ = _named(points, components)
+    for path in paths:
+        discard(docs.sparkSession, path)
     return marked.join(named, "fp").select("doc_id", "text_key", "component")
 
 
