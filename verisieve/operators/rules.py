@@ -7,7 +7,6 @@ is a join of extracted calls with evidence tables.
 from __future__ import annotations
 
 import ast
-import builtins
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import byte_distance
+from ..functions.text import byte_distance, spread
+from . import patterns as P
 
 FACTS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("receiver", T.StringType()), T.StructField("name", T.StringType()), T.StructField("arguments", T.IntegerType()), T.StructField("line", T.IntegerType())]))
-_BUILTINS = frozenset(dir(builtins))
+_BUILTINS = frozenset((*P.PYTHON_NAMES, *P.ERROR_NAMES, "__name__", "__file__", "__doc__", "NotImplemented", "Ellipsis", "Warning", "DeprecationWarning", "UserWarning", "FutureWarning"))
 
 
 def python_facts(code: str | None) -> list[tuple]:
@@ -130,3 +130,67 @@ def diagnostics(lines: DataFrame) -> DataFrame:
     quoted_name = F.regexp_extract("line", "['`\"‘]([A-Za-z_][\\w:.]*)['`\"’]", 1)
     code = F.regexp_extract("line", r"\b(error(?:\[E\d+\]| TS\d+| CS\d+)?|report\w+)", 1)
     return lines.where(F.lower("line").rlike("error|report")).select("response_id", "tool", code.alias("code"), quoted_name.alias("symbol")).where("symbol <> ''").distinct()
+
+
+#: How far a suggestion may be from a member's name, language by language: for names of up to six bytes, and the divisor of longer ones.
+MEMBER_LIMITS = {"typescript": (2, 4), "rust": (2, 4), "go": (2, 3), "java": (2, 4), "csharp": (2, 4), "cpp": (2, 4), "python": (2, 4)}
+
+
+def members(calls: DataFrame, known: DataFrame, language: str, kind: str = "hallucinated-method") -> DataFrame:
+    """Members that a known type, module, class or package lacks, with the nearest of its own: calls (response_id, type, member) against (type, member).
+
+    Covers methods, static methods, symbols of imports and classes of packages;
+    types without evidence stay unknown.
+    """
+    short, per = MEMBER_LIMITS[language]
+    asked = calls.select("response_id", "type", "member").distinct()
+    missing = asked.join(known.select("type").distinct(), "type", "left_semi").join(known, ["type", "member"], "left_anti")
+    limit = F.when(F.octet_length("member") <= 6, short).otherwise(F.floor(F.octet_length("member") / per))
+    named = missing.select("type", "member").distinct()
+    near = spread(named, "type", "member").join(known.withColumnRenamed("member", "other"), "type").where(F.abs(F.octet_length("member") - F.octet_length("other")) <= limit)
+    near = near.withColumn("d", byte_distance(F.col("member"), F.col("other"))).where(F.col("d") <= limit)
+    best = near.groupBy("type", "member").agg(F.min(F.struct("d", "other")).alias("m")).select("type", "member", F.col("m.other").alias("suggestion"))
+    text = F.concat(warn(kind, F.concat_ws(".", "type", "member"), "not in known methods"), F.coalesce(F.concat(F.lit(", did you mean `"), "suggestion", F.lit("`?")), F.lit("")))
+    return missing.join(best, ["type", "member"], "left").select("response_id", text.alias("warning"))
+
+
+def chains(calls: DataFrame, returns: DataFrame, hops: int = 6) -> DataFrame:
+    """Chains of calls followed from type to type: (response_id, chain, type, members) against (type, member, returned).
+
+    A member that a known type lacks is a phantom; one whose result has no
+    evidence breaks the chain. Each hop is one equi join; a chain ends in one
+    warning at most.
+    """
+    known = returns.select("type").distinct().withColumn("is_known", F.lit(True))
+    now = calls.select("response_id", "chain", "type", "members")
+    found = None
+    for hop in range(hops):
+        here = now.where(F.size("members") > hop).withColumn("member", F.get("members", F.lit(hop)))
+        seen = here.join(known, "type", "left").join(returns, ["type", "member"], "left")
+        phantom = seen.where("is_known and returned is null").select("response_id", "chain", warn("chain-phantom-member", F.concat_ws(".", "type", "member"), "does not exist").alias("warning"))
+        broken = seen.where("is_known is null").select("response_id", "chain", warn("chain-broken", F.col("type"), "is unknown").alias("warning")) if hop else None
+        ended = phantom if broken is None else phantom.unionByName(broken)
+        found = ended if found is None else found.unionByName(ended)
+        now = seen.where("returned is not null").select("response_id", "chain", F.col("returned").alias("type"), "members")
+    return found
+
+
+def constructors(calls: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Constructors called with fewer or more arguments than any signature takes: (response_id, class, arguments) against (class, least, most)."""
+    bounds = signatures.groupBy("class").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    wrong = calls.join(bounds, "class").where("arguments < least or arguments > most")
+    return wrong.select("response_id", F.concat(warn("hallucinated-constructor", F.col("class"), "takes "), "least", F.lit(" to "), "most", F.lit(" arguments")).alias("warning")).distinct()
+
+
+def missing_headers(calls: DataFrame, functions: DataFrame, included: DataFrame) -> DataFrame:
+    """Functions whose header no response's include names: (response_id, name) against (name, header) and (response_id, header)."""
+    needed = calls.select("response_id", "name").distinct().join(functions, "name")
+    have = needed.join(included, ["response_id", "header"], "left_semi").select("response_id", "name").distinct()
+    none = needed.join(have, ["response_id", "name"], "left_anti").groupBy("response_id", "name").agg(F.min("header").alias("header"))
+    return none.select("response_id", F.concat(warn("hallucinated-function", F.col("name"), "needs"), F.lit(" `"), "header", F.lit("`")).alias("warning"))
+
+
+def namespaces(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Namespaces (response_id, namespace) that are unknown but near to a known one."""
+    near = includes(found.select("response_id", F.col("namespace").alias("header")), known.select(F.col("namespace").alias("header")))
+    return near.select("response_id", F.regexp_replace("warning", "^hallucinated-import:", "hallucinated-namespace:").alias("warning"))

@@ -322,6 +322,72 @@ def compiler_diagnostics(v):
     return found.groupBy("tool", "code").agg(F.count_distinct("symbol").alias("symbols"))
 
 
+_LIMIT = "CASE WHEN strlen(m.member) <= 6 THEN {} ELSE strlen(m.member) // {} END"
+
+
+def _members_sql(language: str, kind: str) -> str:
+    limit = _LIMIT.format(*rules.MEMBER_LIMITS[language])
+    return f"""WITH c AS (SELECT DISTINCT response_id, class AS type, method AS member FROM claims), k AS (SELECT DISTINCT class AS type, name AS member FROM symbols), m AS (SELECT * FROM c WHERE type IN (SELECT type FROM k) AND NOT EXISTS (SELECT 1 FROM k WHERE k.type = c.type AND k.member = c.member)),
+    b AS (SELECT m.type, m.member, arg_min(k.member, (levenshtein(m.member, k.member), k.member)) AS suggestion FROM (SELECT DISTINCT type, member FROM m) m JOIN k ON k.type = m.type AND levenshtein(m.member, k.member) <= {limit} GROUP BY m.type, m.member)
+    SELECT response_id, '{kind}: `' || m.type || '.' || m.member || '` not in known methods' || coalesce(', did you mean `' || suggestion || '`?', '') AS warning FROM m LEFT JOIN b USING (type, member)"""
+
+
+def _members(v, language: str, kind: str) -> DataFrame:
+    known = v.symbols.select(F.col("class").alias("type"), F.col("name").alias("member")).distinct()
+    return rules.members(v.claims.select("response_id", F.col("class").alias("type"), F.col("method").alias("member")), known, language, kind)
+
+
+@query(_members_sql("rust", "hallucinated-method"))
+def rust_static_methods(v):
+    return _members(v, "rust", "hallucinated-method")
+
+
+@query(_members_sql("go", "hallucinated-import-name"))
+def go_symbols(v):
+    return _members(v, "go", "hallucinated-import-name")
+
+
+@query(_members_sql("java", "hallucinated-import"))
+def java_classes(v):
+    return _members(v, "java", "hallucinated-import")
+
+
+@query("""WITH k AS (SELECT DISTINCT 'System.' || class AS namespace FROM symbols), f AS (SELECT DISTINCT response_id, 'System.' || class AS namespace FROM claims), m AS (SELECT * FROM f WHERE namespace NOT IN (SELECT namespace FROM k)),
+    d AS (SELECT m.namespace, k.namespace AS other, levenshtein(m.namespace, k.namespace) AS d FROM (SELECT DISTINCT namespace FROM m) m, k WHERE levenshtein(m.namespace, k.namespace) <= 3 + strlen(m.namespace) // 4),
+    b AS (SELECT namespace, arg_min(other, (d, other)) AS suggestion FROM d GROUP BY namespace)
+    SELECT response_id, 'hallucinated-namespace: `' || m.namespace || '` not found, did you mean `' || suggestion || '`?' AS warning FROM m JOIN b USING (namespace)""")
+def csharp_namespaces(v):
+    name = F.concat(F.lit("System."), "class").alias("namespace")
+    return rules.namespaces(v.claims.select("response_id", name), v.symbols.select(name).distinct())
+
+
+@query("""WITH n AS (SELECT l_orderkey AS response_id, concat(l_linenumber, '-', l_suppkey, '-', l_partkey) AS chain, l_suppkey % 4 AS s, l_partkey % 3 AS p FROM lineitem)
+    SELECT response_id, chain, CASE WHEN s = 0 THEN 'chain-phantom-member: `Client.missing` does not exist' WHEN s = 1 THEN 'chain-broken: `Opaque` is unknown' WHEN p = 0 THEN 'chain-phantom-member: `Row.vanish` does not exist' END AS warning
+    FROM n WHERE s IN (0, 1) OR p = 0""")
+def call_chains(v):
+    returns = v.spark.createDataFrame([("Client", "query", "Result"), ("Client", "raw", "Opaque"), ("Result", "first", "Row"), ("Row", "get", "str"), ("str", "strip", "str")], "type string, member string, returned string")
+    members_of = F.when(F.col("l_suppkey") % 4 == 0, F.array(F.lit("missing"), F.lit("first"))).when(F.col("l_suppkey") % 4 == 1, F.array(F.lit("raw"), F.lit("x"))).when(F.col("l_partkey") % 3 == 0, F.array(F.lit("query"), F.lit("first"), F.lit("vanish"))).otherwise(F.array(F.lit("query"), F.lit("first"), F.lit("get"), F.lit("strip")))
+    chain = F.concat_ws("-", "l_linenumber", "l_suppkey", "l_partkey").alias("chain")
+    calls = v.lineitem.select(F.col("l_orderkey").alias("response_id"), chain, F.lit("Client").alias("type"), members_of.alias("members"))
+    return rules.chains(calls, returns)
+
+
+@query("""WITH s AS (SELECT class, min(arity) AS least, max(arity) + 1 AS most FROM symbols GROUP BY class)
+    SELECT DISTINCT response_id, concat('hallucinated-constructor: `', c.class, '` takes ', least, ' to ', most, ' arguments') AS warning FROM claims c JOIN s USING (class) WHERE c.quantity::BIGINT % 9 < least OR c.quantity::BIGINT % 9 > most""")
+def constructor_calls(v):
+    signatures = v.symbols.select("class", F.col("arity").alias("least"), (F.col("arity") + 1).alias("most"))
+    return rules.constructors(v.claims.select("response_id", "class", (F.col("quantity").cast("bigint") % 9).alias("arguments")), signatures)
+
+
+@query("""WITH f AS (SELECT DISTINCT name, 'h' || seq % 7 || '.h' AS header FROM symbols), i AS (SELECT DISTINCT response_id, 'h' || suppkey % 7 || '.h' AS header FROM claims), c AS (SELECT DISTINCT response_id, method AS name FROM claims), n AS (SELECT * FROM c JOIN f USING (name)),
+    g AS (SELECT response_id, name, min(header) AS header, bool_or(EXISTS (SELECT 1 FROM i WHERE i.response_id = n.response_id AND i.header = n.header)) AS have FROM n GROUP BY response_id, name)
+    SELECT response_id, 'hallucinated-function: `' || name || '` needs `' || header || '`' AS warning FROM g WHERE NOT have""")
+def c_headers(v):
+    header = lambda c: F.concat(F.lit("h"), F.col(c) % 7, F.lit(".h")).alias("header")
+    calls = v.claims.select("response_id", F.col("method").alias("name"))
+    return rules.missing_headers(calls, v.symbols.select("name", header("seq")).distinct(), v.claims.select("response_id", header("suppkey")).distinct())
+
+
 # -- responses: signals and code without fences
 
 _SNIPPETS = {
