@@ -82,10 +82,14 @@ def test_no_part_grows_with_a_common_window(spark, monkeypatch):
     rows = [(5, i.to_bytes(16, "big"), context(rng.randrange(100)) + notice + context(rng.randrange(100)), 1, 20) for i in range(4000)]
     of_hot = spark.createDataFrame(rows, "anchor long, hash binary, stretch binary, n long, parts long")
     monkeypatch.setattr(s, "OFTEN", 200)
-    done = {r["hash"]: r["done"] for r in s._by_count(of_hot).collect()}
-    assert len(done) == 4000 and all(rows[int.from_bytes(h, "big")][2][o : o + 200].count(notice[2:-2]) for h, x in done.items() for o in x)
-    batch = pa.RecordBatch.from_pydict({"anchor": [5] * 4000, "hash": [r[1] for r in rows], "stretch": [r[2] for r in rows], "n": [1] * 4000, "parts": [20] * 4000, "done": [list(done[bytes(r[1])]) for r in rows]})
-    sizes = Counter(p for b in s._dealt(iter([batch])) for p in b.column("part").to_pylist())
+    sure = s._by_count(of_hot.coalesce(2))
+    whole = {int(x) for x in s._windows(notice)}
+    assert whole < set(sure.tolist())
+    known = spark.sparkContext.broadcast(sure)
+    batch = pa.RecordBatch.from_pydict({"anchor": [5] * 4000, "hash": [r[1] for r in rows], "stretch": [r[2] for r in rows], "n": [1] * 4000, "parts": [20] * 4000})
+    judged = [x for b in s._judged_by_count(known)(iter([batch])) for x in b.to_pylist()]
+    assert len(judged) == 4000 and all(notice[2:-2] in rows[int.from_bytes(x["hash"], "big")][2][lo : hi + 200] for x in judged for lo, hi in zip(x["ranges"][::2], x["ranges"][1::2]))
+    sizes = Counter(p for b in s._dealt(known)(iter([batch])) for p in b.column("part").to_pylist())
     assert max(sizes.values()) <= 3 * sorted(sizes.values())[len(sizes) // 2]
 
 

@@ -17,7 +17,7 @@ its windows.  A window that very many of them hold, such as a notice in ten
 million different texts, would still bring them all to one part: windows are
 counted by hash first, summed up where the stretches are, and those found in
 more than ``OFTEN`` stretches are compared by their least and greatest bytes
-and need no sorting.  So no shard grows with the corpus.  A text that is
+and need no sorting; a bounded number of them, the most frequent.  So no shard grows with the corpus.  A text that is
 repeated adds to counts and to nothing else.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH``
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ GRAM, SHALLOW, LEADERS = 32, 32, 6
 CHUNK, BUFFER = 1 << 20, 4_000_000
 #: Windows of an anchor's different stretches that one part of it should have, and stretches that a window may be in to be sorted there.
 PART, OFTEN = 32_768, 256
+#: Bound of the windows that are judged by count: their hashes go to the driver and to all tasks.
+MOST_OFTEN = 500_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = (1 << 64) - 1
@@ -263,57 +266,79 @@ def _batch(names: list[str], columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n in ("hash", "stretch") else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each stretch its windows' hashes and their offsets."""
-    for batch in batches:
-        anchor, window, key, offset = [], [], [], []
-        for a, h, s in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash", "stretch")), strict=True):
-            own = _signed(rolling(np.frombuffer(s, np.uint8), LENGTH))
-            anchor.append(np.full(len(own), a, np.int64))
-            window.append(own)
-            key += [h] * len(own)
-            offset.append(np.arange(len(own), dtype=np.int32))
-        if key:
-            made = [pa.array(np.concatenate(anchor)), pa.array(np.concatenate(window)), pa.array(key, pa.binary()), pa.array(np.concatenate(offset))]
-            yield pa.RecordBatch.from_arrays(made, names=["anchor", "window", "hash", "offset"])
-
-
-def _window_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the windows at ``hits``, each once a batch."""
-    for batch in batches:
-        rows = {(a, x["window"], s[x["offset"] : x["offset"] + LENGTH]) for a, s, hits in zip(*(batch.column(c).to_pylist() for c in ("anchor", "stretch", "hits")), strict=True) for x in hits}
-        a, w, b = zip(*rows, strict=True) if rows else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(w, pa.int64()), pa.array(b, pa.binary())], names=["anchor", "window", "bytes"])
+def _windows(stretch: bytes) -> np.ndarray:
+    """The hashes of a stretch's windows."""
+    return _signed(rolling(np.frombuffer(stretch, np.uint8), LENGTH))
 
 
-def _judged_by_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The offsets of each stretch as ranges."""
+def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that several stretches of a batch hold, with their number: hash and n."""
     for batch in batches:
-        ranges = []
-        for offsets in batch.column("done").to_pylist():
-            flags = np.zeros(max(offsets) + 1, bool)
-            flags[offsets] = True
-            ranges.append(_ranges(flags))
-        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("hash"), pa.array(ranges, pa.list_(pa.int32()))], names=["anchor", "hash", "ranges"])
+        own = [_windows(s) for s in batch.column("stretch").to_pylist()]
+        window, n = np.unique(np.concatenate([np.empty(0, np.int64), *own]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(window[n > 1]), pa.array(n[n > 1])], names=["window", "n"])
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of each stretch for each part that some of its windows go to, with their offsets; none stands for all.
+def _among(windows: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The offsets of the windows that are among the known ones, which are sorted."""
+    at = np.minimum(np.searchsorted(known, windows), max(0, len(known) - 1))
+    return np.flatnonzero(known[at] == windows) if len(known) else np.empty(0, np.int64)
 
-    The windows in ``done`` go nowhere.
-    """
-    for batch in batches:
-        out: list[tuple] = []
-        for anchor, h, s, n, parts, done in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash", "stretch", "n", "parts", "done")), strict=True):
-            if parts == 1:
-                out.append((anchor, 0, h, s, n, None))
-                continue
-            part = (rolling(np.frombuffer(s, np.uint8), LENGTH) % np.uint64(parts)).astype(np.int64)
-            part[done or []] = -1
-            for p in np.unique(part[part >= 0]).tolist():
-                out.append((anchor, p, h, s, n, np.flatnonzero(part == p).astype(np.int32)))
-        a, p, h, s, n, w = zip(*out, strict=True) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.int64()), pa.array(h, pa.binary()), pa.array(s, pa.binary()), pa.array(n, pa.int64()), pa.array(w, pa.list_(pa.int32()))], names=["anchor", "part", "hash", "stretch", "n", "windows"])
+
+def _window_bytes(known: Broadcast):
+    """The bytes of the known windows, each once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = set()
+            for s in batch.column("stretch").to_pylist():
+                own = _windows(s)
+                rows |= {(int(own[o]), s[o : o + LENGTH]) for o in _among(own, known.value).tolist()}
+            w, b = zip(*rows, strict=True) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(b, pa.binary())], names=["window", "bytes"])
+
+    return run
+
+
+def _judged_by_count(known: Broadcast):
+    """The known windows of each stretch, as ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, ranges = [], []
+            for i, s in enumerate(batch.column("stretch").to_pylist()):
+                own = _windows(s)
+                flags = np.zeros(len(own), bool)
+                flags[_among(own, known.value)] = True
+                if flags.any():
+                    take.append(i)
+                    ranges.append(_ranges(flags))
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("anchor").take(at), batch.column("hash").take(at), pa.array(ranges, pa.list_(pa.int32()))], names=["anchor", "hash", "ranges"])
+
+    return run
+
+
+def _dealt(known: Broadcast | None):
+    """A row of each stretch for each part that some of its windows go to, with their offsets; none stands for all. The known windows go nowhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for anchor, h, s, n, parts in zip(*(batch.column(c).to_pylist() for c in ("anchor", "hash", "stretch", "n", "parts")), strict=True):
+                if parts == 1:
+                    out.append((anchor, 0, h, s, n, None))
+                    continue
+                own = _windows(s)
+                part = (own.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+                if known is not None:
+                    part[_among(own, known.value)] = -1
+                for p in np.unique(part[part >= 0]).tolist():
+                    out.append((anchor, p, h, s, n, np.flatnonzero(part == p).astype(np.int32)))
+            a, p, h, s, n, w = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.int64()), pa.array(h, pa.binary()), pa.array(s, pa.binary()), pa.array(n, pa.int64()), pa.array(w, pa.list_(pa.int32()))], names=["anchor", "part", "hash", "stretch", "n", "windows"])
+
+    return run
 
 
 def _ranges(flags: np.ndarray) -> list[int]:
@@ -397,16 +422,21 @@ def _kept(whole: bool):
     return run
 
 
-def _by_count(stretches_of_hot: DataFrame) -> DataFrame:
-    """Rows anchor, hash, done: the offsets of windows that more than ``OFTEN`` of the different stretches hold, checked on their bytes."""
-    hashes = stretches_of_hot.mapInArrow(_window_hashes, "anchor long, window long, hash binary, offset int")
-    often, _ = materialize(hashes.groupBy("anchor", "window").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN).select("anchor", "window"), "often")
-    hits, _ = materialize(hashes.join(often, ["anchor", "window"]), "hits")  # written, so that what follows is a plain exchange
-    listed, _ = materialize(hits.groupBy("anchor", "hash").agg(F.collect_list(F.struct("window", "offset")).alias("hits")), "listed")
-    found = stretches_of_hot.select("anchor", "hash", "stretch").join(listed, ["anchor", "hash"]).mapInArrow(_window_bytes, "anchor long, window long, bytes binary")
-    one = found.groupBy("anchor", "window").agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest")).where("least = greatest").select("anchor", "window")
-    sure, _ = materialize(one, "sure")
-    return hits.join(sure, ["anchor", "window"]).groupBy("anchor", "hash").agg(F.collect_list("offset").alias("done"))
+def _by_count(of_hot: DataFrame) -> np.ndarray:
+    """Sorted hashes of windows that more than ``OFTEN`` of the different stretches hold, checked on their bytes; the most frequent ``MOST_OFTEN`` at most.
+
+    A window counts in batches that hold it more than once, so that next to
+    nothing travels; what is not counted, or is beyond the bound, is sorted as
+    all others are.
+    """
+    spark = of_hot.sparkSession
+    counted = of_hot.mapInArrow(_repeated_windows, "window long, n long").groupBy("window").agg(F.sum("n").alias("n")).where(F.col("n") > OFTEN)
+    often = np.sort(np.array([r["window"] for r in counted.orderBy(F.desc("n"), "window").limit(MOST_OFTEN).collect()], np.int64))
+    if not len(often):
+        return often
+    found = of_hot.mapInArrow(_window_bytes(spark.sparkContext.broadcast(often)), "window long, bytes binary")
+    one = found.groupBy("window").agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest")).where("least = greatest").select("window")
+    return np.sort(np.array([r["window"] for r in one.collect()], np.int64))
 
 
 def _removed(docs: DataFrame) -> DataFrame:
@@ -423,20 +453,16 @@ def _removed(docs: DataFrame) -> DataFrame:
     different, different_path = materialize(cut.groupBy("anchor", "hash", "stretch").agg(F.count("*").alias("n")), "different")
     hot, hot_path = materialize(different.groupBy("anchor").agg(F.ceil(F.sum(F.octet_length("stretch") - LENGTH + 1) / PART).alias("parts")).where("parts > 1"), "hot")
     shards = different.join(hot, "anchor", "left").select("anchor", "hash", "stretch", "n", F.coalesce("parts", F.lit(1)).alias("parts"))
-    of_hot, _ = materialize(shards.where("parts > 1"), "of_hot")
+    of_hot, of_hot_path = materialize(shards.where("parts > 1"), "of_hot")
     verdict = "anchor long, hash binary, ranges array<int>"
-    if of_hot.isEmpty():
-        judged, dealt = None, shards.withColumn("done", F.lit(None).cast("array<int>"))
-    else:
-        done, _ = materialize(_by_count(of_hot), "done")
-        judged = done.mapInArrow(_judged_by_count, verdict)
-        rest = of_hot.join(done, ["anchor", "hash"], "left").select("anchor", "hash", "stretch", "n", "parts", "done")
-        dealt = shards.where("parts = 1").withColumn("done", F.lit(None).cast("array<int>")).unionByName(rest)
-    dealt = dealt.mapInArrow(_dealt, "anchor long, part long, hash binary, stretch binary, n long, windows array<int>").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    by_sort = dealt.mapInArrow(_sorted_shards, verdict)
+    sure = _by_count(of_hot)
+    known = spark.sparkContext.broadcast(sure) if len(sure) else None
+    judged = of_hot.mapInArrow(_judged_by_count(known), verdict) if known else None
+    dealt = shards.where("parts = 1").unionByName(of_hot).mapInArrow(_dealt(known), "anchor long, part long, hash binary, stretch binary, n long, windows array<int>")
+    by_sort = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_sorted_shards, verdict)
     verdicts, verdicts_path = materialize(by_sort if judged is None else by_sort.unionByName(judged), "verdicts")
-    discard(spark, different_path)
-    discard(spark, hot_path)
+    for path in (different_path, hot_path, of_hot_path):
+        discard(spark, path)
     ranges = cut.select("k0", "k1", "anchor", "first", "hash").distinct().join(verdicts, ["anchor", "hash"]).groupBy("k0", "k1").agg(F.collect_list(F.struct("first", "ranges")).alias("ranges"))
     ranges, _ = materialize(ranges, "ranges")
     discard(spark, cut_path)
