@@ -1,9 +1,17 @@
 """The pipeline's stages, each against a plain version."""
 
 import random
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from verisieve.llm import decontaminate
+from verisieve.llm import decontaminate, quality, simhash
+from verisieve.llm.queries import tokenizer_file
+
+sentencepiece = pytest.importorskip("sentencepiece")
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -47,3 +55,52 @@ def test_stages(spark, tmp_path):
     assert set(seen[4]) == set(seen[3]) and all(r["round_trip"] for r in seen[4].values() if r["n_ids"] is not None)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen[4])
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][1] == "SimHash near-dedup"
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Each stage's whole result over what its predecessor kept, row by row."""
+    sys.path.insert(0, str(Path(__file__).parent))
+    from test_decontaminate import brute as leaks
+    from test_native import base_pii
+
+    rows, item = write(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    model = quality.learn(docs, labels)
+    steps = [(stage, f"{tmp_path}/step{n}") for n, (_, stage) in enumerate(corpus_pipeline.STAGES)]
+    got = []
+    for stage, path in steps:
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        got.append({r["doc_id"]: r for r in docs.collect()})
+    texts = {i: t for i, t in rows.items() if float(model.score(quality.features(t)[None])[0]) >= 0.5}
+    assert {i: r["text"] for i, r in got[0].items()} == texts
+    sets = {i: simhash.shingles(t, 5) for i, t in texts.items()}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if simhash.similarity(sets[i], sets[j]) >= 0.8:
+                label = {k: min(label[i], label[j]) if x in (label[i], label[j]) else x for k, x in label.items()}
+    texts = {i: t for i, t in texts.items() if label[i] == i}
+    assert {i: r["text"] for i, r in got[1].items()} == texts
+    texts = {i: t for i, t in texts.items() if not leaks(t, item)}
+    assert {i: r["text"] for i, r in got[2].items()} == texts
+    kinds = ("EMAIL", "IP", "CARD", "PHONE")
+    for i, t in texts.items():
+        for start, kind, end in sorted(base_pii(t), reverse=True):
+            t = t[:start] + f"[{kinds[kind]}]" + t[end:]
+        texts[i] = t
+    assert {i: r["text"] for i, r in got[3].items()} == texts and all(r["n_chars"] == len(texts[i] or "") for i, r in got[3].items() if texts[i] is not None)
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file())
+    assert {i: r["ids"] for i, r in got[4].items()} == {i: None if t is None else library.encode(t) for i, t in texts.items()}
+
+
+def test_columns_with_the_operators_names(spark, tmp_path):
+    write(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for c in ("_quality_score", "_overlaps", "_text_key", "_id", "fp", "component", "pii", "_spans", "score"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {r[c] for r in out.collect() for c in docs.columns[5:]} == {f"own {c}" for c in docs.columns[5:]}, name

@@ -52,7 +52,7 @@ PARTS = ((0, 22), (22, 21), (43, 21))
 #: Bounds of the sample that trees grow on, points that a shard should hold, that a cell of it may hold, and points of a leaf.
 SAMPLE, SHARD_POINTS, CELL_POINTS, LEAF = 32_768, 16_384, 65_536, 64
 #: Pairs compared at once.
-PAIRS = 1_000_000
+PAIRS = 250_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
@@ -325,8 +325,7 @@ def shard_edges(points: DataFrame, limits: Limits, shard_points: int = SHARD_POI
         asked = points.select("number", "fp").join(again, "number").select("number", "fp", "component", "asks")
     routed = asked.mapInArrow(route, ", ".join(["cell long, number long", *[f"{c} long" for c in (*known, *columns)]]))
     if again is not None:
-        visited, _ = materialize(routed.where("number % 4 > 1").select("cell").distinct(), "visited")
-        routed = routed.join(visited, "cell", "left_semi")
+        routed = routed.join(routed.where("number % 4 > 1").select("cell").distinct(), "cell", "left_semi")
     return routed.groupBy("cell").applyInArrow(link, EDGES).distinct()
 
 
@@ -428,8 +427,7 @@ def similar_groups(docs: DataFrame, limits: Limits = DEDUP, shard_points: int =
     while True:
         found = put(shard_edges(points, limits, shard_points, again=again), "proposals")
         pairs = found.where(F.col("kind") == PROPOSALS).select("a", "b")
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = put(pairs, "pairs")
+        pairs = pairs if tried is None else put(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = found.where(F.col("kind") == LINKS).select("a", "b")
         if not pairs.isEmpty():
             asked = points.select("number", "text_key").join(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "number", "left_semi")
@@ -441,8 +439,8 @@ def similar_groups(docs: DataFrame, limits: Limits = DEDUP, shard_points: int =
             tried = pairs if tried is None else tried.unionByName(pairs)
         if components is None or not new.isEmpty():
             edges = new if edges is None else components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
-            components = put(connected_components(edges), "components")
-        more = put(found.where(F.col("kind") == MORE).select(F.col("a").alias("number")).distinct(), "more")
+            components = connected_components(edges)
+        more = found.where(F.col("kind") == MORE).select(F.col("a").alias("number")).distinct()
         if more.isEmpty():
             break
         labelled = points.select("number").join(components.withColumnRenamed("node", "number"), "number", "left").join(more.withColumn("asks", F.lit(True)), "number", "left")
