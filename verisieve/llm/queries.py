@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": substrings.oracle(), "op3_url_filter": url_filter.oracle(), "op4_secrets": secrets.oracle(), "op7_pii": pii.oracle(), "op8_ann": ann.oracle(), "op9_decontaminate": decontaminate.oracle()}
+    return {"op2_substrings": substrings.oracle(), "op3_url_filter": url_filter.oracle(), "op4_secrets": secrets.oracle(), "op7_pii": pii.oracle(), "op8_ann": ann.oracle(), "op9_decontaminate": decontaminate.oracle(), "op10_simhash": simhash.oracle()}

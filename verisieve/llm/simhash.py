@@ -214,12 +214,14 @@ class Limits:
     nearest: int = 0
 
 
-def link_shard(part: np.ndarray, fp: np.ndarray, role: np.ndarray, group: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels of a cell's points; pairs of different labels to verify, as rows (a, b); and the points that have more of them.
+def link_shard(k: int, fp: np.ndarray, role: np.ndarray, group: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of a cell's points on part ``k``; pairs of different labels to verify, as rows (a, b); and the points that have more of them.
 
     ``group`` has the labels to begin with, each the index of one of its points.
+    Of the parts on which a pair meets only the first proposes it, and of two
+    points that both ask only the later one.
     """
-    groups = Groups(group)
+    groups, part = Groups(group), part_of(fp, k)
     proposed, more = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
     todo = [(np.flatnonzero(role & 1), np.flatnonzero(role & 2), True)]
     while todo:
@@ -254,7 +256,9 @@ def link_shard(part: np.ndarray, fp: np.ndarray, role: np.ndarray, group: np.nda
             groups.link(a[sure], b[sure])
             if limits.radius > limits.certain:
                 at = np.flatnonzero(~sure & (d <= limits.radius))
-                at = at[groups.label[a[at]] != groups.label[b[at]]]
+                at = at[(groups.label[a[at]] != groups.label[b[at]]) & ((role[b[at]] & 2 == 0) | (a[at] > b[at]))]
+                for other in range(k):
+                    at = at[apart(part_of(fp[a[at]], other), part_of(fp[b[at]], other)) > limits.part_radius]
                 order, rank = ranked(a[at], d[at], b[at])
                 at = at[order]
                 proposed.append(np.stack([a[at], b[at]], axis=1)[rank < limits.nearest])
@@ -313,7 +317,7 @@ def shard_edges(points: DataFrame, limits: Limits, shard_points: int = SHARD_POI
         component = table.column("component").to_numpy() if known else number
         fp = np.stack([table.column(c).to_numpy().view(np.uint64) for c in columns], axis=1)
         _, first, group = np.unique(component, return_index=True, return_inverse=True)
-        label, pairs, more = link_shard(part_of(fp, int(table.column("cell")[0].as_py() >> 24) % len(forest)), fp, role, first[group], limits)
+        label, pairs, more = link_shard((table.column("cell")[0].as_py() >> 24) % len(forest), fp, role, first[group], limits)
         moved = np.flatnonzero((label != np.arange(len(label))) & (label != first[group]))
         a, b = np.concatenate([number[moved], number[pairs.min(axis=1)], number[more]]), np.concatenate([number[label[moved]], number[pairs.max(axis=1)], number[more]])
         kind = np.repeat(np.array([LINKS, PROPOSALS, MORE], np.int32), [len(moved), len(pairs), len(more)])
@@ -325,10 +329,38 @@ def shard_edges(points: DataFrame, limits: Limits, shard_points: int = SHARD_POI
         asked = points.select("number", "fp").join(again, "number").select("number", "fp", "component", "asks")
     routed = asked.mapInArrow(route, ", ".join(["cell long, number long", *[f"{c} long" for c in (*known, *columns)]]))
     if again is not None:
-        routed = routed.join(routed.where("number % 4 > 1").select("cell").distinct(), "cell", "left_semi")
+        visited, _ = materialize(routed.where("number % 4 > 1").select("cell").distinct(), "visited")
+        routed = routed.join(visited, "cell", "left_semi")
     return routed.groupBy("cell").applyInArrow(link, EDGES).distinct()
 
 
+def asked_pairs(points: DataFrame, again: DataFrame, limits: Limits) -> DataFrame:
+    """:func:`shard_edges` for few points that ask: all their pairs of different components, as proposals.
+
+    The asking points go to all tasks, and the others pass by; nothing is shuffled.
+    """
+    known = points.select("number", "fp").join(again, "number")
+    asking = known.where("asks").select("number", "fp", "component").toPandas()  # ASKING at most
+    own = (asking["number"].to_numpy(np.int64), asking["component"].to_numpy(np.int64), unpacked(asking["fp"].to_list()))
+    shared = points.sparkSession.sparkContext.broadcast(own)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, component, fp = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = np.concatenate([number, batch.column("number").to_numpy()])
+            fps = np.concatenate([fp, unpacked(batch.column("fp").to_pylist())])
+            _, first, group = np.unique(np.concatenate([component, batch.column("component").to_numpy()]), return_index=True, return_inverse=True)
+            role = np.repeat(np.array([1, 2], np.int8), [len(number), batch.num_rows])
+            for k in range(fps.shape[1] * len(PARTS)):
+                _, pairs, _ = link_shard(k, fps, role, first[group], limits)
+                a, b = numbers[pairs].T if len(pairs) else (np.empty(0, np.int64),) * 2
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), PROPOSALS, np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["kind", "a", "b"])
+
+    return known.select("number", "fp", "component").mapInArrow(meet, EDGES).distinct()
+
+
 def linked_pairs(points: DataFrame, words: int = 1, radius: int = RADIUS, shard_points: int = SHARD_POINTS, cell_points: int = CELL_POINTS) -> DataFrame:
     """Edges (a, b) that connect the points (number, fp) as all pairs within ``radius`` bits would: of ``p`` parts one differs in ``radius // p`` bits at most."""
     limits = Limits(radius // (words * len(PARTS)), radius, radius)
@@ -377,9 +409,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 #: For dropping near copies: five words and a similarity of 0.8.  Eight words of fingerprint have 24 parts, one of which differs in one bit at most
 #: for 0.98 of the pairs right at the limit, and for more of the closer ones.  Of all 512 bits such a pair differs in 78, give or take 8.
 SIMILARITY, DEDUP_SHINGLE, DEDUP_WORDS = 0.8, 5, 8
-DEDUP = Limits(part_radius=1, certain=50, radius=98, nearest=1)
-#: Each round of proposals is so many times larger.
-MORE_TIMES = 64
+DEDUP = Limits(part_radius=1, certain=50, radius=98, nearest=2)
+#: Each round of proposals is so many times larger; up to so many points that have more ask for all of them at once.
+MORE_TIMES, ASKING = 64, 20_000
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -410,7 +442,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def similar_groups(docs: DataFrame, limits: Limits = DEDUP, shard_points: int = SHARD_POINTS) -> DataFrame:
+def similar_groups(docs: DataFrame, limits: Limits = DEDUP, shard_points: int = SHARD_POINTS, asking: int = ASKING) -> DataFrame:
     """Rows doc_id, text_key, component: documents connected by texts of a similarity of ``SIMILARITY`` and more."""
     text, paths = non_null_text(), []
 
@@ -423,9 +455,9 @@ def similar_groups(docs: DataFrame, limits: Limits = DEDUP, shard_points: int =
     marked, _ = materialize(keyed.select("doc_id", "text_key", fingerprints(F.col("text"), DEDUP_SHINGLE, DEDUP_WORDS).alias("fp")), "fingerprints")
     points, path = _points(marked, F.min("text_key").alias("text_key"))
     paths.append(path)
-    again, edges, tried, components = None, None, None, None
+    again, edges, tried, components, last = None, None, None, None, False
     while True:
-        found = put(shard_edges(points, limits, shard_points, again=again), "proposals")
+        found = put(asked_pairs(points, again, limits) if last else shard_edges(points, limits, shard_points, again=again), "proposals")
         pairs = found.where(F.col("kind") == PROPOSALS).select("a", "b")
         pairs = pairs if tried is None else put(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = found.where(F.col("kind") == LINKS).select("a", "b")
@@ -445,7 +477,8 @@ def similar_groups(docs: DataFrame, limits: Limits = DEDUP, shard_points: int =
             break
         labelled = points.select("number").join(components.withColumnRenamed("node", "number"), "number", "left").join(more.withColumn("asks", F.lit(True)), "number", "left")
         again = put(labelled.select("number", F.coalesce("component", "number").alias("component"), F.coalesce("asks", F.lit(False)).alias("asks")), "again")
-        limits = Limits(limits.part_radius, limits.certain, limits.radius, MORE_TIMES * limits.nearest)
+        last = more.count() <= asking
+        limits = Limits(limits.part_radius, limits.certain, limits.radius, 1 << 62 if last else MORE_TIMES * limits.nearest)
     named, _ = _named(points, components)
     for path in paths:
         discard(docs.sparkSession, path)
@@ -466,3 +499,43 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns: doc_id, fingerprint (16 hex digits), component_id."""
     return near_duplicates(docs).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+
+
+def oracle() -> str:
+    """The same rows in DuckDB SQL for small tables: XXH64 step by step in 128-bit integers, all pairs of fingerprints, and their closure."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    whole = f"{1 << 64}::UHUGEINT"
+    add = lambda a, b: f"(({a} + {b}) % {whole})"
+    mul = lambda a, b: f"(({a} * {b}) % {whole})"
+    turn = lambda a, r: f"(({a} * {1 << r}::UHUGEINT) % {whole} + {a} // {1 << 64 - r}::UHUGEINT)"
+    fold = lambda acc, lane: mul(turn(add(acc, mul(lane, p2)), 31), p1)
+    zero = "0::UHUGEINT"
+    number = lambda at, n: "('0x' || " + " || ".join(f"substr(x, 2 * ({at} + {k}) + 1, 2)" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+    joined = lambda h, v: add(mul(f"xor({h}, {fold(zero, v)})", p1), p4)
+    starts = [(SEED + 0x9E3779B185EBCA87 + 0xC2B2AE3D27D4EB4F) % (1 << 64), SEED + 0xC2B2AE3D27D4EB4F, SEED, (SEED - 0x9E3779B185EBCA87) % (1 << 64)]
+    stripes = f"list_transform(range(0, n // 32), lambda k: [{', '.join(number(f'32 * k::BIGINT + {8 * j}', 8) for j in range(4))}])"
+    lanes = f"list_reduce(list_prepend([{', '.join(f'{s}::UHUGEINT' for s in starts)}], {stripes}), lambda v, l: [{', '.join(fold(f'v[{j}]', f'l[{j}]') for j in range(1, 5))}])"
+    summed = add(add(turn("v[1]", 1), turn("v[2]", 7)), add(turn("v[3]", 12), turn("v[4]", 18)))
+    eights = f"list_transform(range(0, n % 32 // 8), lambda k: {number('n - n % 32 + 8 * k::BIGINT', 8)})"
+    ones = f"list_transform(range(0, n % 4), lambda k: {number('n - n % 4 + k::BIGINT', 1)})"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    bits = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(64))
+    return f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda t: t <> '') AS w FROM documents),
+shingled AS (SELECT rid, array_to_string(w[i:i + least({SHINGLE}, len(w)) - 1], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - least({SHINGLE}, len(w)) + 2)) AS i FROM docs WHERE len(w) > 0)),
+b0 AS (SELECT s, hex(encode(s)) AS x, strlen(s) AS n FROM (SELECT DISTINCT s FROM shingled)),
+b1 AS (SELECT *, CASE WHEN n >= 32 THEN {lanes} END AS v FROM b0),
+b2 AS (SELECT s, x, n, v, CASE WHEN n >= 32 THEN {summed} ELSE {add(f'{SEED}::UHUGEINT', p5)} END AS h FROM b1),
+b3 AS (SELECT s, x, n, v, CASE WHEN n >= 32 THEN {joined('h', 'v[1]')} ELSE h END AS h FROM b2), b4 AS (SELECT s, x, n, v, CASE WHEN n >= 32 THEN {joined('h', 'v[2]')} ELSE h END AS h FROM b3),
+b5 AS (SELECT s, x, n, v, CASE WHEN n >= 32 THEN {joined('h', 'v[3]')} ELSE h END AS h FROM b4), b6 AS (SELECT s, x, n, CASE WHEN n >= 32 THEN {joined('h', 'v[4]')} ELSE h END AS h FROM b5),
+b7 AS (SELECT s, x, n, list_reduce(list_prepend({add('h', 'n::UHUGEINT')}, {eights}), lambda a, k: {add(mul(turn(f'xor(a, {fold(zero, "k")})', 27), p1), p4)}) AS h FROM b6),
+b8 AS (SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN {add(mul(turn(f"xor(h, {mul(number('n - n % 8', 4), p1)})", 23), p2), p3)} ELSE h END AS h FROM b7),
+b9 AS (SELECT s, list_reduce(list_prepend(h, {ones}), lambda a, k: {mul(turn(f'xor(a, {mul("k", p5)})', 11), p1)}) AS h FROM b8),
+c1 AS (SELECT s, {mul(f'xor(h, h // {1 << 33}::UHUGEINT)', p2)} AS h FROM b9), c2 AS (SELECT s, {mul(f'xor(h, h // {1 << 29}::UHUGEINT)', p3)} AS h FROM c1), hashed AS (SELECT s, xor(h, h // {1 << 32}::UHUGEINT)::UBIGINT AS h FROM c2),
+prints AS (SELECT rid, ({bits})::UBIGINT AS fp FROM shingled JOIN hashed USING (s) GROUP BY rid),
+marked AS (SELECT rid, doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM docs LEFT JOIN prints USING (rid)),
+points AS (SELECT fp, min(doc_id) AS first FROM marked GROUP BY fp),
+pairs AS (SELECT a.fp AS a, b.fp AS b FROM points a, points b WHERE a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= {RADIUS}),
+reach(a, b) AS (SELECT fp, fp FROM points UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON pairs.a = reach.b),
+least_id AS (SELECT reach.a AS fp, min(first) AS component_id FROM reach JOIN points ON points.fp = reach.b GROUP BY reach.a)
+SELECT doc_id, format('{{:016x}}', fp) AS fingerprint, component_id FROM marked JOIN least_id USING (fp)"""
