@@ -109,15 +109,22 @@ def raw_code(content: Column) -> Column:
 
 
 def code_of(responses: DataFrame) -> DataFrame:
-    """Each response's code: its accepted blocks in order. Nothing is shuffled."""
-    return responses.select("response_id", fenced_code(F.col("content")).alias("code")).where("code <> ''")
+    """Each response's code: its accepted blocks in order. Nothing is shuffled.
+
+    The filter stands in a generator, so that it is not pushed below the
+    expression and evaluates it again.
+    """
+    return responses.select("response_id", F.explode(F.filter(F.array(fenced_code(F.col("content"))), lambda c: c != "")).alias("code"))
 
 
 def code_or_raw(responses: DataFrame) -> DataFrame:
     """Each response's code with what it was taken from: its fences, else the code of tool calls, else its raw lines."""
-    rows = responses.select("response_id", "content", fenced_code(F.col("content")).alias("fenced"), tool_call_code("content").alias("called")).withColumn("raw", F.when((F.col("fenced") == "") & (F.col("called") == ""), raw_code(F.col("content"))).otherwise(""))
-    source = F.when(F.col("fenced") != "", "fences").when(F.col("called") != "", "tool call").otherwise("raw")
-    return rows.select("response_id", source.alias("source"), F.coalesce(F.nullif("fenced", F.lit("")), F.nullif("called", F.lit("")), "raw").alias("code")).where("code <> ''")
+    rows = responses.select("response_id", "content", F.explode(F.array(fenced_code(F.col("content")))).alias("fenced"))
+    found = lambda source, code: F.struct(F.lit(source).alias("source"), code.alias("code"))
+    called = tool_call_code("content")
+    other = F.when(called != "", found("tool call", called)).otherwise(found("raw", raw_code(F.col("content"))))
+    one = F.when(F.col("fenced") != "", found("fences", F.col("fenced"))).otherwise(other)
+    return rows.select("response_id", F.explode(F.filter(F.array(one), lambda x: x["code"] != "")).alias("x")).select("response_id", "x.source", "x.code")
 
 
 def local_variables(code: DataFrame) -> DataFrame:

@@ -21,6 +21,10 @@ FACTS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 _BUILTINS = frozenset((*P.PYTHON_NAMES, *P.ERROR_NAMES, "__name__", "__file__", "__doc__", "NotImplemented", "Ellipsis", "Warning", "DeprecationWarning", "UserWarning", "FutureWarning"))
 
 
+#: Codes whose facts a task remembers.
+REMEMBERED = 10_000
+
+
 def python_facts(code: str | None) -> list[tuple]:
     """(kind, receiver, name, arguments, line) of a module's imports, calls, definitions and undefined names; nothing where it does not parse."""
     try:
@@ -63,9 +67,17 @@ def python_facts(code: str | None) -> list[tuple]:
 
 @F.pandas_udf(FACTS)
 def _facts(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    names = ("kind", "receiver", "name", "arguments", "line")
+    names, memory = ("kind", "receiver", "name", "arguments", "line"), {}
+
+    def known(code: str | None) -> list[dict]:
+        if code not in memory:
+            if len(memory) >= REMEMBERED:
+                memory.clear()
+            memory[code] = [dict(zip(names, f)) for f in python_facts(code)]
+        return memory[code]
+
     for c in codes:
-        yield pd.Series([[dict(zip(names, f)) for f in python_facts(x)] for x in c], dtype=object)
+        yield pd.Series([known(x) for x in c], dtype=object)
 
 
 def python(code: DataFrame) -> DataFrame:
