@@ -152,6 +152,40 @@ def test_chains_and_many_proposals_are_followed_to_the_end(spark):
     assert same_partition([got[i] for i in sets], [label[i] for i in sets]) and len(set(label.values())) > 5
 
 
+def test_a_crowd_costs_no_row_for_each_pair(spark, monkeypatch):
+    base = [f"w{i}" for i in range(400)]
+    crowd = [varied(random.Random(i), base, 0.72) for i in range(200)]  # all alike, none similar enough
+    copies = [varied(random.Random(1000 + i), c, 0.9) for i, c in enumerate(crowd[:20])]
+    rows = [(i, " ".join(c)) for i, c in enumerate(crowd + copies)]
+    sizes = {}
+
+    def counted(df, label, write=s.materialize):
+        out, path = write(df, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out, path
+
+    monkeypatch.setattr(s, "materialize", counted)
+    monkeypatch.setattr(s, "ASKED_BYTES", 100_000, raising=False)  # several portions
+    got = {r["doc_id"]: r["component"] for r in s.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), s.Limits(1, 0, 160, 1)).collect()}
+    sets = [s.shingles(t, 5) for _, t in rows]
+    want = list(range(len(rows)))
+    for i in want[:]:
+        for j in range(i):
+            if s.similarity(sets[i], sets[j]) >= 0.8:
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    assert same_partition([got[i] for i, _ in rows], want) and len(set(want)) == 200
+    assert max(sizes.values()) < 8000, sizes  # of 24,090 pairs
+
+
+def test_shared_shingles_tell_what_similarity_tells():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 60))) for _ in range(80)] + [np.empty(0, np.int64)]
+    index = s.Shingles(np.concatenate(sets).astype(np.int64), np.array([len(x) for x in sets]))
+    for own in [*sets, np.arange(60), np.array([99])]:
+        near = index.alike(own.astype(np.int64)).tolist()
+        assert near == [j for j, x in enumerate(sets) if s.similarity(own, x) >= 0.8]
+
+
 def test_one_of_each_group_stays(spark):
     rng = random.Random(6)
     words = [f"word{i}" for i in range(400)]

@@ -20,7 +20,9 @@ For dropping near copies the fingerprints only propose: pairs within
 ``CERTAIN`` bits link, further ones are verified by the share of shingles that
 both texts have.  Each point proposes its nearest neighbours of other groups
 first; points that have more are asked again, with ever larger numbers, until
-none is left that could still join two groups.
+few are left: these are compared with all others where they meet, and only the
+edges that join two groups are written, so a crowd of texts that are alike, but
+not similar enough, costs no row for each of its pairs.
 
 Defined results: null and empty texts, and those of white space alone, have
 fingerprint zero and link like any other; a text with fewer words than a
@@ -39,6 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -262,7 +265,7 @@ def link_shard(k: int, fp: np.ndarray, role: np.ndarray, group: np.ndarray, limi
                 order, rank = ranked(a[at], d[at], b[at])
                 at = at[order]
                 proposed.append(np.stack([a[at], b[at]], axis=1)[rank < limits.nearest])
-                more.append(a[at][rank >= limits.nearest])
+                more.append(np.unique(a[at][rank >= limits.nearest]))
     pairs = np.concatenate(proposed)
     pairs = pairs[groups.label[pairs[:, 0]] != groups.label[pairs[:, 1]]]
     order, rank = ranked(pairs[:, 0], distance(fp[pairs[:, 0]], fp[pairs[:, 1]]), pairs[:, 1])
@@ -334,31 +337,114 @@ def shard_edges(points: DataFrame, limits: Limits, shard_points: int = SHARD_POI
     return routed.groupBy("cell").applyInArrow(link, EDGES).distinct()
 
 
-def asked_pairs(points: DataFrame, again: DataFrame, limits: Limits) -> DataFrame:
-    """:func:`shard_edges` for few points that ask: all their pairs of different components, as proposals.
+def _asking(points: DataFrame, again: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All points with their components, and those of them that ask."""
+    known = points.select("number", "fp").join(again, "number")
+    return known, known.where("asks")
+
+
+def asked_points(points: DataFrame, again: DataFrame, limits: Limits) -> DataFrame:
+    """The numbers of the points that meet one of few asking points of another component, within ``limits.radius``.
 
-    The asking points go to all tasks, and the others pass by; nothing is shuffled.
+    The asking points go to all tasks, and the others pass by; nothing is
+    shuffled, and a point gives one row at most, however many it meets.
     """
-    known = points.select("number", "fp").join(again, "number")
-    asking = known.where("asks").select("number", "fp", "component").toPandas()  # ASKING at most
-    own = (asking["number"].to_numpy(np.int64), asking["component"].to_numpy(np.int64), unpacked(asking["fp"].to_list()))
-    shared = points.sparkSession.sparkContext.broadcast(own)
+    known, asking = _asking(points, again)
+    rows = asking.select("component", "fp").toPandas()  # ASKING at most
+    shared = points.sparkSession.sparkContext.broadcast((rows["component"].to_numpy(np.int64), unpacked(rows["fp"].to_list())))
+    told = Limits(limits.part_radius, limits.certain, limits.radius)  # of 0 proposals, all points with some have more
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, component, fp = shared.value
+        component, fp = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            numbers = np.concatenate([number, batch.column("number").to_numpy()])
             fps = np.concatenate([fp, unpacked(batch.column("fp").to_pylist())])
             _, first, group = np.unique(np.concatenate([component, batch.column("component").to_numpy()]), return_index=True, return_inverse=True)
-            role = np.repeat(np.array([1, 2], np.int8), [len(number), batch.num_rows])
-            for k in range(fps.shape[1] * len(PARTS)):
-                _, pairs, _ = link_shard(k, fps, role, first[group], limits)
-                a, b = numbers[pairs].T if len(pairs) else (np.empty(0, np.int64),) * 2
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), PROPOSALS, np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["kind", "a", "b"])
+            role = np.repeat(np.array([1, 2], np.int8), [len(component), batch.num_rows])
+            met = [link_shard(k, fps, role, first[group], told)[2] for k in range(fps.shape[1] * len(PARTS))]
+            at = np.unique(np.concatenate(met)) - len(component)
+            yield pa.RecordBatch.from_arrays([batch.column("number").take(pa.array(at))], names=["number"])
+
+    return known.select("number", "fp", "component").mapInArrow(meet, "number long")
+
+
+class Shingles:
+    """The points that have each shingle."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        self.lengths = lengths
+        order = np.argsort(values, kind="stable")
+        self.owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
+        self.values, self.start = np.unique(values[order], return_index=True)
+        self.end = np.append(self.start[1:], len(values))
+
+    def alike(self, own: np.ndarray) -> np.ndarray:
+        """The points whose shingles are similar to ``own``, as :func:`similarity` tells of each."""
+        if not len(own) or not len(self.values):
+            return np.flatnonzero(self.lengths == len(own))  # nothing is shared, and two texts without shingles are alike
+        at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        at = at[self.values[at] == own]
+        count = self.end[at] - self.start[at]
+        place = np.arange(count.sum()) + np.repeat(self.start[at] - (np.cumsum(count) - count), count)
+        both = np.bincount(self.owner[place], minlength=len(self.lengths))
+        some = np.flatnonzero(both)
+        return some[both[some] / (len(own) + self.lengths[some] - both[some]) >= SIMILARITY]
+
+
+def asked_links(points: DataFrame, again: DataFrame, sets: DataFrame, limits: Limits) -> Iterator[DataFrame]:
+    """Edges (a, b) that connect the components as all similar pairs within ``limits.radius`` with an asking point would.
+
+    ``sets`` (number, own) has the shingles of the asking points and of those
+    that meet them.  Pairs are verified where they meet and are never written:
+    a task gives an edge only where it joins two components that it has not yet
+    joined.  The asking points' shingles go to all tasks, in portions of some
+    ``ASKED_BYTES``; each frame is to be written before the next is asked for.
+    """
+    known, asking = _asking(points, again)
+    passing = known.join(sets, "number").select("number", "component", "fp", "own")
+    asking = asking.join(sets, "number").select("number", "component", "fp", "own")
+    portions = max(1, math.ceil(8 * (asking.agg(F.sum(F.size("own"))).first()[0] or 0) / ASKED_BYTES))
+    for portion in range(portions):
+        own = asking.where(F.pmod(F.xxhash64("number"), F.lit(portions)) == portion).toArrow().combine_chunks()
+        if not own.num_rows:
+            continue
+        lists = own.column("own").combine_chunks()
+        index = Shingles(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
+        shared = points.sparkSession.sparkContext.broadcast((own.column("number").to_numpy(), own.column("component").to_numpy(), unpacked(own.column("fp").to_pylist()), index))
+        yield passing.mapInArrow(_joined(shared, limits), "a long, b long")
+        shared.unpersist()
 
-    return known.select("number", "fp", "component").mapInArrow(meet, EDGES).distinct()
+
+def _joined(shared: Broadcast, limits: Limits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, components, fps, index = shared.value
+        parts, parent = parts_of(fps), {}
+
+        def root(x: int) -> int:
+            while (p := parent.get(x, x)) != x:
+                parent[x] = parent.get(p, p)
+                x = p
+            return x
+
+        for batch in batches:
+            edges, fp = [], unpacked(batch.column("fp").to_pylist()) if batch.num_rows else None
+            lists = batch.column("own")
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, (number, component) in enumerate(zip(batch.column("number").to_pylist(), batch.column("component").to_pylist(), strict=True)):
+                near = index.alike(values[offsets[i] : offsets[i + 1]])
+                near = near[components[near] != component]
+                near = near[distance(fps[near], fp[i]) <= limits.radius]
+                near = near[(apart(parts[near], parts_of(fp[i : i + 1])) <= limits.part_radius).any(axis=1)]
+                for j in near.tolist():
+                    x, y = root(component), root(int(components[j]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        edges.append((number, int(numbers[j])))
+            a, b = np.array(edges, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
 
 
 def linked_pairs(points: DataFrame, words: int = 1, radius: int = RADIUS, shard_points: int = SHARD_POINTS, cell_points: int = CELL_POINTS) -> DataFrame:
@@ -410,8 +496,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 #: for 0.98 of the pairs right at the limit, and for more of the closer ones.  Of all 512 bits such a pair differs in 78, give or take 8.
 SIMILARITY, DEDUP_SHINGLE, DEDUP_WORDS = 0.8, 5, 8
 DEDUP = Limits(part_radius=1, certain=50, radius=98, nearest=2)
-#: Each round of proposals is so many times larger; up to so many points that have more ask for all of them at once.
-MORE_TIMES, ASKING = 64, 20_000
+#: Each round of proposals is so many times larger; up to so many points that have more are compared with all others at once, so many bytes of shingles at a time.
+MORE_TIMES, ASKING, ASKED_BYTES = 64, 20_000, 16_000_000
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -455,30 +541,44 @@ def similar_groups(docs: DataFrame, limits: Limits = DEDUP, shard_points: int =
     marked, _ = materialize(keyed.select("doc_id", "text_key", fingerprints(F.col("text"), DEDUP_SHINGLE, DEDUP_WORDS).alias("fp")), "fingerprints")
     points, path = _points(marked, F.min("text_key").alias("text_key"))
     paths.append(path)
-    again, edges, tried, components, last = None, None, None, None, False
+
+    def shingled(numbers: DataFrame) -> DataFrame:
+        """The points' shingles: number, own."""
+        asked = points.select("number", "text_key").join(numbers, "number", "left_semi")
+        texts = keyed.select("text_key", "text").join(asked, "text_key").select("number", "text").dropDuplicates(["number"])
+        return put(texts.mapInArrow(_shingled, "number long, own array<long>"), "shingles")
+
+    def connected(components: DataFrame, new: DataFrame) -> DataFrame:
+        return connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
+
+    again, tried, components = None, None, None
     while True:
-        found = put(asked_pairs(points, again, limits) if last else shard_edges(points, limits, shard_points, again=again), "proposals")
+        found = put(shard_edges(points, limits, shard_points, again=again), "proposals")
         pairs = found.where(F.col("kind") == PROPOSALS).select("a", "b")
         pairs = pairs if tried is None else put(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = found.where(F.col("kind") == LINKS).select("a", "b")
         if not pairs.isEmpty():
-            asked = points.select("number", "text_key").join(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "number", "left_semi")
-            texts = keyed.select("text_key", "text").join(asked, "text_key").select("number", "text").dropDuplicates(["number"])
-            sets = put(texts.mapInArrow(_shingled, "number long, own array<long>"), "shingles")
+            sets = shingled(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct())
             left, right = sets.select(F.col("number").alias("a"), F.col("own").alias("left")), sets.select(F.col("number").alias("b"), F.col("own").alias("right"))
             alike = put(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_alike, "a long, b long"), "alike")
             new = new.unionByName(alike)
             tried = pairs if tried is None else tried.unionByName(pairs)
         if components is None or not new.isEmpty():
-            edges = new if edges is None else components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
-            components = connected_components(edges)
+            components = connected_components(new) if components is None else connected(components, new)
         more = found.where(F.col("kind") == MORE).select(F.col("a").alias("number")).distinct()
         if more.isEmpty():
             break
         labelled = points.select("number").join(components.withColumnRenamed("node", "number"), "number", "left").join(more.withColumn("asks", F.lit(True)), "number", "left")
         again = put(labelled.select("number", F.coalesce("component", "number").alias("component"), F.coalesce("asks", F.lit(False)).alias("asks")), "again")
-        last = more.count() <= asking
-        limits = Limits(limits.part_radius, limits.certain, limits.radius, 1 << 62 if last else MORE_TIMES * limits.nearest)
+        if more.count() <= asking:
+            met = put(asked_points(points, again, limits), "met")
+            sets = shingled(met.unionByName(again.where("asks").select("number")).distinct())
+            for new in asked_links(points, again, sets, limits):
+                new = put(new, "asked")
+                if not new.isEmpty():
+                    components = connected(components, new)
+            break
+        limits = Limits(limits.part_radius, limits.certain, limits.radius, MORE_TIMES * limits.nearest)
     named, _ = _named(points, components)
     for path in paths:
         discard(docs.sparkSession, path)
