@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force: exact on small tables, recall on larger ones."""
 
 import numpy as np
+import pandas as pd
 
 from verisieve.llm import ann
 
@@ -84,6 +85,35 @@ def test_queries_far_from_all_others_find_enough(spark, monkeypatch):
     assert [g[:3] for g in got] == [w[:3] for w in brute(rows, nearest=20)]
 
 
+def test_results_do_not_depend_on_the_share_of_the_probes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    middles = 4 * rng.normal(size=(12, 16))
+    x = np.concatenate([rng.normal(size=(900, 16)), middles[rng.integers(0, 12, 900)] + 0.3 * rng.normal(size=(900, 16))])
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.permutation(x))] + [(5000 + 10 * i, rng.normal(size=7).tolist()) for i in range(30)]
+    docs = spark.createDataFrame([(i, v, "r", 1) for i, v in rows], SCHEMA)
+    want = [w[:3] for w in brute(rows)]
+    monkeypatch.setattr(ann, "BUCKET_POINTS", 20)
+    monkeypatch.setattr(ann, "PART_POINTS", 50)
+    monkeypatch.setattr(ann, "FULL_POINTS", 1)  # as on the largest tables
+    for share in (0.82, 0.05):
+        monkeypatch.setattr(ann, "SUCCESS", share)
+        assert sorted(tuple(r)[:3] for r in ann.nearest_neighbours(docs).collect()) == want, share
+
+
+def test_no_point_of_a_bucket_exceeds_its_bound():
+    rng = np.random.default_rng(10)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    middle, queries = rng.normal(size=8), unit(rng.normal(size=(500, 8)))
+    ruled_out = 0
+    for points in (middle + 0.1 * rng.normal(size=(50, 8)), rng.normal(size=(50, 8)), np.array([middle, -middle]), middle[None]):
+        bucket = ann.Bucket(np.arange(len(points)), np.arange(len(points)), pd.Series(list(points)))
+        near = (np.concatenate([queries, unit(points)]) @ unit(points).T).max(axis=1)
+        most = bucket.most(np.concatenate([queries, unit(points)]))
+        assert (most >= near).all()
+        ruled_out += int((most < 0.9).sum())
+    assert ruled_out > 500
+
+
 def test_ties_go_to_the_smallest_ids(spark):
     rng = np.random.default_rng(7)
     rows = [(i, (rng.integers(0, 2, size=8) * 2.0 - 1).tolist() if i % 3 else [2.0 ** (i % 7 - 3)] * 8) for i in range(600)]

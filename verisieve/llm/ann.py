@@ -16,10 +16,13 @@ buckets.  A shard's points are held while its queries stream by, so memory does
 not grow with their number.
 
 The number of directions grows with the logarithm of the table, and the share
-that a table should find falls with its size, since a probe of a small table
-costs nothing: below some thousand points next to every bucket is visited, and
-from ``FULL_POINTS`` on the share is ``SUCCESS``.  The search is exact for
-queries whose buckets hold fewer points than are asked for: they go to all.
+that a table should find by probes falls with its size.  Neither changes a
+result: an exact check follows at every size.  Each query goes to the buckets
+of one table that it has not visited, in which each point of its length lies
+once, and leaves out those whose cone, the centre and widest angle of their
+vectors, is too far off to hold a point as near as the worst one found.  Good
+probes make that bound tight; vectors without near neighbours rule out few
+buckets, and are then compared with nearly all.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, and neither do null ids; vectors of another length are
@@ -48,8 +51,8 @@ STEP, BUCKET_POINTS, PART_POINTS, MOST_DIRECTIONS = 1.0, 4000, 4096, 8
 #: Numbers that the vectors of a shard should have, and least shards.
 SHARD_NUMBERS, LEAST_SHARDS = 4_000_000, 12
 NEAREST, QUERY_EVERY = 5, 50
-#: Margin over the rounding of a matrix product of unit vectors.
-ROUNDING = 1e-9
+#: Margins over the rounding of a matrix product of unit vectors, and of a cone's bound, which has the roots of such.
+ROUNDING, CONE_ROUNDING = 1e-9, 1e-6
 #: Probes that are held together, and products.
 PROBE_ROWS, PRODUCTS = 500_000, 2_000_000
 
@@ -59,7 +62,7 @@ def directions_for(n: int) -> int:
 
 
 def share_for(n: int) -> float:
-    """The share of neighbours that each table should find, of ``n`` points."""
+    """The share of neighbours that each table should find by probes, of ``n`` points; the check finds the others."""
     return 1 - (1 - SUCCESS) * min(1.0, max(n, 1) / FULL_POINTS)
 
 
@@ -199,6 +202,15 @@ class Bucket:
         self.point, self.first = point, first
         self.raw = np.stack([np.asarray(v, np.float64) for v in vectors])
         (_, self.unit), *_ = _units(vectors).values()
+        middle = self.unit.sum(axis=0)
+        self.centre = middle / np.linalg.norm(middle) if np.linalg.norm(middle) > 1e-3 else self.unit[0]
+        self.widest = float((self.unit @ self.centre).min())
+
+    def most(self, unit: np.ndarray) -> np.ndarray:
+        """For each query a cosine that none of the points exceeds: that of its angle to the centre less the widest one."""
+        near = unit @ self.centre
+        apart = near * self.widest + np.sqrt(np.maximum(0, 1 - near * near) * max(0.0, 1 - self.widest * self.widest))
+        return np.where(near >= self.widest, 1.0, apart) + CONE_ROUNDING
 
     def nearest(self, query: np.ndarray, raw: np.ndarray, unit: np.ndarray, nearest: int) -> pd.DataFrame:
         """The best points of each query, ties included where rounding could tell them apart wrongly."""
@@ -214,8 +226,12 @@ def best_of(found: pd.DataFrame, nearest: int) -> pd.DataFrame:
     return found.sort_values(["query", "score", "first"], ascending=[True, False, True]).drop_duplicates(["query", "point"]).groupby("query").head(nearest + 1)
 
 
-def _searched(nearest: int):
-    """The best points of each query in each shard; rows come by shard, its points before its queries."""
+def _searched(nearest: int, check: bool):
+    """The best points of each query in each shard; rows come by shard, its points before its queries.
+
+    A query searches the buckets ``units``; for the check all others that may
+    hold a point with a score of ``least``, and only such points are told.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, held, buckets = None, [], {}
@@ -240,16 +256,21 @@ def _searched(nearest: int):
                     continue
                 have, out = settled(), []
                 for n, (at, unit) in _units(queries["v"]).items():
-                    raw, query = np.stack([np.asarray(queries["v"].iloc[i], np.float64) for i in at]), queries["point"].to_numpy()[at]
+                    raw, query, least = np.stack([np.asarray(queries["v"].iloc[i], np.float64) for i in at]), queries["point"].to_numpy()[at], pd.Series(queries["least"].to_numpy()[at], queries["point"].to_numpy()[at])
                     visits: dict[int, list[int]] = {}
                     for i, units in enumerate(queries["units"].iloc[at]):
                         for u in units:
                             visits.setdefault(int(u), []).append(i)
+                    if check:
+                        visits = {u: np.setdiff1d(np.flatnonzero(bucket.most(unit) >= least.to_numpy()), visits.get(u, [])) for (u, length), bucket in have.items() if length == n}
                     for u, asking in visits.items():
                         bucket = have.get((u, n))
                         if bucket is not None:
                             step = max(1, PRODUCTS // len(bucket.point))
-                            out += [bucket.nearest(query[q], raw[q], unit[q], nearest) for q in (asking[i : i + step] for i in range(0, len(asking), step))]
+                            found = [bucket.nearest(query[q], raw[q], unit[q], nearest) for q in (asking[i : i + step] for i in range(0, len(asking), step))]
+                            if check:
+                                found = [f[f["score"].to_numpy() >= least.loc[f["query"]].to_numpy()] for f in found]
+                            out += found
                 if out:
                     yield best_of(pd.concat(out, ignore_index=True), nearest)
 
@@ -275,29 +296,27 @@ def nearest_neighbours(vectors: DataFrame, nearest: int = NEAREST, query_every:
     indexed, indexed_path = materialize(points.select("point", "first", "v").mapInPandas(_hashed(directions), f"key long, number int, point long, first long, v {v_type}"), "buckets")
     sizes, sizes_path = materialize(indexed.groupBy("key").agg(F.ceil(F.count("*") / PART_POINTS).alias("parts")), "sizes")
     shard = F.pmod(F.col("unit"), F.lit(shards)).cast("int").alias("shard")
-    dealt = indexed.join(sizes, "key").select(unit_of("key", F.pmod("point", F.col("parts"))), "point", "first", "v")
-    dealt = dealt.select(shard, F.lit(0).alias("kind"), F.array("unit").alias("units"), "point", "first", "v")
+    dealt = indexed.join(sizes, "key").select("number", unit_of("key", F.pmod("point", F.col("parts"))), "point", "first", "v")
+    dealt = dealt.select("number", shard, F.lit(0).alias("kind"), F.array("unit").alias("units"), "point", "first", "v", F.lit(None).cast("double").alias("least"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "first")
 
-    def ranked_best(visits: DataFrame, others: DataFrame | None = None) -> DataFrame:
-        """The best points of each query among the buckets of ``visits`` (key, point)."""
-        units = visits.join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), "point").select(unit_of("key", F.col("part")), "point")
-        probes = units.select(shard, "unit", "point").groupBy("shard", "point").agg(F.collect_set("unit").alias("units")).join(searching, "point")
-        both = dealt.unionByName(probes.select("shard", F.lit(1).alias("kind"), "units", "point", "first", "v"))
-        found = both.repartition("shard").sortWithinPartitions("shard", "kind").mapInPandas(_searched(nearest), FOUND)
+    def ranked_best(buckets: DataFrame, asking: DataFrame, check: bool, others: DataFrame | None = None) -> DataFrame:
+        """The best points of each query of ``asking`` (shard, point, units, first, v, least) among ``buckets``, and ``others``."""
+        both = buckets.drop("number").unionByName(asking.withColumn("kind", F.lit(1)))
+        found = both.repartition("shard").sortWithinPartitions("shard", "kind").mapInPandas(_searched(nearest, check), FOUND)
         found = found if others is None else found.unionByName(others)
         return found.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= nearest + 1)
 
     visited = searching.mapInPandas(_visited(directions, share_for(n)), "key long, point long")
-    merged, _ = materialize(ranked_best(visited), "best")
-    # queries whose buckets hold too few points go to all buckets of one table, in which each point of their length lies once
-    enough = merged.where(F.col("n") == nearest + 1).select(F.col("query").alias("point"))
-    short = searching.join(enough, "point", "left_anti").select("point", F.size("v").alias("length"))
-    whole = indexed.where("number = 0").select("key", F.size("v").alias("length")).distinct()
-    visits, visits_path = materialize(short.join(whole, "length").select("key", "point"), "short")
-    if not visits.isEmpty():
-        merged, _ = materialize(ranked_best(visits, merged.drop("n")), "best")
-    for path in (searching_path, indexed_path, sizes_path, visits_path):
+    units = visited.join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), "point").select(unit_of("key", F.col("part")), "point")
+    probes, probes_path = materialize(units.select(shard, "unit", "point").groupBy("shard", "point").agg(F.collect_set("unit").alias("units")), "probes")
+    probed, probed_path = materialize(ranked_best(dealt, probes.join(searching, "point").withColumn("least", F.lit(None).cast("double")), False), "probed")
+    # the exact check: each query goes to every shard, and passes by the buckets it has visited
+    worst = probed.where(F.col("n") == nearest + 1).select(F.col("query").alias("point"), F.col("score").alias("least"))
+    everywhere = searching.join(worst, "point", "left").select("point", "first", "v", F.coalesce("least", F.lit(-2.0)).alias("least"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    checking = everywhere.join(probes, ["shard", "point"], "left").withColumn("units", F.coalesce("units", F.array().cast("array<bigint>")))
+    merged, _ = materialize(ranked_best(dealt.where("number = 0"), checking, True, probed.drop("n")), "best")
+    for path in (searching_path, indexed_path, sizes_path, probes_path, probed_path):
         discard(vectors.sparkSession, path)
     merged = merged.join(points.select("point", "ids"), "point")
     listed = merged.select(F.col("query").alias("point"), "score", F.explode("ids").alias("vec_id")).groupBy("point", "vec_id").agg(F.max("score").alias("score"))
@@ -312,7 +331,7 @@ def unit_of(key: str, part: Column) -> Column:
 
 
 def oracle(nearest: int = NEAREST, query_every: int = QUERY_EVERY) -> str:
-    """Brute force in DuckDB SQL: equal on small tables, whose share is next to one."""
+    """Brute force in DuckDB SQL: equal at every size, since the check is exact."""
     total = lambda a, b: f"list_reduce(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]), lambda x, y: x + y)"
     return f"""
 WITH raw AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
